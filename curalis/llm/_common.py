@@ -163,3 +163,49 @@ def signed(a: np.ndarray) -> np.ndarray:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+GOLD = 0x9E3779B97F4A7C15
+LAST = (1 << 63) - 1
+
+
+def runs(words: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """A hash of each run of words; heads are the runs' first places."""
+    if not len(heads):
+        return np.empty(0, np.uint64)
+    n = np.diff(np.append(heads, len(words)))
+    at = np.arange(len(words), dtype=np.uint64) - np.repeat(heads, n).astype(np.uint64)
+    return mix(np.add.reduceat(mix(words + at * np.uint64(GOLD)), heads) + n.astype(np.uint64))
+
+
+def with_order(docs: DataFrame) -> DataFrame:
+    """docs with _ord, the place of a document among all: its doc_id; those without one count as one document, the last."""
+    return docs.withColumn("_ord", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
+
+
+def rewrite(docs: DataFrame, removed: DataFrame, change, count: str) -> DataFrame:
+    """docs, with text changed where removed(_ord, hs) names the document: change(text, set of hashes) gives the new text and a count.
+
+    Documents that a bounded bitmap rules out never meet a shuffle. n_chars, where there is one, follows the text.
+    """
+    from pyspark.sql import types as T
+
+    cols = [f for f in docs.schema.fields if f.name not in ("_ord", count)]
+    names = [f.name for f in cols]
+    maybe, stay = split_by(with_order(docs.select(*names)), F.col("_ord"), bitmap(removed, "_ord"))
+    schema = T.StructType([*cols, T.StructField(count, T.LongType())])
+
+    @F.pandas_udf("struct<text string, n long>")
+    def changed(texts, hs):
+        import pandas as pd
+
+        got = [(t, 0) if t is None or h is None else change(t, {int(x) for x in h}) for t, h in zip(texts, hs)]
+        return pd.DataFrame(got, columns=["text", "n"])
+
+    j = maybe.join(removed, "_ord", "left").withColumn("_c", changed("text", "hs"))
+    new = {"text": F.col("_c.text")}
+    if "n_chars" in names:
+        new["n_chars"] = F.when(F.col("_c.n") > 0, F.length("_c.text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    j = j.select(*[new.get(c, F.col(c)).alias(c) for c in names], F.col("_c.n").alias(count))
+    out = stay.select(*names, F.lit(0).cast("long").alias(count)).union(j)
+    assert out.columns == [f.name for f in schema]
+    return out

@@ -8,7 +8,7 @@ many words at once; each worker keeps the words it has scored, in a store that e
 
 Cases: null text and texts without a letter give `und` with score 0, as do all texts where nothing could be
 learned; equal likelihoods go to the first language by name; each row is scored on its own, so repeated rows agree;
-a null doc_id counts as an empty one for the fold; extra columns pass through `identify`; an empty table
+a null doc_id counts as an empty one for the fold and is not learned from; extra columns pass through `identify`; an empty table
 gives no rows.
 """
 
@@ -236,8 +236,9 @@ def fit(labelled: DataFrame, train_documents: int = 3000, rounds: int = 2, smoot
 
     What reaches the driver is one row a language and piece of the fixed vocabulary.
     """
-    rows = labelled.filter("lang is not null and text is not null").select("lang", "text", "doc_id")
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(train_documents)
+    rows = labelled.filter("lang is not null and text is not null and doc_id is not null").select("lang", "text", "doc_id")
+    ids = rows.select("doc_id", F.xxhash64("doc_id").alias("h")).distinct().orderBy("h", "doc_id").limit(train_documents)
+    rows = rows.join(F.broadcast(ids.select("doc_id")), "doc_id")  # at most train_documents identifiers
 
     def count(batches):
         for b in batches:

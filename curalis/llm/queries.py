@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, minhash_dedup, packing, quality, token_counts
+from . import decontaminate, language_id, line_dedup, media, minhash_dedup, packing, quality, sentence_dedup, token_counts, tool_calls
 from ._common import ship, table
 
 
@@ -17,6 +17,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", (language_id.fold(s, 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return media.digests(media.encode_texts(table(spark, sf_dir, "documents")))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return packing.pack(table(spark, sf_dir, "documents"))
@@ -27,6 +32,11 @@ def op4_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.length_histogram(table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2, words="ascii")
@@ -40,6 +50,22 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", (language_id.fold(got, 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op8_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    calls, results = tool_calls.turns_as_calls(table(spark, sf_dir, "conversations"))
+    return tool_calls.link(calls, results, {"reply": tool_calls.TURN_SCHEMA})
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return sentence_dedup.drop_repeated_sentences(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
