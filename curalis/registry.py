@@ -2,23 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from curalis.plans import bindings
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-Query = Callable[[SparkSession, str], DataFrame]
-
-
-def _duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    d = d.select("doc_id", F.concat(F.lit("sha256-file-v1:"), F.sha2("text", 256)).alias("content_id"))
-    return d.groupBy("content_id").agg(F.count("*").alias("member_count"), F.min("doc_id").alias("first_member")).filter("member_count >= 2")
-
-
-def queries() -> dict[str, Query]:
-    return {"s044_exact_duplicate_groups": _duplicates}
+def queries() -> dict:
+    return dict(bindings.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"s044_exact_duplicate_groups": "SELECT 'sha256-file-v1:' || sha256(text) AS content_id, count(*) AS member_count, min(doc_id) AS first_member FROM documents GROUP BY 1 HAVING count(*) >= 2"}
+    return dict(bindings.SQL)
