@@ -141,6 +141,11 @@ def _vbr(frame: bytes, h: Header) -> dict | None:
     return None
 
 
+def _kind(h: Header) -> tuple:
+    """What all frames of a stream have in common."""
+    return h.version, h.layer, h.rate, h.protected
+
+
 def parse(data: bytes) -> Stream:
     """All frames of a stream; damaged stretches are skipped and counted."""
     s = Stream()
@@ -153,10 +158,12 @@ def parse(data: bytes) -> Stream:
     synced = False
     while at + 4 <= end:
         h = header(data[at : at + 4])
-        ok = h is not None and at + h.size <= end
-        if ok and not synced and at + h.size < end:  # a lone sync word in other data isn't a frame
+        ok = h is not None and at + h.size <= end and (s.first is None or _kind(h) == _kind(s.first))
+        if ok and at + h.size < end:  # a lone sync word in other data isn't a frame
             n = header(data[at + h.size : at + h.size + 4])
-            ok = n is not None and (n.version, n.layer, n.rate) == (h.version, h.layer, h.rate)
+            follows = n is not None and _kind(n) == _kind(h)
+            sound = h.protected and h.layer == 3 and crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]) == int.from_bytes(data[at + 4 : at + 6], "big")
+            ok = follows or synced and (sound or not h.protected)
         if not ok:
             synced = False
             nxt = data.find(b"\xff", at + 1, end)
@@ -264,7 +271,7 @@ def index_streams(media: DataFrame, column: str = "media") -> DataFrame:
                 s = parse(bytes(x)) if x is not None else Stream()
                 step = s.first.samples if s.first else 0
                 v = s.vbr or {}
-                out.append((s.samples, s.first.rate if s.first else None, len(s.offsets), [{"byte_offset": o, "sample": i * step} for i, o in enumerate(s.offsets)], list(s.tags.items()), v.get("kind"), v.get("frames"), s.crc_checked, s.crc_bad, s.skipped))
+                out.append((s.samples, s.first.rate if s.first else None, len(s.offsets), [{"byte_offset": o, "sample": i * step} for i, o in enumerate(s.offsets)], dict(s.tags), v.get("kind"), v.get("frames"), s.crc_checked, s.crc_bad, s.skipped))
             f = pd.DataFrame(out, columns=[f.name for f in fields], index=b.index)
             for c in ("sample_rate", "vbr_frames"):
                 f[c] = f[c].astype("Int64")
