@@ -18,6 +18,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     e = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a <> b")
     e = materialize(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    if e.isEmpty():
+        return e.select(F.col("a").alias("id"), F.col("b").alias("component"))
     before = None
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -37,17 +39,21 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 
-def bucket_links(buckets: DataFrame, confirm: Callable[[DataFrame], DataFrame], rounds: int = 2) -> DataFrame | None:
+def bucket_links(buckets: DataFrame, confirm: Callable[[DataFrame], DataFrame], payload: DataFrame, close: Callable, rounds: int = 2) -> DataFrame:
     """Confirmed links (a, b) whose components are those of all confirmed pairs inside any bucket.
 
     buckets: (bid, id), distinct. A bucket of n members costs n - 1 pairs per star round, not n*(n-1)/2: every
     member is tested against one leader, members already in the leader's component are skipped, and
     another leader is taken in the next round. Buckets that still hold several components after the
     star rounds are finished exactly: each remaining pair of different components is tested.
-    confirm takes distinct pairs (a, b) and returns those that are links.
+    confirm takes distinct pairs (a, b) and returns those that are links. payload has columns for each id and
+    close(column of a, column of b) says in their terms, by name, whether a pair can be a link at all: the
+    last step asks it inside its join.
     """
     b = buckets.join(buckets.groupBy("bid").agg(F.count("*").alias("n")).filter("n > 1"), "bid")
     b = materialize(b.select("bid", "id", "n", F.col("id").alias("c")), "buckets")
+    if b.isEmpty():
+        return b.select(F.col("id").alias("a"), F.col("id").alias("b"))
     found: DataFrame | None = None
     for r in range(rounds + 1):
         if r < rounds:
@@ -55,8 +61,9 @@ def bucket_links(buckets: DataFrame, confirm: Callable[[DataFrame], DataFrame],
             pairs = b.join(lead.select("bid", F.col("l.id").alias("a"), F.col("l.c").alias("ca")), "bid").filter("c <> ca")
             pairs = pairs.select("a", F.col("id").alias("b"))
         else:
-            x = b.select("bid", F.col("id").alias("a"), F.col("c").alias("ca"))
-            pairs = b.join(x, "bid").filter("ca < c").select("a", F.col("id").alias("b"))
+            y = b.join(payload, "id")
+            x = y.select([F.col(c).alias(f"x_{c}") for c in y.columns])
+            pairs = y.join(x, (F.col("bid") == F.col("x_bid")) & (F.col("x_c") < F.col("c")) & close(lambda c: F.col(f"x_{c}"), F.col)).select(F.col("x_id").alias("a"), F.col("id").alias("b"))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         links = materialize(confirm(pairs), "links")
         found = links if found is None else found.union(links)

@@ -142,13 +142,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, words: str = "plain", perce
     limit = most_bits(percent / 100, bands * rows)
     words_ = [f"s{i}" for i in range(SKETCH_BITS // 64)]
 
+    def close(a, b):
+        return sum((F.bit_count(a(c).bitwiseXOR(b(c))) for c in words_), F.lit(0)) <= limit
+
     def confirm(pairs: DataFrame) -> DataFrame:
         x = pairs.join(light.select(F.col("id").alias("a"), *[F.col(c).alias(f"a{c}") for c in words_]), "a")
         x = x.join(light.select(F.col("id").alias("b"), *[F.col(c).alias(f"b{c}") for c in words_]), "b")
-        far = sum((F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in words_), F.lit(0))
-        return _confirm_sets(x.filter(far <= limit).select("a", "b").distinct(), docs, width, words, percent)
+        return _confirm_sets(x.filter(close(lambda c: F.col(f"a{c}"), lambda c: F.col(f"b{c}"))).select("a", "b").distinct(), docs, width, words, percent)
 
-    links = bucket_links(buckets, confirm)
+    links = bucket_links(buckets, confirm, light, close)
     member = named.join(nodes, ["k1", "k2"]).select("doc_id", "node")
     several = member.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b")
     extra = member.join(several.select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b")).filter("a <> b")
