@@ -137,16 +137,17 @@ def contained(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> DataF
     return spark.createDataFrame([], MATCHES) if out is None else out
 
 
+def _free_of(sent):
+    @F.pandas_udf("boolean")
+    def free(texts: pd.Series) -> pd.Series:
+        b = sent.value
+        return pd.Series([next(b.matches(plain_hashes(t)), None) is None for t in texts], dtype=bool)
+
+    return free
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> DataFrame:
     """docs without the documents that contain an item; no shuffle."""
-    spark = docs.sparkSession
     for block in blocks(benchmark, percent):
-        sent = spark.sparkContext.broadcast(block)
-
-        @F.pandas_udf("boolean")
-        def free(texts: pd.Series, sent=sent) -> pd.Series:
-            b = sent.value
-            return pd.Series([next(b.matches(plain_hashes(t)), None) is None for t in texts], dtype=bool)
-
-        docs = docs.filter(free("text"))
+        docs = docs.filter(_free_of(docs.sparkSession.sparkContext.broadcast(block))("text"))
     return docs

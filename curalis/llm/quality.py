@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PUNCT = np.frombuffer(string.punctuation.encode(), np.uint8)
+WIDTH = 2 * 14 + 2 * len(PUNCT)
 
 
 def features(text: str | None) -> np.ndarray:
@@ -47,7 +48,7 @@ def features(text: str | None) -> np.ndarray:
 
 
 def feature_matrix(texts) -> np.ndarray:
-    return np.array([features(t) for t in texts], np.float64).reshape(len(texts), -1)
+    return np.array([features(t) for t in texts], np.float64).reshape(len(texts), WIDTH)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -133,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_positive: int = 4000, most_unla
             yield pd.DataFrame({"y": b["y"], "x": list(feature_matrix(b["text"]))})
 
     got = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("y", "text").mapInPandas(rows, "y int, x array<double>").toPandas()
-    x = np.array(list(got["x"])).reshape(len(got), -1)
+    x = np.array(list(got["x"]), np.float64).reshape(len(got), WIDTH)
     y = got["y"].to_numpy()
     order = np.lexsort(x.T[::-1]) if len(x) else np.arange(0)  # the same fit for any order of rows
     x, y = x[order], y[order]
