@@ -156,7 +156,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, words: str = "plain", perce
     extra = member.join(several.select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b")).filter("a <> b")
     comp = materialize(components(links.unionByName(extra)), "components")
     full = sk.join(nodes.select("k1", "k2", "node"), ["k1", "k2"], "left").join(comp, F.col("node") == comp.id, "left")
-    c = F.coalesce("component", "node", "doc_id")
+    c = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
     return full.select("doc_id", "n_shingles", c.alias("component_id"), F.coalesce(F.col("doc_id") == c, F.lit(True)).alias("kept"))
 
 
