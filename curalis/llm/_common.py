@@ -183,7 +183,7 @@ def with_order(docs: DataFrame) -> DataFrame:
 
 
 def rewrite(docs: DataFrame, removed: DataFrame, change, count: str) -> DataFrame:
-    """docs, with text changed where removed(_ord, hs) names the document: change(text, set of hashes) gives the new text and a count.
+    """docs, with text changed where removed(_ord, hs) names the document: change(texts, sets of hashes) gives each new text and a count.
 
     Documents that a bounded bitmap rules out never meet a shuffle. n_chars, where there is one, follows the text.
     """
@@ -198,7 +198,13 @@ def rewrite(docs: DataFrame, removed: DataFrame, change, count: str) -> DataFram
     def changed(texts, hs):
         import pandas as pd
 
-        got = [(t, 0) if t is None or h is None else change(t, {int(x) for x in h}) for t, h in zip(texts, hs)]
+        got = [(t, 0) for t in texts]
+        some = [i for i, (t, h) in enumerate(zip(texts, hs)) if t is not None and h is not None]
+        for k in range(0, len(some), 400):
+            part = some[k : k + 400]
+            new = change([got[i][0] for i in part], [{int(x) for x in hs.iloc[i]} for i in part])
+            for i, x in zip(part, new):
+                got[i] = x
         return pd.DataFrame(got, columns=["text", "n"])
 
     j = maybe.join(removed, "_ord", "left").withColumn("_c", changed("text", "hs"))

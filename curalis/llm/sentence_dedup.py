@@ -125,4 +125,4 @@ def drop_repeated_sentences(docs: DataFrame) -> DataFrame:
     some, _ = split_by(s.filter("h <> 0"), F.col("h"), bitmap(dup, "h"))
     later = some.join(dup, "h").filter("_ord > lo").select("_ord", "h").union(s.filter("h = 0").select("_ord", "h"))
     removed = materialize(later.groupBy("_ord").agg(F.collect_set("h").alias("hs")), "removed")
-    return rewrite(docs, removed, _without, "n_removed")
+    return rewrite(docs, removed, lambda texts, gone: list(map(_without, texts, gone)), "n_removed")
