@@ -1,13 +1,14 @@
 """Near-duplicate groups by odd sketches (6): banded MinHash candidates, parity-bitmap estimates, exact confirmation.
 
-1. Each document's distinct word shingles give SAMPLES minima; groups of ROWS minima are band keys. The samples
-   are also folded into a parity bitmap of SKETCH_BITS: sample (i, minimum) flips one bit.
+1. Each document's distinct word shingles give SAMPLES minima; groups of ROWS minima are band keys. A second
+   sample, the smallest hash in each of SKETCH_SAMPLES ranges of hashes, is folded into a
+   parity bitmap of SKETCH_BITS: each (range, minimum) flips one bit.
 2. Documents with equal shingle sets become one node at once; only nodes meet in bands.
 3. Inside a band nodes are tested against one leader, not all against all (`_graph.bucket_links`). A pair's XOR
    population count estimates its similarity; pairs estimated far below the threshold are dropped, the
    rest is confirmed on the full shingle sets in groups of bounded size, so no accepted link is an estimate.
 Missed links: a pair at similarity 0.8 shares none of 26 bands of 5 rows with probability 3e-5; the parity
-bound lies five standard deviations out.
+bound lies DEVIATIONS standard deviations out.
 
 Cases: a null text, an empty text or one without words has no shingles and is linked with nothing. A null doc_id
 is its own group with a null component. Rows of one doc_id are one document: what is linked to any of them is
@@ -27,9 +28,10 @@ from pyspark.sql import functions as F
 from ._common import ascii_hashes, bitmap, materialize, mix, plain_hashes, shingles, signed, split_by
 from ._graph import bucket_links, components
 
-SKETCH_BITS = 512
+SKETCH_BITS, SKETCH_SAMPLES = 1024, 1024
+DEVIATIONS = 5.0
 MEMBERS_PER_TASK_GROUP = 64
-SKETCH = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sketch binary"
+SKETCH = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sketch binary, flips long"
 
 
 class Minima:
@@ -51,24 +53,32 @@ class Minima:
             np.minimum(out, x.min(axis=0), out=out)
         return out
 
-    def of(self, s: np.ndarray) -> tuple[np.ndarray, bytes]:
+    def of(self, s: np.ndarray) -> tuple[np.ndarray, bytes, int]:
+        """Band keys, parity bitmap and the number of its flips, for sorted hashes."""
         m = mix(self.minima(s).astype(np.uint64) + self.row)
         b = mix(m.reshape(self.bands, self.rows).cumsum(axis=1, dtype=np.uint64)[:, -1])
-        bit = np.bincount((m >> np.uint64(20)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS) & 1
-        return signed(b), np.packbits(bit.astype(np.uint8)).tobytes()
+        where = (s >> np.uint64(32)) * np.uint64(SKETCH_SAMPLES) >> np.uint64(32)
+        low = s[np.append(True, where[1:] != where[:-1])]
+        bit = np.bincount((mix(low) >> np.uint64(20)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS) & 1
+        return signed(b), np.packbits(bit.astype(np.uint8)).tobytes(), len(low)
 
 
-def estimate(xor_bits: float, samples: int) -> float:
-    """Similarity by the population count of the XOR of two odd sketches."""
-    return 1 + SKETCH_BITS / (4 * samples) * math.log(max(1e-9, 1 - 2 * xor_bits / SKETCH_BITS))
+def most_bits(similarity: float, flips: int) -> int:
+    """The XOR population count that two sketches of `flips` flips together exceed with the chance of DEVIATIONS only.
 
-
-def most_bits(similarity: float, samples: int, deviations: float = 5.0) -> int:
-    """The XOR population count that a pair at `similarity` exceeds with the chance of `deviations`."""
-    miss = samples * (1 - similarity) + deviations * math.sqrt(samples * similarity * (1 - similarity))
-    flips = 2 * miss
-    mean = SKETCH_BITS / 2 * (1 - math.exp(-2 * flips / SKETCH_BITS))
-    return min(SKETCH_BITS, math.ceil(mean + deviations * math.sqrt(mean) / 2))
+    Of R ranges those filled by the union, m, follow from `flips`: each document leaves 1 - flips / 2R of them empty, and
+    the union is 2 / (1 + similarity) documents large. Each has equal minima with the chance `similarity`. The sample's
+    variance shrinks as it comes to hold the whole union; twice the share left out is reckoned with.
+    """
+    empty = max(1 - flips / (2.0 * SKETCH_SAMPLES), 1e-9)
+    union = -2 / (1 + similarity) * SKETCH_SAMPLES * math.log(empty)
+    filled = SKETCH_SAMPLES * (1 - math.exp(-union / SKETCH_SAMPLES))
+    unequal = max(flips - 2 * similarity * filled, 0.0)
+    rest = min(1.0, 2 * (1 - filled / max(union, 1e-6)))
+    fade = math.exp(-4 * unequal / SKETCH_BITS)
+    mean = SKETCH_BITS / 2 * (1 - math.sqrt(fade))
+    parity = SKETCH_BITS / 4 * (1 - fade)
+    return math.ceil(mean + DEVIATIONS * math.sqrt(4 * similarity * (1 - similarity) * filled * rest * fade + parity - min(parity, 0.8 * unequal * fade))) + 4
 
 
 def _word_hashes(words: str):
@@ -87,13 +97,13 @@ def sketches(docs: DataFrame, width: int, words: str, bands: int, rows: int) ->
             for d, t in zip(b["doc_id"].astype("Int64"), b["text"]):
                 s = shingle_set(t, width, words)
                 if not len(s):
-                    out.append((d, 0, None, None, None, None))
+                    out.append((d, 0, None, None, None, None, None))
                     continue
                 k = xxhash.xxh3_128_intdigest(s.tobytes())
-                keys, sketch = m.of(s)
-                out.append((d, len(s), (k & (1 << 64) - 1) - (1 << 63), (k >> 64) - (1 << 63), keys, sketch))
-            f = pd.DataFrame(out, columns=["doc_id", "n_shingles", "k1", "k2", "bands", "sketch"])
-            for c in ("doc_id", "k1", "k2"):
+                keys, sketch, flips = m.of(s)
+                out.append((d, len(s), (k & (1 << 64) - 1) - (1 << 63), (k >> 64) - (1 << 63), keys, sketch, flips))
+            f = pd.DataFrame(out, columns=["doc_id", "n_shingles", "k1", "k2", "bands", "sketch", "flips"])
+            for c in ("doc_id", "k1", "k2", "flips"):
                 f[c] = f[c].astype("Int64")
             yield f
 
@@ -138,16 +148,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, words: str = "plain", perce
     heads = named.join(nodes.select(F.col("node").alias("doc_id"), "k1", "k2"), ["doc_id", "k1", "k2"])
     bids = heads.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("i", "v"))
     buckets = bids.select(F.xxhash64("i", "v").alias("bid"), "id").distinct()
-    light = heads.select(F.col("doc_id").alias("id"), *[F.conv(F.hex(F.substring("sketch", 8 * i + 1, 8)), 16, -10).cast("long").alias(f"s{i}") for i in range(SKETCH_BITS // 64)])
-    limit = most_bits(percent / 100, bands * rows)
     words_ = [f"s{i}" for i in range(SKETCH_BITS // 64)]
+    light = heads.select(F.col("doc_id").alias("id"), "flips", *[F.conv(F.hex(F.substring("sketch", 8 * i + 1, 8)), 16, -10).cast("long").alias(c) for i, c in enumerate(words_)])
+
+    limits = F.array(*[F.lit(most_bits(percent / 100, n)) for n in range(2 * SKETCH_SAMPLES + 1)])
 
     def close(a, b):
-        return sum((F.bit_count(a(c).bitwiseXOR(b(c))) for c in words_), F.lit(0)) <= limit
+        return sum((F.bit_count(a(c).bitwiseXOR(b(c))) for c in words_), F.lit(0)) <= F.get(limits, (a("flips") + b("flips")).cast("int"))
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        x = pairs.join(light.select(F.col("id").alias("a"), *[F.col(c).alias(f"a{c}") for c in words_]), "a")
-        x = x.join(light.select(F.col("id").alias("b"), *[F.col(c).alias(f"b{c}") for c in words_]), "b")
+        x = pairs.join(light.select(F.col("id").alias("a"), *[F.col(c).alias(f"a{c}") for c in ["flips", *words_]]), "a")
+        x = x.join(light.select(F.col("id").alias("b"), *[F.col(c).alias(f"b{c}") for c in ["flips", *words_]]), "b")
         return _confirm_sets(x.filter(close(lambda c: F.col(f"a{c}"), lambda c: F.col(f"b{c}"))).select("a", "b").distinct(), docs, width, words, percent)
 
     links = bucket_links(buckets, confirm, light, close)
