@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._common import materialize
 from ._tokens import encoder
 
 BLOCK = 1024
@@ -49,7 +50,7 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
 
 
 def length_histogram(docs: DataFrame, text: str = "text") -> DataFrame:
-    return suffix_sums(histogram(lengths(docs, text)))
+    return suffix_sums(materialize(histogram(lengths(docs, text)), "lengths"))  # read by two branches: texts are encoded once
 
 
 def at_limits(sums: DataFrame, limits: list[int]) -> DataFrame:
