@@ -39,27 +39,46 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 
-def bucket_links(buckets: DataFrame, confirm: Callable[[DataFrame], DataFrame], payload: DataFrame, close: Callable, rounds: int = 2) -> DataFrame:
+PROBES = 4
+
+
+def _leaders(b: DataFrame, payload: DataFrame, distance: Callable, r: int) -> DataFrame:
+    """(bid, a, ca): one member of each bucket that has not led yet. The first is any; later ones are central: the member
+    with the least sum of distances to PROBES members, taken by hash."""
+    may = b.filter("not led")
+    if r == 0:
+        lead = may.groupBy("bid").agg(F.min(F.struct(F.xxhash64(F.col("id"), F.lit(r)).alias("h"), "id", "c")).alias("l"))
+        return lead.select("bid", F.col("l.id").alias("a"), F.col("l.c").alias("ca"))
+    full = b.join(payload, "id")
+    value = F.struct(*[c for c in payload.columns if c != "id"])
+    probes = full.groupBy("bid").agg(*[F.min_by(value, F.xxhash64(F.col("id"), F.lit(r), F.lit(i))).alias(f"p{i}") for i in range(PROBES)])
+    far = sum(distance(F.col, lambda c, i=i: F.col(f"p{i}.{c}")) for i in range(PROBES))
+    lead = full.filter("not led").join(probes, "bid").groupBy("bid").agg(F.min(F.struct(far.alias("far"), F.xxhash64("id").alias("h"), "id", "c")).alias("l"))
+    return lead.select("bid", F.col("l.id").alias("a"), F.col("l.c").alias("ca"))
+
+
+def bucket_links(buckets: DataFrame, confirm: Callable[[DataFrame], DataFrame], payload: DataFrame, close: Callable, distance: Callable, rounds: int = 2) -> DataFrame:
     """Confirmed links (a, b) whose components are those of all confirmed pairs inside any bucket.
 
     buckets: (bid, id), distinct. A bucket of n members costs n - 1 pairs per star round, not n*(n-1)/2: every
     member is tested against one leader, members already in the leader's component are skipped, and
     another leader is taken in the next round. Buckets that still hold several components after the
     star rounds are finished exactly: each remaining pair of different components is tested.
-    confirm takes distinct pairs (a, b) and returns those that are links. payload has columns for each id and
-    close(column of a, column of b) says in their terms, by name, whether a pair can be a link at all: the
-    last step asks it inside its join.
+    confirm takes distinct pairs (a, b) and returns those that are links. payload has columns for each id;
+    close(column of a, column of b) says in their terms, by name, whether a pair can be a link at all, which the
+    last step asks inside its join, and distance(...) how far apart two members are, by which leaders are chosen.
     """
     b = buckets.join(buckets.groupBy("bid").agg(F.count("*").alias("n")).filter("n > 1"), "bid")
-    b = materialize(b.select("bid", "id", "n", F.col("id").alias("c")), "buckets")
+    b = materialize(b.select("bid", "id", "n", F.col("id").alias("c"), F.lit(False).alias("led")), "buckets")
     if b.isEmpty():
         return b.select(F.col("id").alias("a"), F.col("id").alias("b"))
     found: DataFrame | None = None
     for r in range(rounds + 1):
         if r < rounds:
-            lead = b.groupBy("bid").agg(F.min(F.struct(F.xxhash64(F.col("id"), F.lit(r)).alias("h"), "id", "c")).alias("l"))
-            pairs = b.join(lead.select("bid", F.col("l.id").alias("a"), F.col("l.c").alias("ca")), "bid").filter("c <> ca")
-            pairs = pairs.select("a", F.col("id").alias("b"))
+            lead = _leaders(b, payload, distance, r)
+            if r:
+                lead = materialize(lead, "leaders")
+            pairs = b.join(lead, "bid").filter("c <> ca").select("a", F.col("id").alias("b"))
         else:
             y = b.join(payload, "id")
             x = y.select([F.col(c).alias(f"x_{c}") for c in y.columns])
@@ -70,9 +89,10 @@ def bucket_links(buckets: DataFrame, confirm: Callable[[DataFrame], DataFrame],
         if r == rounds:
             break
         c = materialize(components(found), "components")
-        b = b.drop("c").join(c, "id", "left").select("bid", "id", "n", F.coalesce("component", "id").alias("c"))
+        b = b.drop("c").join(c, "id", "left").select("bid", "id", "n", F.coalesce("component", "id").alias("c"), "led")
         mixed = b.groupBy("bid").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("bid")
-        b = materialize(b.filter("n > 2").join(mixed, "bid").select("bid", "id", "n", "c"), "buckets")
+        b = b.filter("n > 2").join(mixed, "bid").join(lead.select("bid", "a"), "bid", "left")
+        b = materialize(b.select("bid", "id", "n", "c", (F.col("led") | F.coalesce(F.col("id") == F.col("a"), F.lit(False))).alias("led")), "buckets")
         if b.isEmpty():
             break
     return found

@@ -1,14 +1,15 @@
 """Near-duplicate groups by odd sketches (6): banded MinHash candidates, parity-bitmap estimates, exact confirmation.
 
-1. Each document's distinct word shingles give SAMPLES minima; groups of ROWS minima are band keys. A second
-   sample, the smallest hash in each of SKETCH_SAMPLES ranges of hashes, is folded into a
-   parity bitmap of SKETCH_BITS: each (range, minimum) flips one bit.
+1. Each document's distinct word shingles give SAMPLES minima; groups of ROWS minima are band keys. Two further
+   samples are folded into parity bitmaps of SKETCH_BITS, in which each minimum flips one bit: the smallest hash
+   in each of SKETCH_SAMPLES ranges of hashes, and, for sets that are not large, in ranges so narrow that each hash is its own
+   minimum. The second holds the whole set, so its XOR counts the sets' difference with no sampling error.
 2. Documents with equal shingle sets become one node at once; only nodes meet in bands.
-3. Inside a band nodes are tested against one leader, not all against all (`_graph.bucket_links`). A pair's XOR
+3. Inside a band nodes are tested against one leader, a central one by the sketches, not all against all (`_graph.bucket_links`). A pair's XOR
    population count estimates its similarity; pairs estimated far below the threshold are dropped, the
    rest is confirmed on the full shingle sets in groups of bounded size, so no accepted link is an estimate.
 Missed links: a pair at similarity 0.8 shares none of 26 bands of 5 rows with probability 3e-5; the parity
-bound lies DEVIATIONS standard deviations out.
+bounds lie DEVIATIONS standard deviations out (or at the difference itself, which the whole set's count can't exceed).
 
 Cases: a null text, an empty text or one without words has no shingles and is linked with nothing. A null doc_id
 is its own group with a null component. Rows of one doc_id are one document: what is linked to any of them is
@@ -31,7 +32,8 @@ from ._graph import bucket_links, components
 SKETCH_BITS, SKETCH_SAMPLES = 1024, 1024
 DEVIATIONS = 5.0
 MEMBERS_PER_TASK_GROUP = 64
-SKETCH = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sketch binary, flips long"
+WHOLE_UP_TO = 2048
+SKETCH = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sketch binary, flips long, whole binary"
 
 
 class Minima:
@@ -53,14 +55,19 @@ class Minima:
             np.minimum(out, x.min(axis=0), out=out)
         return out
 
-    def of(self, s: np.ndarray) -> tuple[np.ndarray, bytes, int]:
-        """Band keys, parity bitmap and the number of its flips, for sorted hashes."""
+    def of(self, s: np.ndarray) -> tuple[np.ndarray, bytes, int, bytes]:
+        """Band keys, parity bitmap and the number of its flips, and the whole set's bitmap, for sorted hashes."""
         m = mix(self.minima(s).astype(np.uint64) + self.row)
         b = mix(m.reshape(self.bands, self.rows).cumsum(axis=1, dtype=np.uint64)[:, -1])
         where = (s >> np.uint64(32)) * np.uint64(SKETCH_SAMPLES) >> np.uint64(32)
         low = s[np.append(True, where[1:] != where[:-1])]
-        bit = np.bincount((mix(low) >> np.uint64(20)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS) & 1
-        return signed(b), np.packbits(bit.astype(np.uint8)).tobytes(), len(low)
+        return signed(b), parity(low), len(low), parity(s)
+
+
+def parity(hashes: np.ndarray) -> bytes:
+    """A bitmap in which each hash flips one bit."""
+    bit = np.bincount((mix(hashes) >> np.uint64(20)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS) & 1
+    return np.packbits(bit.astype(np.uint8)).tobytes()
 
 
 def most_bits(similarity: float, flips: int) -> int:
@@ -81,6 +88,15 @@ def most_bits(similarity: float, flips: int) -> int:
     return math.ceil(mean + DEVIATIONS * math.sqrt(4 * similarity * (1 - similarity) * filled * rest * fade + parity - min(parity, 0.8 * unequal * fade))) + 4
 
 
+def most_whole_bits(difference: int) -> int:
+    """The XOR population count that the bitmaps of two whole sets exceed with the chance of DEVIATIONS only, where the sets
+    differ in at most `difference` members: the parities of so many balls thrown into SKETCH_BITS bins."""
+    n, d = SKETCH_BITS, difference
+    one, two = (1 - 2 / n) ** d, (1 - 4 / n) ** d
+    var = n / 4 * (1 - two) + n * n / 4 * (two - one * one)
+    return min(d, math.ceil(n / 2 * (1 - one) + DEVIATIONS * math.sqrt(max(var, 0.0))))
+
+
 def _word_hashes(words: str):
     return {"ascii": ascii_hashes, "plain": plain_hashes}[words]
 
@@ -97,12 +113,11 @@ def sketches(docs: DataFrame, width: int, words: str, bands: int, rows: int) ->
             for d, t in zip(b["doc_id"].astype("Int64"), b["text"]):
                 s = shingle_set(t, width, words)
                 if not len(s):
-                    out.append((d, 0, None, None, None, None, None))
+                    out.append((d, 0, None, None, None, None, None, None))
                     continue
                 k = xxhash.xxh3_128_intdigest(s.tobytes())
-                keys, sketch, flips = m.of(s)
-                out.append((d, len(s), (k & (1 << 64) - 1) - (1 << 63), (k >> 64) - (1 << 63), keys, sketch, flips))
-            f = pd.DataFrame(out, columns=["doc_id", "n_shingles", "k1", "k2", "bands", "sketch", "flips"])
+                out.append((d, len(s), (k & (1 << 64) - 1) - (1 << 63), (k >> 64) - (1 << 63), *m.of(s)))
+            f = pd.DataFrame(out, columns=["doc_id", "n_shingles", "k1", "k2", "bands", "sketch", "flips", "whole"])
             for c in ("doc_id", "k1", "k2", "flips"):
                 f[c] = f[c].astype("Int64")
             yield f
@@ -148,20 +163,35 @@ def near_duplicates(docs: DataFrame, width: int = 5, words: str = "plain", perce
     heads = named.join(nodes.select(F.col("node").alias("doc_id"), "k1", "k2"), ["doc_id", "k1", "k2"])
     bids = heads.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("i", "v"))
     buckets = bids.select(F.xxhash64("i", "v").alias("bid"), "id").distinct()
-    words_ = [f"s{i}" for i in range(SKETCH_BITS // 64)]
-    light = heads.select(F.col("doc_id").alias("id"), "flips", *[F.conv(F.hex(F.substring("sketch", 8 * i + 1, 8)), 16, -10).cast("long").alias(c) for i, c in enumerate(words_)])
+    words_ = range(SKETCH_BITS // 64)
 
-    limits = F.array(*[F.lit(most_bits(percent / 100, n)) for n in range(2 * SKETCH_SAMPLES + 1)])
+    def split(c: str, to: str):
+        return [F.conv(F.hex(F.substring(c, 8 * i + 1, 8)), 16, -10).cast("long").alias(f"{to}{i}") for i in words_]
+
+    light = heads.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"), "flips", *split("sketch", "s"), *split("whole", "w"))
+    names = [c for c in light.columns if c != "id"]
+    limits = F.expr(f"array({', '.join(str(most_bits(percent / 100, n)) for n in range(2 * SKETCH_SAMPLES + 1))})")
+    whole_limits = F.expr(f"array({', '.join(str(most_whole_bits(d)) for d in range(WHOLE_UP_TO + 1))})")
+
+    def unlike(a, b, kind):
+        return sum((F.bit_count(a(f"{kind}{i}").bitwiseXOR(b(f"{kind}{i}"))) for i in words_), F.lit(0))
 
     def close(a, b):
-        return sum((F.bit_count(a(c).bitwiseXOR(b(c))) for c in words_), F.lit(0)) <= F.get(limits, (a("flips") + b("flips")).cast("int"))
+        # 100 * shared >= percent * union, where shared = (sum - difference) / 2 and union = (sum + difference) / 2
+        most = F.floor((a("size") + b("size")) * (100 - percent) / (100 + percent) + 1e-6)
+        whole = unlike(a, b, "w") <= F.coalesce(F.get(whole_limits, most.cast("int")), F.lit(SKETCH_BITS))
+        return (F.abs(a("size") - b("size")) <= most) & whole & (unlike(a, b, "s") <= F.get(limits, (a("flips") + b("flips")).cast("int")))
+
+    def distance(a, b):
+        return unlike(a, b, "s")
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        x = pairs.join(light.select(F.col("id").alias("a"), *[F.col(c).alias(f"a{c}") for c in ["flips", *words_]]), "a")
-        x = x.join(light.select(F.col("id").alias("b"), *[F.col(c).alias(f"b{c}") for c in ["flips", *words_]]), "b")
+        x = pairs
+        for side in "ab":
+            x = x.join(light.select(F.col("id").alias(side), *[F.col(c).alias(f"{side}{c}") for c in names]), side)
         return _confirm_sets(x.filter(close(lambda c: F.col(f"a{c}"), lambda c: F.col(f"b{c}"))).select("a", "b").distinct(), docs, width, words, percent)
 
-    links = bucket_links(buckets, confirm, light, close)
+    links = bucket_links(buckets, confirm, light, close, distance)
     member = named.join(nodes, ["k1", "k2"]).select("doc_id", "node")
     several = member.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b")
     extra = member.join(several.select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b")).filter("a <> b")
