@@ -15,13 +15,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BITMAP_LOG2 = 24
+ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ARROW_ROWS = 1000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _S31, _S29 = np.uint64(31), np.uint64(29)
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that workers anywhere can import it."""
+    """Send this package to the executors once per application, so that workers anywhere can import it.
+
+    Whole texts pass to Python in batches of ARROW_ROWS rows, unless the session asks for fewer: a batch of Spark's
+    10,000 rows is held several times over by both sides of each task.
+    """
     sc = spark.sparkContext
+    rows = int(spark.conf.get(ARROW))
+    if rows <= 0 or rows > ARROW_ROWS:
+        spark.conf.set(ARROW, str(ARROW_ROWS))
     if getattr(sc, "_curalis_shipped", False):
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
