@@ -113,7 +113,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Words(dict):
     """word -> 64-bit hash of its normalised form, computed once per worker; 0 means 'no word'. Bounded: it empties when full."""
 
-    def __init__(self, normal, limit: int = 400_000):
+    def __init__(self, normal, limit: int = 100_000):
         super().__init__()
         self.normal, self.limit = normal, limit
 
