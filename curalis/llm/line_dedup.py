@@ -1,13 +1,16 @@
-"""Fuzzy line dedup (5): SimHash of normalised lines, join on pigeonhole blocks, edit similarity, one line a group.
-
-A line is compared by its words in lower case, letters and digits only, digits alike. Equal lines meet by hash. Of different
-lines those are linked whose 128-bit SimHashes differ in at most RADIUS bits and whose word edit similarity,
-1 - distance / words of the longer, is at least 0.8. RADIUS + 1 blocks of the bits: lines within the radius agree in one
-block at least, so the join on blocks loses none. Within a block lines meet a leader, not each other
-(`_graph.bucket_links`). Of each connected group the occurrence with the smallest doc_id stays, the earliest there.
-
-Lines of fewer than LEAST_WORDS words stay. Cases: null and empty texts are unchanged; rows of one doc_id are one document;
-rows without a doc_id count as one document, the last; other columns pass through; an empty table gives no rows.
+"""Fuzzy line dedup (5): join of normalised lines on their rarest word pairs, edit similarity, one line a group.
+
+A line is compared by its words in lower case, letters and digits only, digits alike. Equal lines meet by hash. Different
+lines are linked whose word edit similarity, 1 - distance / words of the longer, is at least 0.8: all such pairs, by bounds
+that lose none. An edit takes at most two pairs of adjacent words, so of a line's m - 1 pairs 2 (m // 5) may be lost to a
+shorter one, and the 2 (n // 5) + 1 first pairs of both (one more where n % 5 is 4, for a longer partner), in one order for all
+lines, have one in common. The order puts pairs of rare words first, by a sample's counts, which decide the cost only. An edit flips at most 2 bits of a 128-bit parity bitmap of the words, so linked lines differ in at most
+2 d of them. Buckets of many lines are split by length, and their lines meet a leader first, not each other. Of each
+connected group the occurrence with the smallest doc_id stays, the earliest there.
+
+Lines of fewer than LEAST_WORDS words stay.
+Cases: null and empty texts are unchanged; rows of one doc_id are one document; rows without a doc_id count as one document,
+the last; other columns pass through; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,14 +19,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import GOLD, bitmap, materialize, mix, rewrite, runs, signed, split_by, with_order
-from ._graph import bucket_links, components
+from ._graph import components
 
-RADIUS = 4
+RADIUS = 44  # SimHash bits within which linked lines lie in practice; only the brute-force test asks it, to skip pairs
 LEAST_WORDS = 4
+FUZZY_WORDS = 4
+COMMON_WORDS = 200_000
+LARGE = 64
 
 
 def _hashes(words: pa.Array) -> np.ndarray:
@@ -92,36 +98,100 @@ def _few(batches):
                 yield y.iloc[k : k + 400]
 
 
-def _occurrences(batches):
-    for b in _few(batches):
-        b = b[b["text"].notna()]
-        of, _, w, heads = lines_of_all(list(b["text"]))
-        if not len(heads):
-            continue
-        h, o = runs(w, heads), b["_ord"].to_numpy()[of]
-        s = simhash(w, heads)
-        order = np.lexsort((h, of))
-        again = np.append(False, (h[order][1:] == h[order][:-1]) & (of[order][1:] == of[order][:-1]))
-        first = order[~again]
-        yield pd.DataFrame({"_ord": o[first], "h": signed(h[first]), "s0": signed(s[first, 0]), "s1": signed(s[first, 1]), "own": False})
-        own = np.unique(of[order[again]])
-        if len(own):
-            yield pd.DataFrame({"_ord": b["_ord"].to_numpy()[own], "h": 0, "s0": 0, "s1": 0, "own": True})
-
-
-def blocks(s0, s1, count: int) -> list:
-    """Keys of `count` blocks of the 128 bits."""
-    edge = [round(128 * i / count) for i in range(count + 1)]
-    out = []
-    for i, (lo, hi) in enumerate(zip(edge, edge[1:])):
-        parts = []
-        for base, col in ((0, s0), (64, s1)):
-            a, b = max(lo, base) - base, min(hi, base + 64) - base
-            if a < b:
-                mask = (1 << (b - a)) - 1
-                parts.append(F.shiftrightunsigned(col, a).bitwiseAND(F.lit(mask)) if b - a < 64 else col)
-        out.append(F.xxhash64(F.lit(i), *parts))
-    return out
+def common_words(d: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, of the words most frequent in an eighth of the documents, COMMON_WORDS at most, and the rank of each: 1 is the rarest."""
+
+    def run(batches):
+        for b in _few(batches):
+            x, n = np.unique(lines_of_all(list(b["text"]))[2], return_counts=True)
+            yield pd.DataFrame({"w": signed(x), "n": n})
+
+    some = d.filter("text is not null").filter(F.pmod(F.xxhash64("_ord"), F.lit(8)) == 0)
+    got = some.mapInPandas(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(COMMON_WORDS).toPandas()
+    w, rank = got["w"].to_numpy(np.int64).view(np.uint64), np.arange(len(got), 0, -1).astype(np.uint64)
+    order = np.argsort(w)
+    return w[order], rank[order]
+
+
+def rarest(words: np.ndarray, heads: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+    """For each line the distinct codes of its first word pairs in the common order; none for lines too short for an edit."""
+    n = np.diff(np.append(heads, len(words)))
+    rank = np.zeros(len(words), np.uint64)
+    if len(common[0]):
+        at = np.minimum(np.searchsorted(common[0], words), len(common[0]) - 1)
+        rank = np.where(common[0][at] == words, common[1][at], np.uint64(0))
+    line = np.repeat(np.arange(len(heads)), n)
+    pair = np.flatnonzero((line[1:] == line[:-1]) & (n[line[1:]] >= FUZZY_WORDS))
+    line = line[pair]
+    code = rank[pair] + rank[pair + 1] << np.uint64(44) | mix(mix(words[pair]) + words[pair + 1]) >> np.uint64(20)
+    code = code[np.lexsort((code, line))]
+    most = 2 * (n // 5) + 1 + (n % 5 == 4)
+    ok = np.arange(len(line)) - np.searchsorted(line, line) < most[line]
+    ok[1:] &= (code[1:] != code[:-1]) | (line[1:] != line[:-1])
+    return np.split(signed(code[ok]), np.cumsum(np.bincount(line[ok], minlength=len(heads)))[:-1])
+
+
+def parity(words: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Two 64-bit words for each run: bit i is the parity of the number of its words hashed to i."""
+    if not len(heads):
+        return np.empty((0, 2), np.uint64)
+    x = mix(words ^ np.uint64(GOLD))
+    bit, side = np.uint64(1) << (x & np.uint64(63)), x >> np.uint64(63)
+    return np.stack([np.bitwise_xor.reduceat(bit * (side == np.uint64(i)), heads) for i in range(2)], axis=1)
+
+
+def _occurrences(common):
+    def run(batches):
+        for b in _few(batches):
+            b = b[b["text"].notna()]
+            of, _, w, heads = lines_of_all(list(b["text"]))
+            if not len(heads):
+                continue
+            h, o = runs(w, heads), b["_ord"].to_numpy()[of]
+            s, keys, m = parity(w, heads), rarest(w, heads, common), np.diff(np.append(heads, len(w)))
+            order = np.lexsort((h, of))
+            again = np.append(False, (h[order][1:] == h[order][:-1]) & (of[order][1:] == of[order][:-1]))
+            first = order[~again]
+            # one batch names a line's pairs once: its other occurrences there add nothing to the join
+            named = np.zeros(len(h), bool)
+            named[first[np.unique(h[first], return_index=True)[1]]] = True
+            yield pd.DataFrame({"_ord": o[first], "h": signed(h[first]), "s0": signed(s[first, 0]), "s1": signed(s[first, 1]), "m": m[first], "own": False, "keys": [keys[i] if named[i] else [] for i in first]})
+            own = np.unique(of[order[again]])
+            if len(own):
+                yield pd.DataFrame({"_ord": b["_ord"].to_numpy()[own], "h": 0, "s0": 0, "s1": 0, "m": 0, "own": True, "keys": [[] for _ in own]})
+
+    return run
+
+
+def _close(x: str, y: str):
+    """Whether the lengths and parities of two lines allow an edit similarity of 0.8."""
+    a, b = F.col(f"{x}m"), F.col(f"{y}m")
+    bits = F.bit_count(F.col(f"{x}s0").bitwiseXOR(F.col(f"{y}s0"))) + F.bit_count(F.col(f"{x}s1").bitwiseXOR(F.col(f"{y}s1")))
+    most = F.floor(F.greatest(a, b) / 5)
+    return (F.abs(a - b) <= most) & (bits <= 2 * most)
+
+
+def _links(keys: DataFrame, lines: DataFrame, confirm) -> DataFrame:
+    """Confirmed links (a, b) whose components are those of all confirmed pairs inside any bucket: keys(bid, id), lines(id, m, s0, s1).
+
+    In buckets of more than LARGE lines all meet one leader first; then each pair of different components that may be a link is tested.
+    """
+    b = keys.repartition("bid").dropDuplicates(["bid", "id"]).withColumn("n", F.count("*").over(Window.partitionBy("bid"))).filter("n > 1")
+    # lines at 0.8 lie in one length class or in neighbouring ones
+    size = F.floor(F.log("m") / F.log(F.lit(1.26)))
+    bids = F.when(F.col("n") > LARGE, F.array(F.xxhash64("bid", size), F.xxhash64("bid", size + 1))).otherwise(F.array("bid"))
+    b = materialize(b.join(lines, "id").withColumn("bid", F.explode(bids)), "buckets")
+    large = b.filter(F.col("n") > LARGE)
+    lead = large.groupBy("bid").agg(F.min(F.struct(F.xxhash64("id").alias("x"), "id", "m", "s0", "s1")).alias("l")).select("bid", *[F.col(f"l.{c}").alias(f"x_{c}") for c in ("id", "m", "s0", "s1")])
+    pairs = large.join(lead, "bid").filter((F.col("id") != F.col("x_id")) & _close("", "x_")).select(F.least("id", "x_id").alias("a"), F.greatest("id", "x_id").alias("b")).distinct()
+    first = materialize(confirm(pairs), "links")
+    c = materialize(components(first), "components")
+    maybe, stay = split_by(b, F.col("id"), bitmap(c, "id"))
+    y = maybe.join(c, "id", "left").withColumn("c", F.coalesce("component", "id"))
+    y = y.select("bid", "id", "m", "s0", "s1", "c").union(stay.select("bid", "id", "m", "s0", "s1", F.col("id").alias("c")))
+    x = y.select([F.col(c).alias(f"x_{c}") for c in y.columns])
+    pairs = y.join(x, (F.col("bid") == F.col("x_bid")) & (F.col("x_id") < F.col("id")) & (F.col("x_c") != F.col("c")) & _close("", "x_")).select(F.col("x_id").alias("a"), F.col("id").alias("b")).distinct()
+    return first.union(materialize(confirm(pairs), "links"))
 
 
 def _letters(words: np.ndarray) -> str:
@@ -160,28 +230,18 @@ def _without(texts: list[str], gone: list[set[int]]) -> list[tuple[str, int]]:
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     """docs with repeated and nearly repeated lines removed from text, and how many: n_removed."""
     d = with_order(docs).select("_ord", "text")
-    occ = materialize(d.mapInPandas(_occurrences, "_ord long, h long, s0 long, s1 long, own boolean"), "lines")
-    lines = occ.filter("not own").groupBy("h").agg(F.min("_ord").alias("lo"), F.max("_ord").alias("hi"), F.min("s0").alias("s0"), F.min("s1").alias("s1"))
-    lines = materialize(lines, "distinct")
-    keys = lines.select(F.col("h").alias("id"), F.explode(F.array(*blocks(F.col("s0"), F.col("s1"), RADIUS + 1))).alias("bid"))
+    occ = materialize(d.mapInPandas(_occurrences(common_words(d)), "_ord long, h long, s0 long, s1 long, m long, own boolean, keys array<long>"), "lines")
+    lines = materialize(occ.filter("not own").groupBy("h").agg(F.min("_ord").alias("lo"), F.max("_ord").alias("hi"), F.min("m").alias("m"), F.min("s0").alias("s0"), F.min("s1").alias("s1")), "distinct")
+    keys = occ.filter(F.size("keys") > 0).select(F.explode("keys").alias("bid"), F.col("h").alias("id"))
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        x = pairs.join(lines.select(F.col("h").alias("a"), F.col("s0").alias("a0"), F.col("s1").alias("a1"), F.col("lo").alias("ao")), "a")
-        x = x.join(lines.select(F.col("h").alias("b"), F.col("s0").alias("b0"), F.col("s1").alias("b1"), F.col("lo").alias("bo")), "b")
-        far = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
-        x = materialize(x.filter(far <= RADIUS).select("a", "b", "ao", "bo"), "close")
+        x = pairs.join(lines.select(F.col("h").alias("a"), F.col("lo").alias("ao")), "a").join(lines.select(F.col("h").alias("b"), F.col("lo").alias("bo")), "b")
+        x = materialize(x.select("a", "b", "ao", "bo"), "close")
         text = materialize(_fetch(x.select(F.col("a").alias("h"), F.col("ao").alias("_ord")).union(x.select("b", "bo")).distinct(), d), "texts")
         x = x.join(text.select(F.col("h").alias("a"), F.col("line").alias("la")), "a").join(text.select(F.col("h").alias("b"), F.col("line").alias("lb")), "b")
-        return x.filter(5 * F.levenshtein("la", "lb") <= F.greatest(F.length("la"), F.length("lb"))).select("a", "b")
-
-    def distance(a, b):
-        return F.bit_count(a("s0").bitwiseXOR(b("s0"))) + F.bit_count(a("s1").bitwiseXOR(b("s1")))
-
-    def close(a, b):
-        return distance(a, b) <= RADIUS
+        return x.filter("levenshtein(la, lb, cast(floor(greatest(length(la), length(lb)) / 5) as int)) >= 0").select("a", "b")
 
-    bits = lines.select(F.col("h").alias("id"), "s0", "s1")
-    comp = materialize(components(bucket_links(keys, confirm, bits, close, distance)), "components")
+    comp = materialize(components(_links(keys, lines.select(F.col("h").alias("id"), "m", "s0", "s1"), confirm)), "components")
     near = lines.join(comp, F.col("h") == comp.id).select("h", "lo", "component")
     keep = near.groupBy("component").agg(F.min(F.struct("lo", "h")).alias("k"))
     near = near.join(keep, "component").select("h", F.col("k.lo").alias("lo"), (F.col("h") == F.col("k.h")).alias("keeper"))

@@ -352,3 +352,20 @@ def test_registered_queries_run(spark):
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
     for n in ("op2_media", "op8_tool_calls", "op1_quality"):
         assert queries.queries()[n](spark, DATA).count() > 0
+
+
+def test_lines_within_the_edit_threshold_all_go(spark):
+    rng = np.random.default_rng(5)
+    word = lambda *k: "".join(chr(97 + x // 26 % 26) + chr(97 + x % 26) for x in k)
+    texts, want = [], []
+    for n in [4, 5, 6, 7, 9, 10, 11, 15, 20, 34, 50, 90, 200]:
+        base = [word(n, k) for k in range(n)]
+        near, far = list(base), list(base)
+        for k in rng.choice(n, n // 5 + 1, replace=False):
+            far[k] = word(n, k, 1)
+        for k in rng.choice(n, n // 5, replace=False):
+            near[k] = word(n, k, 2)
+        texts += map(" ".join, (base, near, far, base[n // 5 :] if n % 5 == 0 else base))
+        want += [0, 1, 0, 1]
+    got = {r.doc_id: r.n_removed for r in line_dedup.drop_repeated_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == want
