@@ -369,3 +369,9 @@ def test_lines_within_the_edit_threshold_all_go(spark):
         want += [0, 1, 0, 1]
     got = {r.doc_id: r.n_removed for r in line_dedup.drop_repeated_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert [got[i] for i in range(len(texts))] == want
+
+
+def test_repeated_short_lines_go(spark):
+    texts = ["All rights reserved.\nHome\n---\n\nHome", "home\n---\n\nSee also", "all rights reserved\nAll rights kept"]
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.drop_repeated_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: ("All rights reserved.\nHome\n---\n", 1), 1: ("---\n\nSee also", 1), 2: ("All rights kept", 1)}
