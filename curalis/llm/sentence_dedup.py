@@ -110,7 +110,7 @@ def _without(text: str, gone: set[int]) -> tuple[str, int]:
         if not drop[first:k].any():
             out.append(raw[i])
             continue
-        kept = [" ".join(x[heads[q] - begin[i] : ends[q] - begin[i]]) for q in range(first, k) if not drop[q]]
+        kept = [" ".join(x[heads[q] - begin[i] : ends[q + 1] - begin[i]]) for q in range(first, k) if not drop[q]]
         if kept:
             out.append(" ".join(kept))
     return "\n".join(out), int(drop.sum())

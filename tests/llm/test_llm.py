@@ -375,3 +375,10 @@ def test_repeated_short_lines_go(spark):
     texts = ["All rights reserved.\nHome\n---\n\nHome", "home\n---\n\nSee also", "all rights reserved\nAll rights kept"]
     got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.drop_repeated_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert got == {0: ("All rights reserved.\nHome\n---\n", 1), 1: ("---\n\nSee also", 1), 2: ("All rights kept", 1)}
+
+
+def test_sentences_beside_a_repeated_span_stay(spark):
+    p = "The old harbour lies behind the hill. Boats leave it before the sun is up! Nobody knows who built the long wall there."
+    d = spark.createDataFrame([(1, p), (2, f"First words stand here. {p} End of two.")], "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_removed) for r in sentence_dedup.drop_repeated_sentences(d).collect()}
+    assert got == {1: (p, 0), 2: ("First words stand here. End of two.", 3)}
