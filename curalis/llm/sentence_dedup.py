@@ -1,8 +1,12 @@
 """Sliding sentence spans (10): every run of SPAN consecutive sentences is hashed and joined globally; sentences
 covered by any non-first repeated span go.
 
-A sentence ends after '.', '!' or '?', at a line's end, or after MOST_WORDS words, so that a passage of over 50 words is
-always at least one whole span. Words are compared in lower case, letters and digits only. Spans of fewer than
+A sentence ends after '.', '!' or '?' or at a line's end. One of over MOST_WORDS words is cut before each word whose hash,
+taken with the next word's, is the least among NEAR words on both sides. That depends on those words alone, so in a repeated
+stretch the cuts are the same but for NEAR words at its ends, wherever it stands in a sentence. What is still over MOST_WORDS
+words, as in text of a few words over and over, is cut at every MOST_WORDS words. Nearly every stretch of 51 words inside long
+sentences has a common span, not every one. Sentences of up to MOST_WORDS words are never cut, so of a passage that begins and
+ends inside such sentences three whole ones must repeat. Words are compared in lower case, letters and digits only. Spans of fewer than
 LEAST_WORDS words are not compared. First means the smallest doc_id, then the earlier place in it.
 
 The spans' hashes are counted with partial sums, only hashes that a bounded bitmap lets through meet in the second
@@ -25,6 +29,7 @@ from ._common import GOLD, Words, bitmap, materialize, mix, plain, rewrite, runs
 
 SPAN = 3
 MOST_WORDS = 20
+NEAR = 3
 LEAST_WORDS = 10
 
 
@@ -40,6 +45,17 @@ class _Ends(Words):
 _ENDS = _Ends(plain)
 
 
+def _cuts(words: np.ndarray, place: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Where long sentences are cut; place of each word in its sentence and the sentence's size."""
+    x = mix(words)
+    x[:-1] = mix(x[:-1] + words[1:])
+    cut = (size > MOST_WORDS) & (place > NEAR) & (size - place > NEAR)
+    for k in range(1, NEAR + 1):
+        cut[k:] &= x[k:] < x[:-k]
+        cut[:-k] &= x[:-k] <= x[k:]
+    return cut
+
+
 def sentences(text: str) -> tuple[list[list[str]], np.ndarray, np.ndarray, np.ndarray]:
     """Words by line, all words' hashes, and for each sentence its first word's place and its line."""
     lines = [x.split() for x in text.split("\n")]
@@ -52,6 +68,10 @@ def sentences(text: str) -> tuple[list[list[str]], np.ndarray, np.ndarray, np.nd
     start = np.ones(len(h), bool)
     start[1:] = (h[:-1] & np.uint64(1)).astype(bool) | (line[1:] != line[:-1])
     at = np.arange(len(h))
+    heads = np.flatnonzero(start)
+    n = np.diff(np.append(heads, len(h)))
+    if (n > MOST_WORDS).any():
+        start |= _cuts(h >> np.uint64(1), at - np.repeat(heads, n), np.repeat(n, n))
     start |= (at - np.maximum.accumulate(np.where(start, at, 0))) % MOST_WORDS == 0
     heads = np.flatnonzero(start)
     return lines, h >> np.uint64(1), heads, line[heads]

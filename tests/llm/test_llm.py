@@ -377,6 +377,20 @@ def test_repeated_short_lines_go(spark):
     assert got == {0: ("All rights reserved.\nHome\n---\n", 1), 1: ("---\n\nSee also", 1), 2: ("All rights kept", 1)}
 
 
+@pytest.mark.parametrize("n", [51, 55, 60])
+def test_passage_inside_long_sentences_is_found_at_any_offset(spark, n):
+    rng = np.random.default_rng(n)
+    word = lambda k: "".join(chr(97 + int(k) // 26**i % 26) for i in range(5))
+    new = lambda size: [word(k) for k in rng.integers(0, 26**5, size)]
+    passage = new(n)
+    texts = [" ".join(new(k) + passage + new(40 - k)) + "." for k in range(41)]
+    got = {r.doc_id: (r.text, r.n_removed) for r in sentence_dedup.drop_repeated_sentences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[0] == (texts[0], 0) and all(got[k][1] > 0 for k in range(1, 41))
+    for k in range(1, 41):
+        left = got[k][0].rstrip(".").split()
+        assert sum(w in passage for w in left) <= n - 12 and sum(w not in passage for w in left) == 40
+
+
 def test_sentences_beside_a_repeated_span_stay(spark):
     p = "The old harbour lies behind the hill. Boats leave it before the sun is up! Nobody knows who built the long wall there."
     d = spark.createDataFrame([(1, p), (2, f"First words stand here. {p} End of two.")], "doc_id long, text string")
