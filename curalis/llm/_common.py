@@ -3,34 +3,42 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BITMAP_LOG2 = 24
+BITMAP_LOG2 = 25
 ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
 ARROW_ROWS = 1000
+ARROW_SIZE = "spark.sql.execution.arrow.maxBytesPerBatch"
+ARROW_BYTES = 8 << 20
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _S31, _S29 = np.uint64(31), np.uint64(29)
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that workers anywhere can import it.
+    """Send this package to the executors once per application, so that workers anywhere can import it. Every operator calls it.
 
-    Whole texts pass to Python in batches of ARROW_ROWS rows, unless the session asks for fewer: a batch of Spark's
-    10,000 rows is held several times over by both sides of each task.
+    Whole texts pass to Python in batches of ARROW_ROWS rows and ARROW_BYTES bytes, unless the session asks for fewer: a batch of
+    Spark's 10,000 rows is held several times over by both sides of each task. The two settings stay for the session, as
+    the operators' results are lazy and read them when they run.
     """
     sc = spark.sparkContext
-    rows = int(spark.conf.get(ARROW))
-    if rows <= 0 or rows > ARROW_ROWS:
-        spark.conf.set(ARROW, str(ARROW_ROWS))
+    for name, most in ((ARROW, ARROW_ROWS), (ARROW_SIZE, ARROW_BYTES)):
+        got = spark.conf.get(name, None)
+        if got is None or not got.isdigit() or not 0 < int(got) <= most:
+            spark.conf.set(name, str(most))
     if getattr(sc, "_curalis_shipped", False):
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -46,16 +54,44 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests, one machine) a temporary one."""
+    """The folder of spark.checkpoint.dir. Where it is unset, a temporary one on one machine (tests), and an error on a cluster."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = getattr(sc, "_curalis_dir", None)
         if found is None:
             found = sc._curalis_dir = "file://" + tempfile.mkdtemp(prefix="curalis-shared-")
     return found.rstrip("/")
 
 
+_stores: list[Callable[[], None]] = []
+_owner: str | None = None
+
+
+def store(clear: Callable[[], None]) -> None:
+    """Name a function that empties a worker's store of words, scores or ids."""
+    _stores.append(clear)
+
+
+def enter(owner: str) -> None:
+    """A task of an operator begins: what the worker holds of another operator goes back to the system."""
+    global _owner
+    if _owner not in (None, owner):
+        for clear in _stores:
+            clear()
+        gc.collect()
+        import pyarrow as pa
+
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library keeps its own counsel
+            pass
+    _owner = owner
+
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -65,10 +101,11 @@ def _remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def drop_tables() -> None:
-    """Delete the intermediate tables that this process wrote."""
-    while _written:
-        spark, path = _written.pop()
+def drop_tables(keep: str | None = None) -> None:
+    """Delete the intermediate tables that this process wrote, but for the one at `keep`."""
+    some = [x for x in _written if x[1] != keep]
+    _written[:] = [x for x in _written if x[1] == keep]
+    for spark, path in some:
         try:
             _remove(spark, path)
         except Exception:  # the session has ended; the folder goes with its owner
@@ -78,27 +115,48 @@ def drop_tables() -> None:
 atexit.register(drop_tables)
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage ends at files every executor can read."""
+def materialize(df: DataFrame, label: str, alone: bool = False) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: lineage ends at files every executor can read.
+
+    alone: the tables written before are no longer needed, and go.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/curalis-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
+    if alone:
+        drop_tables(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bitmap(keys: DataFrame, key: str, log2: int = BITMAP_LOG2) -> DataFrame:
-    """Hashed membership bits of keys[key] as (_w, _m): at most 2**(log2-6) rows (4 MB at 24), whatever the input."""
+@dataclass
+class Bits:
+    """Hashed membership bits of a table's keys, as rows (_w, _m); rows is None where the keys are too many for a filter of bounded size."""
+
+    rows: DataFrame | None
+    log2: int = 0
+
+
+def bitmap(keys: DataFrame, key: str) -> Bits:
+    """A filter of eight bits a key or more, of at most 2**BITMAP_LOG2 bits (8 MB of rows at 25), for keys of a written table.
+
+    Of more keys than a quarter of that no filter is made: it would let nearly all rows through.
+    """
+    n = keys.count()
+    if 4 * n > 1 << BITMAP_LOG2:
+        return Bits(None)
+    log2 = min(BITMAP_LOG2, max(16, (8 * n).bit_length()))
     x = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << log2))
-    return keys.select(x.alias("_x")).groupBy(F.shiftright("_x", 6).alias("_w")).agg(
-        F.expr("bit_or(shiftleft(1L, cast(_x & 63 as int)))").alias("_m"))
+    return Bits(keys.select(x.alias("_x")).groupBy(F.shiftright("_x", 6).alias("_w")).agg(F.expr("bit_or(shiftleft(1L, cast(_x & 63 as int)))").alias("_m")), log2)
 
 
-def split_by(df: DataFrame, key, bits: DataFrame, log2: int = BITMAP_LOG2) -> tuple[DataFrame, DataFrame]:
-    """(rows whose key may be among the bitmap's keys, rows whose key surely is not). Broadcasts the bounded bitmap."""
-    x = F.pmod(F.xxhash64(key), F.lit(1 << log2))
+def split_by(df: DataFrame, key, bits: Bits) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key may be among the bitmap's keys, rows whose key surely is not). Broadcasts the bounded bitmap; without one all rows may be."""
+    if bits.rows is None:
+        return df, df.limit(0)
+    x = F.pmod(F.xxhash64(key), F.lit(1 << bits.log2))
     j = df.withColumn("_w", F.shiftright(x, 6)).withColumn("_b", x.bitwiseAND(F.lit(63)).cast("int"))
-    j = j.join(F.broadcast(bits), "_w", "left")
+    j = j.join(F.broadcast(bits.rows), "_w", "left")
     bit = F.coalesce(F.expr("shiftright(_m, _b) & 1"), F.lit(0)) == 1
     return j.filter(bit).drop("_w", "_b", "_m"), j.filter(~bit).drop("_w", "_b", "_m")
 
@@ -135,6 +193,8 @@ def plain(w: str) -> bytes:
 
 PLAIN = Words(plain)
 BYTES = Words(bytes)
+store(PLAIN.clear)
+store(BYTES.clear)
 
 
 def plain_hashes(text: str | None) -> np.ndarray:
@@ -186,27 +246,39 @@ def runs(words: np.ndarray, heads: np.ndarray) -> np.ndarray:
     return mix(np.add.reduceat(mix(words + at * np.uint64(GOLD)), heads) + n.astype(np.uint64))
 
 
+def order_of(docs: DataFrame) -> Column:
+    """The place of a document among all: its doc_id; rows without one are documents by their text, after all others."""
+    none = F.lit(LAST) - F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 61))
+    return F.coalesce(F.col("doc_id").cast("long"), none)
+
+
 def with_order(docs: DataFrame) -> DataFrame:
-    """docs with _ord, the place of a document among all: its doc_id; those without one count as one document, the last."""
-    return docs.withColumn("_ord", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
+    """(_ord, text) of docs."""
+    return docs.select(order_of(docs).alias("_ord"), "text")
+
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """`name`, or with underscores behind it where docs has such a column already: the caller's columns are never replaced."""
+    have = {c.lower() for c in docs.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
 
-def rewrite(docs: DataFrame, removed: DataFrame, change, count: str) -> DataFrame:
+
+def rewrite(docs: DataFrame, removed: DataFrame, change, count: str, owner: str) -> DataFrame:
     """docs, with text changed where removed(_ord, hs) names the document: change(texts, sets of hashes) gives each new text and a count.
 
-    Documents that a bounded bitmap rules out never meet a shuffle. n_chars, where there is one, follows the text.
+    Only documents that removed names may meet in a shuffle. n_chars, where there is one, follows the text; all other columns are carried in one struct, so no name can
+    clash with a name used here. The count is named free_name(docs, count).
     """
-    from pyspark.sql import types as T
-
-    cols = [f for f in docs.schema.fields if f.name not in ("_ord", count)]
-    names = [f.name for f in cols]
-    maybe, stay = split_by(with_order(docs.select(*names)), F.col("_ord"), bitmap(removed, "_ord"))
-    schema = T.StructType([*cols, T.StructField(count, T.LongType())])
+    row = docs.select(order_of(docs).alias("_ord"), "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    maybe, stay = split_by(row, F.col("_ord"), bitmap(removed, "_ord"))
 
     @F.pandas_udf("struct<text string, n long>")
     def changed(texts, hs):
         import pandas as pd
 
+        enter(owner)
         got = [(t, 0) for t in texts]
         some = [i for i, (t, h) in enumerate(zip(texts, hs)) if t is not None and h is not None]
         for k in range(0, len(some), 400):
@@ -218,9 +290,8 @@ def rewrite(docs: DataFrame, removed: DataFrame, change, count: str) -> DataFram
 
     j = maybe.join(removed, "_ord", "left").withColumn("_c", changed("text", "hs"))
     new = {"text": F.col("_c.text")}
-    if "n_chars" in names:
-        new["n_chars"] = F.when(F.col("_c.n") > 0, F.length("_c.text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    j = j.select(*[new.get(c, F.col(c)).alias(c) for c in names], F.col("_c.n").alias(count))
-    out = stay.select(*names, F.lit(0).cast("long").alias(count)).union(j)
-    assert out.columns == [f.name for f in schema]
-    return out
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("_c.n") > 0, F.length("_c.text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_doc.n_chars"))
+    name, old = free_name(docs, count), [F.col(f"_doc.`{c}`").alias(c) for c in docs.columns]
+    j = j.select(*[new.get(c, o).alias(c) for c, o in zip(docs.columns, old)], F.col("_c.n").alias(name))
+    return stay.select(*old, F.lit(0).cast("long").alias(name)).union(j)

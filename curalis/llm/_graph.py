@@ -40,6 +40,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 PROBES = 4
+PART = 256
 
 
 def _leaders(b: DataFrame, payload: DataFrame, distance: Callable, r: int) -> DataFrame:
@@ -80,9 +81,11 @@ def bucket_links(buckets: DataFrame, confirm: Callable[[DataFrame], DataFrame],
                 lead = materialize(lead, "leaders")
             pairs = b.join(lead, "bid").filter("c <> ca").select("a", F.col("id").alias("b"))
         else:
-            y = b.join(payload, "id")
-            x = y.select([F.col(c).alias(f"x_{c}") for c in y.columns])
-            pairs = y.join(x, (F.col("bid") == F.col("x_bid")) & (F.col("x_c") < F.col("c")) & close(lambda c: F.col(f"x_{c}"), F.col)).select(F.col("x_id").alias("a"), F.col("id").alias("b"))
+            # a large bucket's members are dealt to one task for each PART of them, and each part meets all
+            y = b.join(payload, "id").withColumn("parts", F.ceil(F.col("n") / PART).cast("int"))
+            x = y.select(F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("x_part"), *[F.col(c).alias(f"x_{c}") for c in y.columns])
+            y = y.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+            pairs = y.join(x, (F.col("bid") == F.col("x_bid")) & (F.col("part") == F.col("x_part")) & (F.col("x_c") < F.col("c")) & close(lambda c: F.col(f"x_{c}"), F.col)).select(F.col("x_id").alias("a"), F.col("id").alias("b"))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         links = materialize(confirm(pairs), "links")
         found = links if found is None else found.union(links)

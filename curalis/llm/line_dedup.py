@@ -1,16 +1,22 @@
-"""Fuzzy line dedup (5): join of normalised lines on their rarest word pairs, edit similarity, one line a group.
+"""Fuzzy line dedup (5): normalised lines, join on pigeonhole runs of words, edit similarity, one line a group.
 
 A line is compared by its words in lower case, letters and digits only, digits alike. Equal lines meet by hash. Different
-lines are linked whose word edit similarity, 1 - distance / words of the longer, is at least 0.8: all such pairs, by bounds
-that lose none. An edit takes at most two pairs of adjacent words, so of a line's m - 1 pairs 2 (m // 5) may be lost to a
-shorter one, and the 2 (n // 5) + 1 first pairs of both (one more where n % 5 is 4, for a longer partner), in one order for all
-lines, have one in common. The order puts pairs of rare words first, by a sample's counts, which decide the cost only. An edit flips at most 2 bits of a 128-bit parity bitmap of the words, so linked lines differ in at most
-2 d of them. Buckets of many lines are split by length, and their lines meet a leader first, not each other. Of each
+lines are linked whose word edit similarity, 1 - distance / words of the longer, is at least 0.8. At that similarity
+d = n // 5 edits cut a line of n words into at most d + 1 untouched runs, so by the pigeonhole principle one run has at least
+4 words (3 below 20 words, 2 below 6): the blocks are the runs of that many words. A line of up to KEYS + 3 words gives all of its
+blocks, so no link between such lines is lost; of a longer line those KEYS blocks are taken whose hashes are smallest, and two
+lines at exactly 0.8 with random edits share one of them with a chance of about 0.96 (tests measure it). SimHash bit blocks
+at this similarity would need 34 blocks of under four bits each, which is why the blocks are of words here; a 128-bit parity sketch of the
+words, of which an edit flips at most two bits, takes the place of the Hamming test: linked lines differ in at most 2 d bits, so it loses none.
+Of each pair that is left the edit distance is computed on whole lines.
+
+Blocks that many lines share are split by line length, and their lines meet LEADERS of them first, not each other. Of each
 connected group the occurrence with the smallest doc_id stays, the earliest there.
 
 Lines of fewer than FUZZY_WORDS words have no different line at 0.8; they meet by hash only. Lines without a word stay.
-Cases: null and empty texts are unchanged; rows of one doc_id are one document; rows without a doc_id count as one document,
-the last; other columns pass through; an empty table gives no rows.
+Cases: null and empty texts are unchanged; rows of one doc_id are one document; rows without a doc_id are documents by their text,
+after all others; other columns pass through whatever their names, and where one is called n_removed already the count is n_removed_; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,14 +28,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import GOLD, bitmap, materialize, mix, rewrite, runs, signed, split_by, with_order
+from ._common import GOLD, bitmap, enter, materialize, mix, rewrite, runs, ship, signed, split_by, with_order
 from ._graph import components
 
-RADIUS = 44  # SimHash bits within which linked lines lie in practice; only the brute-force test asks it, to skip pairs
 LEAST_WORDS = 1
 FUZZY_WORDS = 4
-COMMON_WORDS = 200_000
-LARGE = 64
+KEYS = 8
+WIDTHS = {2: (4, 5), 3: (5, 19), 4: (16, 1 << 62)}  # words of a block: lines of so many words, with a partner on either side of a limit
+LARGE, LEADERS = 16, 4
 
 
 def _hashes(words: pa.Array) -> np.ndarray:
@@ -69,26 +75,6 @@ def lines_of(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return lines_of_all([text])[1:]
 
 
-def simhash(words: np.ndarray, heads: np.ndarray) -> np.ndarray:
-    """Two 64-bit words for each run: the majority of its words' hash bits."""
-    if not len(heads):
-        return np.empty((0, 2), np.uint64)
-    n = np.diff(np.append(heads, len(words)))
-    # counts in byte lanes: lane b of (h >> i) & 0x01..01 counts bit 8b+i; parts of 255 words can't overflow a lane
-    parts = -(-n // 255)
-    first = np.cumsum(parts) - parts
-    of = np.repeat(np.arange(len(heads)), parts)
-    starts = heads[of] + 255 * (np.arange(len(of)) - first[of])
-    out = np.empty((len(heads), 2), np.uint64)
-    for k, h in enumerate((mix(words + np.uint64(GOLD)), mix(words ^ np.uint64(GOLD)))):
-        ones = np.empty((len(of), 8, 8), np.uint8)
-        for i in range(8):
-            ones[:, :, i] = np.add.reduceat(h >> np.uint64(i) & np.uint64(0x0101010101010101), starts).view(np.uint8).reshape(-1, 8)
-        total = np.add.reduceat(ones.reshape(len(of), 64), first, axis=0, dtype=np.int64)
-        out[:, k] = np.packbits(2 * total > n[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
-    return out
-
-
 def _few(batches):
     """Parts of the batches: at most 400 rows, or one long text and those before it."""
     for x in batches:
@@ -98,37 +84,38 @@ def _few(batches):
                 yield y.iloc[k : k + 400]
 
 
-def common_words(d: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, sorted, of the words most frequent in an eighth of the documents, COMMON_WORDS at most, and the rank of each: 1 is the rarest."""
-
-    def run(batches):
-        for b in _few(batches):
-            x, n = np.unique(lines_of_all(list(b["text"]))[2], return_counts=True)
-            yield pd.DataFrame({"w": signed(x), "n": n})
-
-    some = d.filter("text is not null").filter(F.pmod(F.xxhash64("_ord"), F.lit(8)) == 0)
-    got = some.mapInPandas(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(COMMON_WORDS).toPandas()
-    w, rank = got["w"].to_numpy(np.int64).view(np.uint64), np.arange(len(got), 0, -1).astype(np.uint64)
-    order = np.argsort(w)
-    return w[order], rank[order]
-
-
-def rarest(words: np.ndarray, heads: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
-    """For each line the distinct codes of its first word pairs in the common order; none for lines too short for an edit."""
+def blocks(words: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key) of the KEYS smallest distinct block hashes of each width that a line has; lines in order."""
     n = np.diff(np.append(heads, len(words)))
-    rank = np.zeros(len(words), np.uint64)
-    if len(common[0]):
-        at = np.minimum(np.searchsorted(common[0], words), len(common[0]) - 1)
-        rank = np.where(common[0][at] == words, common[1][at], np.uint64(0))
+    lines, keys = [], []
     line = np.repeat(np.arange(len(heads)), n)
-    pair = np.flatnonzero((line[1:] == line[:-1]) & (n[line[1:]] >= FUZZY_WORDS))
-    line = line[pair]
-    code = rank[pair] + rank[pair + 1] << np.uint64(44) | mix(mix(words[pair]) + words[pair + 1]) >> np.uint64(20)
-    code = code[np.lexsort((code, line))]
-    most = 2 * (n // 5) + 1 + (n % 5 == 4)
-    ok = np.arange(len(line)) - np.searchsorted(line, line) < most[line]
-    ok[1:] &= (code[1:] != code[:-1]) | (line[1:] != line[:-1])
-    return np.split(signed(code[ok]), np.cumsum(np.bincount(line[ok], minlength=len(heads)))[:-1])
+    left = np.repeat(heads + n, n) - np.arange(len(words))  # words from here to the line's end
+    for width, (least, most) in WIDTHS.items():
+        at = np.flatnonzero((left >= width) & ((n >= least) & (n <= most))[line])
+        if not len(at):
+            continue
+        h = np.zeros(len(at), np.uint64)
+        for i in range(width):
+            h = mix(h + words[at + i] + np.uint64(width))
+        of = line[at]
+        # of long lines only hashes that may be among the smallest are sorted; a line left with too few keeps all
+        count = np.maximum(n - width + 1, 1)
+        low = (h >> np.uint64(40)).astype(np.int64) < (np.minimum((3 * KEYS + 8) / count, 1.0) * (1 << 24)).astype(np.int64)[of]
+        few = np.bincount(of[low], minlength=len(n)) < 2 * KEYS
+        low |= few[of]
+        h, of = h[low], of[low]
+        order = np.argsort(of.astype(np.uint64) << np.uint64(40) | h >> np.uint64(24))
+        h, of = h[order], of[order]
+        new = np.append(True, (h[1:] != h[:-1]) | (of[1:] != of[:-1]))
+        h, of = h[new], of[new]
+        ok = np.arange(len(of)) - np.searchsorted(of, of) < KEYS
+        lines.append(of[ok])
+        keys.append(h[ok])
+    if not lines:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    of, h = np.concatenate(lines), np.concatenate(keys)
+    order = np.argsort(of, kind="stable")
+    return of[order], signed(h[order])
 
 
 def parity(words: np.ndarray, heads: np.ndarray) -> np.ndarray:
@@ -140,27 +127,36 @@ def parity(words: np.ndarray, heads: np.ndarray) -> np.ndarray:
     return np.stack([np.bitwise_xor.reduceat(bit * (side == np.uint64(i)), heads) for i in range(2)], axis=1)
 
 
-def _occurrences(common):
-    def run(batches):
-        for b in _few(batches):
+OCCURRENCES = "_ord long, h long, s0 long, s1 long, m long, own boolean, keys array<long>"
+
+
+def _occurrences(batches):
+    """Each document's distinct lines; a row with own set says that the document repeats a line of its own."""
+    enter("lines")
+    for batch in batches:
+        for b in _few([batch.to_pandas()]):
             b = b[b["text"].notna()]
             of, _, w, heads = lines_of_all(list(b["text"]))
             if not len(heads):
                 continue
-            h, o = runs(w, heads), b["_ord"].to_numpy()[of]
-            s, keys, m = parity(w, heads), rarest(w, heads, common), np.diff(np.append(heads, len(w)))
+            ids = b["_ord"].to_numpy()
+            h, o = runs(w, heads), ids[of]
             order = np.lexsort((h, of))
             again = np.append(False, (h[order][1:] == h[order][:-1]) & (of[order][1:] == of[order][:-1]))
-            first = order[~again]
-            # one batch names a line's pairs once: its other occurrences there add nothing to the join
+            first = np.sort(order[~again])
+            # one batch names a line's blocks once: its other occurrences there add nothing to the join
             named = np.zeros(len(h), bool)
             named[first[np.unique(h[first], return_index=True)[1]]] = True
-            yield pd.DataFrame({"_ord": o[first], "h": signed(h[first]), "s0": signed(s[first, 0]), "s1": signed(s[first, 1]), "m": m[first], "own": False, "keys": [keys[i] if named[i] else [] for i in first]})
+            s, m = parity(w, heads), np.diff(np.append(heads, len(w)))
+            line, key = blocks(w, heads)
             own = np.unique(of[order[again]])
-            if len(own):
-                yield pd.DataFrame({"_ord": b["_ord"].to_numpy()[own], "h": 0, "s0": 0, "s1": 0, "m": 0, "own": True, "keys": [[] for _ in own]})
-
-    return run
+            size = np.bincount(line[named[line]], minlength=len(heads))[first]
+            ends = np.concatenate([[0], np.cumsum(size), np.full(len(own), size.sum())]).astype(np.int32)
+            pad = lambda x, y: pa.array(np.concatenate([x, y]))
+            none = np.zeros(len(own), np.int64)
+            yield pa.RecordBatch.from_arrays([
+                pad(o[first], ids[own]), pad(signed(h[first]), none), pad(signed(np.ascontiguousarray(s[first, 0])), none), pad(signed(np.ascontiguousarray(s[first, 1])), none), pad(m[first], none),
+                pad(np.zeros(len(first), bool), np.ones(len(own), bool)), pa.ListArray.from_arrays(pa.array(ends), pa.array(key[named[line]]))], names=["_ord", "h", "s0", "s1", "m", "own", "keys"])
 
 
 def _close(x: str, y: str):
@@ -171,27 +167,39 @@ def _close(x: str, y: str):
     return (F.abs(a - b) <= most) & (bits <= 2 * most)
 
 
-def _links(keys: DataFrame, lines: DataFrame, confirm) -> DataFrame:
-    """Confirmed links (a, b) whose components are those of all confirmed pairs inside any bucket: keys(bid, id), lines(id, m, s0, s1).
-
-    In buckets of more than LARGE lines all meet one leader first; then each pair of different components that may be a link is tested.
-    """
-    b = keys.repartition("bid").dropDuplicates(["bid", "id"]).withColumn("n", F.count("*").over(Window.partitionBy("bid"))).filter("n > 1")
+def _buckets(keys: DataFrame, lines: DataFrame) -> DataFrame:
+    """(bid, id, m, s0, s1, n) of the blocks that several lines share; those of more than LARGE lines are split by length."""
+    w = Window.partitionBy("bid")
+    b = keys.withColumn("lo", F.min("id").over(w)).withColumn("hi", F.max("id").over(w)).filter("lo < hi").select("bid", "id")
+    b = b.dropDuplicates(["bid", "id"]).withColumn("n", F.count("*").over(w))
     # lines at 0.8 lie in one length class or in neighbouring ones
     size = F.floor(F.log("m") / F.log(F.lit(1.26)))
     bids = F.when(F.col("n") > LARGE, F.array(F.xxhash64("bid", size), F.xxhash64("bid", size + 1))).otherwise(F.array("bid"))
-    b = materialize(b.join(lines, "id").withColumn("bid", F.explode(bids)), "buckets")
+    b = materialize(b, "shared")
+    some, _ = split_by(lines, F.col("id"), bitmap(b.select("id").distinct(), "id"))
+    return materialize(b.join(some, "id").withColumn("bid", F.explode(bids)), "buckets")
+
+
+def _links(b: DataFrame, confirm) -> DataFrame:
+    """Confirmed links (a, b) whose components are those of all confirmed pairs inside any bucket.
+
+    In buckets of more than LARGE lines all meet LEADERS of them first; then each pair of different components that may be a link is tested,
+    a large bucket's lines dealt to as many tasks as it has LARGE lines.
+    """
     large = b.filter(F.col("n") > LARGE)
-    lead = large.groupBy("bid").agg(F.min(F.struct(F.xxhash64("id").alias("x"), "id", "m", "s0", "s1")).alias("l")).select("bid", *[F.col(f"l.{c}").alias(f"x_{c}") for c in ("id", "m", "s0", "s1")])
+    lead = large.groupBy("bid").agg(*[F.min(F.struct(F.xxhash64("id", F.lit(i)).alias("x"), "id", "m", "s0", "s1")).alias(f"l{i}") for i in range(LEADERS)])
+    lead = lead.select("bid", F.explode(F.array(*[f"l{i}" for i in range(LEADERS)])).alias("l")).select("bid", *[F.col(f"l.{c}").alias(f"x_{c}") for c in ("id", "m", "s0", "s1")])
     pairs = large.join(lead, "bid").filter((F.col("id") != F.col("x_id")) & _close("", "x_")).select(F.least("id", "x_id").alias("a"), F.greatest("id", "x_id").alias("b")).distinct()
     first = materialize(confirm(pairs), "links")
     c = materialize(components(first), "components")
     maybe, stay = split_by(b, F.col("id"), bitmap(c, "id"))
     y = maybe.join(c, "id", "left").withColumn("c", F.coalesce("component", "id"))
-    y = y.select("bid", "id", "m", "s0", "s1", "c").union(stay.select("bid", "id", "m", "s0", "s1", F.col("id").alias("c")))
-    x = y.select([F.col(c).alias(f"x_{c}") for c in y.columns])
-    pairs = y.join(x, (F.col("bid") == F.col("x_bid")) & (F.col("x_id") < F.col("id")) & (F.col("x_c") != F.col("c")) & _close("", "x_")).select(F.col("x_id").alias("a"), F.col("id").alias("b")).distinct()
-    return first.union(materialize(confirm(pairs), "links"))
+    y = y.select("bid", "id", "m", "s0", "s1", "n", "c").union(stay.select("bid", "id", "m", "s0", "s1", "n", F.col("id").alias("c")))
+    parts = F.ceil(F.col("n") / LARGE).cast("int")
+    x = y.select(F.explode(F.sequence(F.lit(0), parts - 1)).alias("x_part"), *[F.col(c).alias(f"x_{c}") for c in y.columns])
+    y = y.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
+    pairs = y.join(x, (F.col("bid") == F.col("x_bid")) & (F.col("part") == F.col("x_part")) & (F.col("x_id") < F.col("id")) & (F.col("x_c") != F.col("c")) & _close("", "x_"))
+    return first.union(materialize(confirm(pairs.select(F.col("x_id").alias("a"), F.col("id").alias("b")).distinct()), "links"))
 
 
 def _letters(words: np.ndarray) -> str:
@@ -205,6 +213,7 @@ def _fetch(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     some, _ = split_by(docs, F.col("_ord"), bitmap(by, "_ord"))
 
     def run(batches):
+        enter("lines")
         for b in _few(batches):
             of, _, w, heads = lines_of_all(list(b["text"]))
             ends, want, out = np.append(heads, len(w)), [{int(x) for x in hs} for hs in b["hs"]], []
@@ -229,19 +238,21 @@ def _without(texts: list[str], gone: list[set[int]]) -> list[tuple[str, int]]:
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     """docs with repeated and nearly repeated lines removed from text, and how many: n_removed."""
-    d = with_order(docs).select("_ord", "text")
-    occ = materialize(d.mapInPandas(_occurrences(common_words(d)), "_ord long, h long, s0 long, s1 long, m long, own boolean, keys array<long>"), "lines")
+    ship(docs.sparkSession)
+    d = with_order(docs)
+    occ = materialize(d.mapInArrow(_occurrences, OCCURRENCES), "lines")
     lines = materialize(occ.filter("not own").groupBy("h").agg(F.min("_ord").alias("lo"), F.max("_ord").alias("hi"), F.min("m").alias("m"), F.min("s0").alias("s0"), F.min("s1").alias("s1")), "distinct")
     keys = occ.filter(F.size("keys") > 0).select(F.explode("keys").alias("bid"), F.col("h").alias("id"))
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        x = pairs.join(lines.select(F.col("h").alias("a"), F.col("lo").alias("ao")), "a").join(lines.select(F.col("h").alias("b"), F.col("lo").alias("bo")), "b")
-        x = materialize(x.select("a", "b", "ao", "bo"), "close")
-        text = materialize(_fetch(x.select(F.col("a").alias("h"), F.col("ao").alias("_ord")).union(x.select("b", "bo")).distinct(), d), "texts")
-        x = x.join(text.select(F.col("h").alias("a"), F.col("line").alias("la")), "a").join(text.select(F.col("h").alias("b"), F.col("line").alias("lb")), "b")
+        p = materialize(pairs, "close")
+        ids = materialize(p.select(F.col("a").alias("h")).union(p.select("b")).distinct(), "wanted")
+        some, _ = split_by(lines.select("h", F.col("lo").alias("_ord")), F.col("h"), bitmap(ids, "h"))
+        text = materialize(_fetch(some.join(ids, "h"), d), "texts")
+        x = p.join(text.select(F.col("h").alias("a"), F.col("line").alias("la")), "a").join(text.select(F.col("h").alias("b"), F.col("line").alias("lb")), "b")
         return x.filter("levenshtein(la, lb, cast(floor(greatest(length(la), length(lb)) / 5) as int)) >= 0").select("a", "b")
 
-    comp = materialize(components(_links(keys, lines.select(F.col("h").alias("id"), "m", "s0", "s1"), confirm)), "components")
+    comp = materialize(components(_links(_buckets(keys, lines.select(F.col("h").alias("id"), "m", "s0", "s1")), confirm)), "components")
     near = lines.join(comp, F.col("h") == comp.id).select("h", "lo", "component")
     keep = near.groupBy("component").agg(F.min(F.struct("lo", "h")).alias("k"))
     near = near.join(keep, "component").select("h", F.col("k.lo").alias("lo"), (F.col("h") == F.col("k.h")).alias("keeper"))
@@ -250,4 +261,4 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     some, _ = split_by(occ.filter("not own").select("_ord", "h"), F.col("h"), bitmap(rule, "h"))
     later = some.join(rule, "h").filter("_ord > lo or not keeper").select("_ord", "h").union(occ.filter("own").select("_ord", "h"))
     removed = materialize(later.groupBy("_ord").agg(F.collect_set("h").alias("hs")), "removed")
-    return rewrite(docs, removed, _without, "n_removed")
+    return rewrite(docs, removed, _without, "n_removed", "lines")

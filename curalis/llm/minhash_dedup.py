@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ascii_hashes, bitmap, materialize, mix, plain_hashes, shingles, signed, split_by
+from ._common import ascii_hashes, bitmap, enter, materialize, mix, plain_hashes, shingles, ship, signed, split_by
 from ._graph import bucket_links, components
 
 SKETCH_BITS, SKETCH_SAMPLES = 1024, 1024
@@ -107,6 +107,7 @@ def shingle_set(text: str | None, width: int, words: str) -> np.ndarray:
 
 def sketches(docs: DataFrame, width: int, words: str, bands: int, rows: int) -> DataFrame:
     def make(batches):
+        enter("sets")
         m = Minima(bands, rows)
         for b in batches:
             out = []
@@ -138,6 +139,7 @@ def _confirm_sets(pairs: DataFrame, docs: DataFrame, width: int, words: str, per
     given = rows.join(some, "doc_id").select("a", "salt", "doc_id", "text")
 
     def check(f: pd.DataFrame) -> pd.DataFrame:
+        enter("sets")
         a = f["a"].iloc[0]
         own = [shingle_set(t, width, words) for t in f.loc[f["doc_id"] == a, "text"]]
         hit = set()
@@ -155,6 +157,7 @@ def _confirm_sets(pairs: DataFrame, docs: DataFrame, width: int, words: str, per
 
 def near_duplicates(docs: DataFrame, width: int = 5, words: str = "plain", percent: int = 80, bands: int = 26, rows: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs(doc_id, text, ...)."""
+    ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sk = materialize(sketches(docs, width, words, bands, rows), "sketches")
     named = sk.filter("doc_id is not null and k1 is not null")
@@ -205,5 +208,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """docs without the documents of a group other than its smallest doc_id; rows with a null doc_id stay."""
     gone = near_duplicates(docs, **options).filter("not kept").select("doc_id").distinct()
     gone = materialize(gone, "gone")
-    maybe, stay = split_by(docs, F.col("doc_id"), bitmap(gone, "doc_id"))
-    return stay.union(maybe.join(gone, "doc_id", "left_anti"))
+    row = docs.select(F.col("doc_id").cast("long").alias("_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    maybe, stay = split_by(row, F.col("_id"), bitmap(gone, "doc_id"))
+    kept = stay.select("_doc").union(maybe.join(gone.select(F.col("doc_id").alias("_id")), "_id", "left_anti").select("_doc"))
+    return kept.select(*[F.col(f"_doc.`{c}`").alias(c) for c in docs.columns])

@@ -6,16 +6,17 @@ taken with the next word's, is the least among NEAR words on both sides. That de
 stretch the cuts are the same but for NEAR words at its ends, wherever it stands in a sentence. What is still over MOST_WORDS
 words, as in text of a few words over and over, is cut at every MOST_WORDS words. Nearly every stretch of 51 words inside long
 sentences has a common span, not every one. Sentences of up to MOST_WORDS words are never cut, so of a passage that begins and
-ends inside such sentences three whole ones must repeat. Words are compared in lower case, letters and digits only. Spans of fewer than
-LEAST_WORDS words are not compared. First means the smallest doc_id, then the earlier place in it.
+ends inside such sentences three whole ones must repeat. A text of fewer than SPAN sentences is one span of them all, whatever its
+length. Words are compared in lower case, letters and digits only. First means the smallest doc_id, then the earlier place in it.
 
 The spans' hashes are counted with partial sums, only hashes that a bounded bitmap lets through meet in the second
 join, and a text is shuffled only if it may change. Nothing is collected; a passage that a third of all documents
 share is one row for each task before the shuffle.
 
 Cases: null and empty texts and those without a span are unchanged; rows of one doc_id are one document and
-do not repeat each other; rows without a doc_id count as one document, the last; removed sentences leave single spaces
-in their line, lines that become empty go; other columns pass through; an empty table gives no rows.
+do not repeat each other; rows without a doc_id are documents by their text, after all others; removed sentences leave single spaces
+in their line, lines that become empty go; other columns pass through whatever their names, and where one is called n_removed already
+the count is n_removed_; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,12 +26,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import GOLD, Words, bitmap, materialize, mix, plain, rewrite, runs, signed, split_by, with_order
+from ._common import GOLD, Words, bitmap, enter, materialize, mix, plain, rewrite, runs, ship, signed, split_by, store, with_order
 
 SPAN = 3
 MOST_WORDS = 20
 NEAR = 3
-LEAST_WORDS = 10
 
 
 class _Ends(Words):
@@ -43,6 +43,7 @@ class _Ends(Words):
 
 
 _ENDS = _Ends(plain)
+store(_ENDS.clear)
 
 
 def _cuts(words: np.ndarray, place: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -77,27 +78,27 @@ def sentences(text: str) -> tuple[list[list[str]], np.ndarray, np.ndarray, np.nd
     return lines, h >> np.uint64(1), heads, line[heads]
 
 
-def spans(words: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the span that begins at each sentence, and whether it is long enough to compare."""
+def spans(words: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Hash of the span that begins at each sentence. A text of fewer than SPAN sentences is one span of them all."""
     s = runs(words, heads)
-    if len(s) < SPAN:
-        return np.empty(0, np.int64), np.empty(0, bool)
-    acc = np.zeros(len(s) - SPAN + 1, np.uint64)
-    for i in range(SPAN):
-        acc = mix(acc + s[i : len(s) - SPAN + 1 + i] + np.uint64((i + 1) * GOLD & 0xFFFFFFFFFFFFFFFF))
-    ends = np.append(heads, len(words))
-    return signed(acc), ends[SPAN:] - heads[: len(acc)] >= LEAST_WORDS
+    if not len(s):
+        return np.empty(0, np.int64)
+    n = min(SPAN, len(s))
+    acc = np.full(len(s) - n + 1, n, np.uint64)
+    for i in range(n):
+        acc = mix(acc + s[i : len(s) - n + 1 + i] + np.uint64((i + 1) * GOLD & 0xFFFFFFFFFFFFFFFF))
+    return signed(acc)
 
 
 def _spans_of(batches):
+    enter("sentences")
     for b in batches:
         ids, hs = [], []
         for o, t in zip(b["_ord"], b["text"]):
             if not t:
                 continue
             _, w, heads, _ = sentences(t)
-            h, ok = spans(w, heads)
-            h = h[ok]
+            h = spans(w, heads)
             if len(h):
                 u = np.unique(h)
                 ids.append(np.full(len(u), o, np.int64))
@@ -111,13 +112,11 @@ def _spans_of(batches):
 
 def _without(text: str, gone: set[int]) -> tuple[str, int]:
     lines, w, heads, line = sentences(text)
-    h, ok = spans(w, heads)
     seen, drop = set(), np.zeros(len(heads), bool)
-    for i, (x, good) in enumerate(zip(h.tolist(), ok.tolist())):
-        if good:
-            if x in gone or x in seen:
-                drop[i : i + SPAN] = True
-            seen.add(x)
+    for i, x in enumerate(spans(w, heads).tolist()):
+        if x in gone or x in seen:
+            drop[i : i + SPAN] = True
+        seen.add(x)
     if not drop.any():
         return text, 0
     ends = np.append(heads, len(w))
@@ -138,11 +137,12 @@ def _without(text: str, gone: set[int]) -> tuple[str, int]:
 
 def drop_repeated_sentences(docs: DataFrame) -> DataFrame:
     """docs with repeated sentences removed from text, and how many: n_removed."""
-    d = with_order(docs).select("_ord", "text")
+    ship(docs.sparkSession)
+    d = with_order(docs)
     s = materialize(d.mapInPandas(_spans_of, "_ord long, h long"), "spans")
     dup = s.filter("h <> 0").groupBy("h").agg(F.min("_ord").alias("lo"), F.max("_ord").alias("hi")).filter("lo < hi").select("h", "lo")
     dup = materialize(dup, "repeated")
     some, _ = split_by(s.filter("h <> 0"), F.col("h"), bitmap(dup, "h"))
     later = some.join(dup, "h").filter("_ord > lo").select("_ord", "h").union(s.filter("h = 0").select("_ord", "h"))
     removed = materialize(later.groupBy("_ord").agg(F.collect_set("h").alias("hs")), "removed")
-    return rewrite(docs, removed, lambda texts, gone: list(map(_without, texts, gone)), "n_removed")
+    return rewrite(docs, removed, lambda texts, gone: list(map(_without, texts, gone)), "n_removed", "sentences")
