@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ._common import enter, materialize, ship
 from ._tokens import encoder
 
 BLOCK = 1024
@@ -50,9 +50,22 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
 
 
 def length_histogram(docs: DataFrame, text: str = "text") -> DataFrame:
+    ship(docs.sparkSession)
     return suffix_sums(materialize(histogram(lengths(docs, text)), "lengths"))  # read by two branches: texts are encoded once
 
 
+LIMITS = [1 << k for k in range(5, 21)]
+SHARES = [0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 1.0]
+
+
+def answers(sums: DataFrame, limits: list[int] = LIMITS, shares: list[float] = SHARES) -> DataFrame:
+    """(kind, length, share, documents, ...): the histogram's rows, then the answers for some limits and quantiles, in one table."""
+    h = sums.withColumn("kind", F.lit("length")).withColumn("documents_cut", F.col("documents_from") - F.col("documents"))
+    t = at_limits(sums, limits).filter("tokens_kept is not null").withColumnRenamed("limit", "length").withColumn("kind", F.lit("limit"))
+    q = quantiles(sums, shares).filter("length is not null").withColumn("kind", F.lit("quantile"))
+    return h.unionByName(t, allowMissingColumns=True).unionByName(q, allowMissingColumns=True)
+
+
 def at_limits(sums: DataFrame, limits: list[int]) -> DataFrame:
     """(limit, documents_cut, tokens_kept, tokens_cut) for any limits, in one pass: the next longer length answers each."""
     over = [(F.col("length") > n, n) for n in limits]
