@@ -1,18 +1,18 @@
 """Benchmark decontamination by size-partitioned MinHash containment (9), verified by exact shingle containment.
 
-Items are partitioned by the size of their shingle sets. An item's sketch is its smallest shingle hashes, more of them in
-a partition of larger items, and a partition has its own least number of sketch hits: one that an item
-contained to `percent` falls short of with a chance below 1e-9 (never, where the sketch is the whole set).
-The sketch is of the short side only: in a minimum over a long document's shingles a short item would drown,
-whereas each shingle of the document is looked up in the sketches here, so long documents lose nothing. A document with
-enough hits is checked against the item's whole set.
+Items are partitioned by the size of their shingle sets, by powers of two. An item's MinHash sketch is its `sketch_size` smallest shingle hashes, and a
+partition has its own sketch size and least number of sketch hits: one that an item contained to `percent` falls short of with a
+chance below 1e-9. Containment MinHash sketches the short side only: in the minima of a long document a short item would
+drown, so the document answers for each sketched hash whether it has it, and the share of hits estimates the containment. A document is
+held against those partitions only whose items could be in it by their size, and one with enough hits is checked against the item's whole
+set, so the estimate decides nothing by itself.
 
-Items are taken in blocks of at most BLOCK_SHINGLES shingles, which bounds what is sent to the executors; each block
-is one scan of the documents without a shuffle.
+Items' sets are hashed on the executors and taken in blocks of at most BLOCK_SHINGLES shingles, which bounds what the driver holds and
+what is sent to the executors; each block is one scan of the documents without a shuffle.
 
 Cases: null and empty texts, and texts without words, match nothing; items of fewer than five words are one run of
 their own width; repeated items and rows are each reported; a null doc_id is reported as null; extra columns pass through
-`clean`; an empty table on either side gives no match.
+`clean` whatever their names; an empty table on either side gives no match.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import plain_hashes, shingles
+from ._common import enter, plain_hashes, shingles, ship, signed
 
 WIDTH = 5
 BLOCK_SHINGLES = 2_000_000
@@ -33,8 +33,8 @@ MATCHES = "doc_id long, item_id long, shared long, n_shingles long, containment
 
 
 def sketch_size(m: int) -> int:
-    """How many smallest hashes an item of m shingles gives: grows with its size class."""
-    return min(m, 8 * m.bit_length())
+    """How many smallest hashes an item of m shingles gives: grows with its size partition."""
+    return min(m, 4 * m.bit_length() + 8)
 
 
 def least_hits(m: int, percent: int, miss: float = 1e-9) -> int:
@@ -51,62 +51,77 @@ def least_hits(m: int, percent: int, miss: float = 1e-9) -> int:
 
 
 class Block:
-    """Sketches and whole sets of some items, by shingle width."""
+    """Sketches and whole sets of some items, by shingle width and size partition."""
 
     def __init__(self, items: list[tuple[int | None, int, np.ndarray]], percent: int):
         self.percent = percent
         self.ids = [i for i, _, _ in items]
         self.sets = [s for _, _, s in items]
         self.need = [least_hits(len(s), percent) for s in self.sets]
-        self.by: dict[int, tuple] = {}
-        for width in {w for _, w, _ in items}:
-            h, of = [], []
-            for k, (_, w, s) in enumerate(items):
-                if w == width:
-                    x = s[: sketch_size(len(s))]  # sets are sorted: the smallest hashes
-                    h.append(x)
-                    of.append(np.full(len(x), k))
-            h, of = np.concatenate(h), np.concatenate(of)
+        groups: dict[tuple[int, int], list[int]] = {}
+        for k, (_, w, s) in enumerate(items):
+            groups.setdefault((w, len(s).bit_length()), []).append(k)
+        self.by: dict[int, list[tuple]] = {}
+        for (width, _), some in sorted(groups.items()):
+            h = [self.sets[k][: sketch_size(len(self.sets[k]))] for k in some]  # sets are sorted: the smallest hashes
+            of = np.repeat(some, [len(x) for x in h])
+            h = np.concatenate(h)
             order = np.argsort(h, kind="stable")
             h, of = h[order], of[order]
-            some = np.zeros(1 << 22, bool)
-            some[(h >> np.uint64(42)).astype(np.int64)] = True
-            self.by[width] = some, h, of
+            least = min(-(-percent * len(self.sets[k]) // 100) for k in some)
+            bits = np.zeros(1 << max(12, (64 * len(h)).bit_length()), bool)
+            shift = np.uint64(64 - (len(bits) - 1).bit_length())
+            bits[(h >> shift).astype(np.int64)] = True
+            self.by.setdefault(width, []).append((least, shift, bits, h, of))
 
     def matches(self, words: np.ndarray):
         """(item, shared) of each item that the document contains."""
-        for width, (some, h, of) in self.by.items():
+        for width, parts in self.by.items():
             if len(words) < width:
                 continue
-            s = shingles(words, width)
-            x = s[some[(s >> np.uint64(42)).astype(np.int64)]]
-            if not len(x):
-                continue
-            x = np.unique(x)
-            lo, hi = np.searchsorted(h, x), np.searchsorted(h, x, side="right")
-            hit = np.concatenate([of[a:b] for a, b in zip(lo, hi) if b > a] or [np.empty(0, np.int64)])
-            if not len(hit):
-                continue
-            items, n = np.unique(hit, return_counts=True)
-            items = [k for k, c in zip(items.tolist(), n.tolist()) if c >= self.need[k]]
-            if items:
-                own = np.unique(s)
-                for k in items:
-                    shared = len(np.intersect1d(self.sets[k], own, assume_unique=True))
-                    if 100 * shared >= self.percent * len(self.sets[k]):
-                        yield k, shared
+            s, own = shingles(words, width), None
+            for least, shift, bits, h, of in parts:
+                if len(s) < least:  # a document has too few shingles for any item of this partition
+                    continue
+                x = s[bits[(s >> shift).astype(np.int64)]]
+                if not len(x):
+                    continue
+                x = np.unique(x)
+                lo, hi = np.searchsorted(h, x), np.searchsorted(h, x, side="right")
+                hit = np.concatenate([of[a:b] for a, b in zip(lo, hi) if b > a] or [np.empty(0, np.int64)])
+                if not len(hit):
+                    continue
+                for k, c in zip(*(v.tolist() for v in np.unique(hit, return_counts=True))):
+                    if c >= self.need[k]:
+                        own = np.unique(s) if own is None else own
+                        shared = len(np.intersect1d(self.sets[k], own, assume_unique=True))
+                        if 100 * shared >= self.percent * len(self.sets[k]):
+                            yield k, shared
+
+
+def item_sets(benchmark: DataFrame) -> DataFrame:
+    """(item_id, width, hashes) of the items that have words."""
+    def run(batches):
+        enter("sets")
+        for b in batches:
+            out = []
+            for i, t in zip(b["item_id"].astype("Int64"), b["text"]):
+                words = plain_hashes(t)
+                if len(words):
+                    w = min(WIDTH, len(words))
+                    out.append((i, w, signed(np.unique(shingles(words, w)))))
+            f = pd.DataFrame(out, columns=["item_id", "width", "hashes"])
+            yield f.astype({"item_id": "Int64"})
+
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInPandas(run, "item_id long, width int, hashes array<long>")
 
 
 def blocks(benchmark: DataFrame, percent: int) -> Iterator[Block]:
     """The items, block after block; the driver holds one block."""
     held, size = [], 0
-    for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").toLocalIterator():
-        words = plain_hashes(r["text"])
-        if not len(words):
-            continue
-        w = min(WIDTH, len(words))
-        s = np.unique(shingles(words, w))
-        held.append((r["item_id"], w, s))
+    for r in item_sets(benchmark).toLocalIterator():
+        s = np.array(r["hashes"], np.int64).view(np.uint64)
+        held.append((r["item_id"], r["width"], s))
         size += len(s)
         if size >= BLOCK_SHINGLES:
             yield Block(held, percent)
@@ -118,11 +133,13 @@ def blocks(benchmark: DataFrame, percent: int) -> Iterator[Block]:
 def contained(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> DataFrame:
     """(doc_id, item_id, shared, n_shingles, containment) of each item contained in a document to `percent` or more."""
     spark = docs.sparkSession
+    ship(spark)
     d, out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), None
     for block in blocks(benchmark, percent):
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches, sent=sent):
+            enter("sets")
             b = sent.value
             for f in batches:
                 rows = []
@@ -140,6 +157,7 @@ def contained(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> DataF
 def _free_of(sent):
     @F.pandas_udf("boolean")
     def free(texts: pd.Series) -> pd.Series:
+        enter("sets")
         b = sent.value
         return pd.Series([next(b.matches(plain_hashes(t)), None) is None for t in texts], dtype=bool)
 
@@ -148,6 +166,7 @@ def _free_of(sent):
 
 def clean(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> DataFrame:
     """docs without the documents that contain an item; no shuffle."""
+    ship(docs.sparkSession)
     for block in blocks(benchmark, percent):
         docs = docs.filter(_free_of(docs.sparkSession.sparkContext.broadcast(block))("text"))
     return docs
