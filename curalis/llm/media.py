@@ -2,13 +2,13 @@
 
 `parse` reads any MPEG 1/2/2.5 layer I-III stream: it skips ID3v2 and ID3v1 tags, takes a header as a frame only where the
 next frame, the end or a tag follows at the computed place, otherwise looks for the next sync byte and counts
-what it skipped. Layer III checksums (CRC-16 over header and side information) are verified. Durations are
+what it skipped. Checksums (CRC-16 over the header's last two bytes and the side information, or in layers I and II the bit allocation and scale factor selection) are verified. Durations are
 samples and rate, never floats. `store` keeps bytes losslessly as main data of silent layer III frames
 (mono, 48 kHz), 64-byte units, behind an ID3v2 tag with the payload's length and a Xing table; `payload` reads them back.
 Fixed values of the public formats are the tables below.
 
 Cases: null text is the empty text, whose payload is 64 zero bytes; equal texts give equal values; each row is
-encoded on its own; an empty table gives no rows; extra columns are not read; a null doc_id stays null.
+encoded on its own; an empty table gives no rows; extra columns are not read, and `index_streams` passes them through, its own names with an underscore where they clash; a null doc_id stays null.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import free_name, ship
+
 # fixed values: bit rates in kbit/s by index 1..14, sample rates by index, of the MPEG audio standards
 RATES_V1 = {1: (32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448), 2: (32, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 384), 3: (32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)}
 RATES_V2 = {1: (32, 48, 56, 64, 80, 96, 112, 128, 144, 160, 176, 192, 224, 256), 2: (8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160), 3: (8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160)}
@@ -64,6 +66,7 @@ class Header:
     size: int
     samples: int
     side: int
+    bound: int = 32  # subbands of layers I and II whose allocation is coded for each channel
 
 
 @functools.lru_cache(4096)
@@ -83,7 +86,52 @@ def header(four: bytes) -> Header | None:
         samples = 576 if layer == 3 and version != 3 else 1152
         size = samples // 8 * 1000 * kbps // rate + pad
     side = (17 if mono else 32) if version == 3 else (9 if mono else 17)
-    return Header(version, layer, not four[1] & 1, kbps, rate, 1 if mono else 2, size, samples, side)
+    bound = 4 * ((four[3] >> 4 & 3) + 1) if four[3] >> 6 == 1 else 32
+    return Header(version, layer, not four[1] & 1, kbps, rate, 1 if mono else 2, size, samples, side, bound)
+
+
+# fixed values: bits of a subband's allocation in layer II as (number of subbands, bits), by the standards' tables B.2a to B.2d and B.1
+ALLOCATION = {"a": ((11, 4), (12, 3), (4, 2)), "b": ((11, 4), (12, 3), (7, 2)), "c": ((2, 4), (6, 3)), "d": ((2, 4), (10, 3)), "lsf": ((4, 4), (7, 3), (19, 2))}
+
+
+def _allocation(h: Header) -> list[int]:
+    """Bits of each subband's allocation in layer II."""
+    each = h.kbps // h.channels
+    if h.version != 3:
+        name = "lsf"
+    elif each <= 48:
+        name = "d" if h.rate == 32000 else "c"
+    else:
+        name = "a" if h.rate == 48000 or each <= 80 else "b"
+    return [bits for n, bits in ALLOCATION[name] for _ in range(n)]
+
+
+def protected_bits(frame: bytes, h: Header) -> int:
+    """How many bits after the checksum it covers."""
+    if h.layer == 3:
+        return 8 * h.side
+    one = lambda k: h.channels if k < h.bound else 1
+    if h.layer == 1:
+        return sum(4 * one(k) for k in range(32))
+    data, at, used = int.from_bytes(frame[6:70].ljust(64, b"\0"), "big"), 0, 0
+    for k, bits in enumerate(_allocation(h)):
+        for _ in range(one(k)):
+            value = data >> 512 - at - bits & (1 << bits) - 1
+            at += bits
+            if value:
+                used += 2 * (h.channels // one(k))  # two bits of scale factor selection for each channel that has samples
+    return at + used
+
+
+def checksum_ok(frame: bytes, h: Header) -> bool:
+    """Whether the CRC-16 of a protected frame agrees."""
+    bits = protected_bits(frame, h)
+    whole, rest = divmod(bits, 8)
+    c = crc16(frame[2:4] + frame[6 : 6 + whole])
+    for i in range(rest):
+        top = (c >> 15) ^ (frame[6 + whole] >> 7 - i & 1)
+        c = c << 1 & 0xFFFF ^ (0x8005 if top else 0)
+    return c == int.from_bytes(frame[4:6], "big")
 
 
 @dataclass
@@ -109,21 +157,48 @@ class Stream:
         return self.offsets[min(sample // self.first.samples, len(self.offsets) - 1)]
 
 
+def _syncsafe(four: bytes) -> int:
+    return four[0] << 21 | four[1] << 14 | four[2] << 7 | four[3]
+
+
 def _id3v2(data: bytes, tags: dict[str, str]) -> int:
+    """Reads text frames of an ID3v2.2, 2.3 or 2.4 tag into tags; returns the tag's length, 0 for none."""
     if data[:3] != b"ID3" or len(data) < 10 or max(data[6:10]) > 127:
         return 0
-    size = 10 + (data[6] << 21 | data[7] << 14 | data[8] << 7 | data[9])
-    at, syncsafe = 10, data[3] >= 4
-    while at + 10 <= min(size, len(data)) and data[at : at + 4].isalnum():
-        n = data[at + 4 : at + 8]
-        n = n[0] << 21 | n[1] << 14 | n[2] << 7 | n[3] if syncsafe else int.from_bytes(n, "big")
-        name, body = data[at : at + 4].decode("ascii"), data[at + 10 : at + 10 + n]
-        if name[0] == "T" and body:
-            codec = ("latin-1", "utf-16", "utf-16-be", "utf-8")[min(body[0], 3)]
-            parts = body[1:].decode(codec, "replace").rstrip("\0").split("\0")
-            tags[parts[0] if name == "TXXX" and len(parts) > 1 else name] = parts[-1]
-        at += 10 + n
-    return size + (10 if data[5] & 16 else 0)
+    size, major, flags = 10 + _syncsafe(data[6:10]), data[3], data[5]
+    body = data[10:size]
+    if flags & 128 and major < 4:  # unsynchronised as a whole
+        body = body.replace(b"\xff\0", b"\xff")
+    at = 0
+    if flags & 64 and major == 3:
+        at = 4 + int.from_bytes(body[:4], "big")
+    elif flags & 64 and major == 4:
+        at = _syncsafe(body[:4].ljust(4, b"\0"))
+    name_n, head = (3, 6) if major == 2 else (4, 10)
+    while at + head <= len(body) and body[at : at + name_n].isalnum():
+        raw = body[at + name_n : at + name_n + (3 if major == 2 else 4)]
+        n = _syncsafe(raw) if major == 4 else int.from_bytes(raw, "big")
+        name, part = body[at : at + name_n].decode("ascii"), body[at + head : at + head + n]
+        if major == 4 and body[at + 9] & 1:  # a length goes before the data
+            part = part[4:]
+        if major == 4 and body[at + 9] & 2:
+            part = part.replace(b"\xff\0", b"\xff")
+        if name[0] == "T" and part:
+            codec = ("latin-1", "utf-16", "utf-16-be", "utf-8")[min(part[0], 3)]
+            parts = part[1:].decode(codec, "replace").rstrip("\0").split("\0")
+            tags[parts[0] if name in ("TXXX", "TXX") and len(parts) > 1 else name] = parts[-1].lstrip("\ufeff")
+        at += head + n
+    return size + (10 if flags & 16 else 0)
+
+
+def _id3v1(tag: bytes, tags: dict[str, str]) -> None:
+    """The fields of an ID3v1 or 1.1 tag of 128 bytes, under names of their own."""
+    for name, a, b in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93), ("year", 93, 97), ("comment", 97, 127)):
+        x = tag[a:b].split(b"\0")[0].rstrip(b" ").decode("latin-1")
+        if x:
+            tags.setdefault("ID3v1" if name == "title" else f"ID3v1:{name}", x)
+    if tag[125] == 0 and tag[126]:
+        tags.setdefault("ID3v1:track", str(tag[126]))
 
 
 def _vbr(frame: bytes, h: Header) -> dict | None:
@@ -137,7 +212,9 @@ def _vbr(frame: bytes, h: Header) -> dict | None:
                 out["toc"] = list(frame[at : at + 100])
             return out
     if frame[36:40] == b"VBRI":
-        return {"kind": "VBRI", "bytes": int.from_bytes(frame[46:50], "big"), "frames": int.from_bytes(frame[50:54], "big")}
+        entries, scale, width = (int.from_bytes(frame[k : k + 2], "big") for k in (54, 56, 58))
+        toc = [scale * int.from_bytes(frame[62 + k * width : 62 + (k + 1) * width], "big") for k in range(entries) if 62 + (k + 1) * width <= len(frame)]
+        return {"kind": "VBRI", "bytes": int.from_bytes(frame[46:50], "big"), "frames": int.from_bytes(frame[50:54], "big"), "frames_an_entry": int.from_bytes(frame[60:62], "big"), "toc": toc}
     return None
 
 
@@ -152,9 +229,7 @@ def parse(data: bytes) -> Stream:
     at, end = _id3v2(data, s.tags), len(data)
     if end >= 128 and data[end - 128 : end - 125] == b"TAG":
         end -= 128
-        title = data[end + 3 : end + 33].rstrip(b"\0 ").decode("latin-1")
-        if title:
-            s.tags.setdefault("ID3v1", title)
+        _id3v1(data[end : end + 128], s.tags)
     synced = False
     while at + 4 <= end:
         h = header(data[at : at + 4])
@@ -162,7 +237,7 @@ def parse(data: bytes) -> Stream:
         if ok and at + h.size < end:  # a lone sync word in other data isn't a frame
             n = header(data[at + h.size : at + h.size + 4])
             follows = n is not None and _kind(n) == _kind(h)
-            sound = h.protected and h.layer == 3 and crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]) == int.from_bytes(data[at + 4 : at + 6], "big")
+            sound = h.protected and checksum_ok(data[at : at + h.size], h)
             ok = follows or synced and (sound or not h.protected)
         if not ok:
             synced = False
@@ -173,9 +248,9 @@ def parse(data: bytes) -> Stream:
             continue
         synced = True
         frame = data[at : at + h.size]
-        if h.protected and h.layer == 3:
+        if h.protected and h.size > 6:
             s.crc_checked += 1
-            s.crc_bad += crc16(frame[2:4] + frame[6 : 6 + h.side]) != int.from_bytes(frame[4:6], "big")
+            s.crc_bad += not checksum_ok(frame, h)
         if s.first is None:
             s.first = h
             s.vbr = _vbr(frame, h)
@@ -245,6 +320,8 @@ def padded(text: str | None) -> tuple[int, bytes]:
 
 def encode_texts(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) with the stored stream: (doc_id, n_bytes, media)."""
+    ship(docs.sparkSession)
+
     def run(batches):
         for b in batches:
             got = [padded(t) for t in b["text"]]
@@ -261,8 +338,9 @@ def index_streams(media: DataFrame, column: str = "media") -> DataFrame:
     """Adds to each row what the stream holds: exact duration, seek offsets, tags, table, checksum results; nulls for a null or frameless one."""
     from pyspark.sql import types as T
 
+    ship(media.sparkSession)
     kept = [c for c in media.columns]
-    fields = media.sparkSession.createDataFrame([], INDEX).schema.fields
+    fields = [T.StructField(free_name(media, f.name), f.dataType) for f in media.sparkSession.createDataFrame([], INDEX).schema.fields]
 
     def run(batches):
         for b in batches:
@@ -273,8 +351,8 @@ def index_streams(media: DataFrame, column: str = "media") -> DataFrame:
                 v = s.vbr or {}
                 out.append((s.samples, s.first.rate if s.first else None, len(s.offsets), [{"byte_offset": o, "sample": i * step} for i, o in enumerate(s.offsets)], dict(s.tags), v.get("kind"), v.get("frames"), s.crc_checked, s.crc_bad, s.skipped))
             f = pd.DataFrame(out, columns=[f.name for f in fields], index=b.index)
-            for c in ("sample_rate", "vbr_frames"):
-                f[c] = f[c].astype("Int64")
+            for k in (1, 6):  # whole numbers with nulls
+                f[f.columns[k]] = f[f.columns[k]].astype("Int64")
             yield pd.concat([b, f], axis=1)
 
     return media.select(*kept).mapInPandas(run, T.StructType([*media.schema.fields, *fields]))
@@ -285,6 +363,8 @@ DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 
 def digests(media: DataFrame) -> DataFrame:
     """From (doc_id, n_bytes, media): sums of what is read back."""
+    ship(media.sparkSession)
+
     def run(batches):
         for b in batches:
             out = []
