@@ -29,7 +29,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    return token_counts.length_histogram(table(spark, sf_dir, "documents"))
+    return token_counts.answers(token_counts.length_histogram(table(spark, sf_dir, "documents")))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     calls, results = tool_calls.turns_as_calls(table(spark, sf_dir, "conversations"))
-    return tool_calls.link(calls, results, {"reply": tool_calls.TURN_SCHEMA})
+    return tool_calls.link(calls, results, tool_calls.TURN_SCHEMAS, silent=("context",))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,5 +71,41 @@ def queries() -> dict:
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
+SQL = {
+    "op6_minhash": r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS t FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(t) >= 2 THEN list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]) ELSE t END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * i >= 80 * (nx.n + ny.n - i)),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+r(id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.y, r.c FROM r JOIN e ON r.id = e.x),
+m AS (SELECT id, min(c) AS c FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id, d.doc_id = m.c AS kept FROM documents d JOIN m ON m.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
+    "op8_tool_calls": r"""WITH RECURSIVE t AS (SELECT conv_id, turn, role, text, to_json(text) AS jt FROM conversations),
+c AS (SELECT conv_id, turn, CASE role WHEN 'user' THEN 'reply' WHEN 'system' THEN 'context' ELSE role END AS name, role, text, '{"role":' || coalesce(to_json(role), 'null') || ',"text":' || coalesce(jt, 'null') || '}' AS args FROM t WHERE role IS DISTINCT FROM 'assistant'),
+c1 AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY name NULLS FIRST, args) AS k, count(*) OVER (PARTITION BY conv_id, turn) AS n FROM c),
+r1 AS (SELECT conv_id, turn, text, jt, row_number() OVER (PARTITION BY conv_id, turn ORDER BY text NULLS FIRST) AS k, count(*) OVER (PARTITION BY conv_id, turn) AS n FROM t WHERE role = 'assistant'),
+cf AS (SELECT * FROM c1 WHERE k = 1), rf AS (SELECT * FROM r1 WHERE k = 1),
+lv(conv_id, turn, level) AS (SELECT conv_id, turn, 0 FROM cf a WHERE NOT (role IS NOT DISTINCT FROM 'user' AND turn >= 2 AND EXISTS (SELECT 1 FROM cf b WHERE b.conv_id = a.conv_id AND b.turn = a.turn - 2))
+  UNION ALL SELECT a.conv_id, a.turn, lv.level + 1 FROM lv JOIN cf a ON a.conv_id = lv.conv_id AND a.turn = lv.turn + 2 AND a.role = 'user' AND a.turn >= 2),
+j AS (SELECT coalesce(a.conv_id, b.conv_id) AS conversation, CAST(CASE WHEN a.n IS NULL THEN b.turn - 1 ELSE a.turn END AS VARCHAR) AS call_id, a.turn AS call_position, b.turn AS result_position, a.name, a.role, a.text, a.args, b.jt AS content, coalesce(a.n, 0) + coalesce(b.n, 0) AS copies,
+    CASE WHEN a.n IS NULL THEN 'orphan' WHEN b.n IS NOT NULL THEN 'linked' WHEN a.name = 'context' THEN 'silent' ELSE 'unanswered' END AS status, a.n IS NOT NULL AS called FROM cf a FULL JOIN rf b ON a.conv_id = b.conv_id AND a.turn = b.turn - 1
+  UNION ALL SELECT conv_id, CAST(turn AS VARCHAR), turn, NULL, name, role, text, args, NULL, n, 'conflicting', true FROM (SELECT DISTINCT a.conv_id, a.turn, a.name, a.role, a.text, a.args, a.n FROM c1 a JOIN cf b ON a.conv_id = b.conv_id AND a.turn = b.turn WHERE (a.name, a.args) IS DISTINCT FROM (b.name, b.args))
+  UNION ALL SELECT conv_id, CAST(turn - 1 AS VARCHAR), NULL, turn, NULL, NULL, NULL, NULL, jt, n, 'conflicting', false FROM (SELECT DISTINCT a.conv_id, a.turn, a.jt, a.n FROM r1 a JOIN rf b ON a.conv_id = b.conv_id AND a.turn = b.turn WHERE a.text IS DISTINCT FROM b.text)),
+v AS (SELECT *, concat_ws('; ', CASE WHEN NOT called THEN '$: no call' WHEN name IS NULL OR name NOT IN ('reply', 'context') THEN '$: unknown tool' WHEN text IS NULL THEN '$.text: type' WHEN name = 'reply' AND text = '' THEN '$.text: minLength' END,
+    CASE WHEN status NOT IN ('conflicting', 'orphan') AND role = 'user' AND call_position >= 2 AND NOT EXISTS (SELECT 1 FROM cf b WHERE b.conv_id = j.conversation AND b.turn = j.call_position - 2) THEN 'depends: ' || (call_position - 2) END) AS violations FROM j)
+SELECT call_id, conversation, CASE WHEN status IN ('linked', 'silent', 'unanswered') THEN lv.level END AS level, call_position, result_position, status, violations = '' AS valid, violations, copies,
+ '{"arguments":' || coalesce(args, 'null') || ',"id":' || to_json(call_id) || ',"name":' || coalesce(to_json(name), 'null') || ',"result":' || coalesce(content, 'null') || '}' AS canonical FROM v LEFT JOIN lv ON lv.conv_id = v.conversation AND lv.turn = v.call_position""",
+    "op9_decontamination": r"""WITH wi AS (SELECT item_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: regexp_replace(lower(x), '[^\p{L}\p{N}]+', '', 'g')), lambda x: x <> '') AS t FROM benchmark),
+wd AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: regexp_replace(lower(x), '[^\p{L}\p{N}]+', '', 'g')), lambda x: x <> '') AS t FROM documents),
+gi AS (SELECT DISTINCT item_id, least(5, len(t)) AS w, unnest(list_transform(range(1, len(t) - least(5, len(t)) + 2), lambda i: array_to_string(t[i : i + least(5, len(t)) - 1], ' '))) AS g FROM wi WHERE len(t) > 0),
+k AS (SELECT DISTINCT w FROM gi),
+gd AS (SELECT DISTINCT doc_id, w, unnest(list_transform(range(1, len(t) - w + 2), lambda i: array_to_string(t[i : i + w - 1], ' '))) AS g FROM wd, k WHERE len(t) >= w),
+n AS (SELECT item_id, count(*) AS n FROM gi GROUP BY 1)
+SELECT doc_id, item_id, count(*) AS shared, any_value(n.n) AS n_shingles, count(*) / any_value(n.n) AS containment FROM gi JOIN gd USING (w, g) JOIN n USING (item_id) GROUP BY 1, 2 HAVING 100 * count(*) >= 80 * any_value(n.n)""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """For the queries whose rows SQL can give: the others need a tokenizer, hashes of their own, a fit or a media format."""
+    return dict(SQL)
