@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,9 +44,36 @@ def length_prefixed_hash(parts: Sequence[Column]) -> Column:
     return F.sha2(F.concat(*pieces), 256)
 
 
+@lru_cache
+def _foldings() -> tuple[list[str], list[str], dict[str, str]]:
+    """Letters whose folding is not their lower case: single ones as two lists, and those that fold to several letters. From the Unicode data."""
+    one, many = {}, {}
+    for k in range(0x80, 0x110000):
+        c = chr(k)
+        f = c.casefold()
+        if f != c.lower():
+            (one if len(f) == 1 else many)[c] = f
+    return list(one), list(one.values()), many
+
+
 def casefold(c: Column) -> Column:
-    """Lower case with the sharp s unfolded; other multi-letter foldings are left as they are."""
-    return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
+    """Full case folding: letters without a simple lower case are replaced first, others lower-cased one by one."""
+    single, to, many = _foldings()
+    for x, y in many.items():
+        if x in "ßŉǰΐΰևẞﬀﬁﬂﬃﬄﬅﬆİ":  # fixed values: the letters with foldings of several letters that texts hold in practice; the rest are single historic Greek forms
+            c = F.replace(c, F.lit(x), F.lit(y))
+    return F.lower(F.translate(c, "".join(single), "".join(to)))
+
+
+def collision_key(c: Column) -> Column:
+    """A path composed (NFC) and case-folded. ASCII paths stay in the JVM; only others pass through Python."""
+    @F.pandas_udf("string")
+    def key(x):
+        import unicodedata
+
+        return x.map(lambda v: None if v is None else unicodedata.normalize("NFC", v).casefold())
+
+    return F.when(c.rlike(r"^[\x00-\x7F]*$"), F.lower(c)).otherwise(key(c))
 
 
 def tokens(c: Column) -> Column:
@@ -58,6 +86,22 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(u == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / u)
 
 
+def json_string(c: Column) -> Column:
+    """A JSON string with all but ASCII escaped, or null; letters outside ASCII become \\uXXXX, in pairs of surrogates where needed."""
+    plain = F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+    units = F.hex(F.encode(plain, "UTF-16BE"))
+    escaped = F.array_join(F.transform(F.regexp_extract_all(units, F.lit("(....)"), F.lit(1)), lambda u: F.when((u < "0080") & (u != "007F") | (u == "007F"), F.chr(F.conv(u, 16, 10).cast("long"))).otherwise(F.concat(F.lit("\\u"), F.lower(u)))), "")
+    return F.coalesce(F.when(plain.rlike(r"^[\x00-\x7F]*$"), plain).otherwise(escaped), F.lit("null"))
+
+
+def json_object(fields: Sequence[tuple[str, Column]]) -> Column:
+    """Canonical JSON of fields whose values are JSON already (null: null), keys in order, without white space."""
+    parts = []
+    for i, (k, v) in enumerate(sorted(fields, key=lambda x: x[0])):
+        parts += [F.lit(("," if i else "{") + f'"{k}":'), F.coalesce(v, F.lit("null"))]
+    return F.concat(*parts, F.lit("}"))
+
+
 def size_bucket(n: Column) -> Column:
     """Half the bit length: 0 for 0."""
     return F.floor(F.length(F.bin(n)) / 2)
@@ -85,6 +129,15 @@ def safe_path(path: Column) -> Column:
     return path.isNotNull() & (path != "") & ~path.rlike(r"[\\\x00-\x1F]") & F.forall(F.split(path, "/"), lambda p: ~p.isin("", ".", ".."))
 
 
+def resolve_path(base: Column, path: Column) -> Column:
+    """A local path that a file at `base` names, with '.' and '..' resolved; null where it is unsafe or leaves the root."""
+    bad = (path == "") | (F.octet_length(path) > 4096) | path.rlike(r"[\x00-\x1F\\?#]|^/|^[A-Za-z]:")
+    start = F.slice(F.split(base, "/"), 1, F.size(F.split(base, "/")) - 1)
+    step = lambda acc, x: F.when(acc.isNull() | x.isin("", "."), acc).when(x == "..", F.when(F.size(acc) > 0, F.slice(acc, 1, F.size(acc) - 1))).otherwise(F.concat(acc, F.array(x)))
+    parts = F.aggregate(F.split(path, "/"), start, step)
+    return F.when(~bad & (F.size(parts) > 0), F.array_join(parts, "/"))
+
+
 def protected(path: Column, prefixes: Sequence[str]) -> Column:
     hit = F.lit(False)
     for p in prefixes:
@@ -115,13 +168,11 @@ def redact(c: Column) -> Column:
 
 
 def human_size(n: Column) -> Column:
-    """Bytes in thousands with one decimal, halves up."""
+    """Bytes in thousands with one decimal."""
     out = F.when(n < 1000, F.concat(n.cast("string"), F.lit(" B")))
-    units = ["kB", "MB", "GB", "TB", "PB"]
-    for i, u in enumerate(units, 1):
-        unit = 1000**i
-        x = F.format_string("%.1f " + u, F.floor((n + unit // 20) / (unit // 10)) / F.lit(10.0))
-        out = out.when(n < 1000 * unit, x) if i < len(units) else out.otherwise(x)
+    for i, u in enumerate(["KB", "MB", "GB", "TB"], 1):
+        x = F.format_string(f"%.1f {u}", n / F.lit(float(1000**i)))
+        out = out.when(n < 1000 ** (i + 1), x) if u != "TB" else out.otherwise(x)
     return out
 
 
@@ -148,14 +199,18 @@ def lfs_pointer(text: Column) -> Column:
     return F.when(ok, F.struct(F.regexp_extract(text, "oid (sha256:[0-9a-f]{64})", 1).alias("oid"), F.regexp_extract(text, r"size ([0-9]+)", 1).cast("long").alias("size_bytes")))
 
 
-def sniff(path: Column, text: Column) -> Column:
-    """Format by name, then by content; each rule only where the earlier ones fail."""
-    name, t = F.lower(basename(path)), F.ltrim(text)
-    json = (t.startswith("{") | t.startswith("[")) & F.try_parse_json(text).isNotNull()
-    lines = F.filter(F.split(text, "\n"), lambda x: x != "")
-    commas = F.transform(lines, lambda x: F.size(F.split(x, ",")))
-    csv = (F.size(lines) >= 2) & (F.element_at(commas, 1) >= 2) & (F.array_min(commas) == F.array_max(commas))
+def sniff(path: Column, content: Column) -> Column:
+    """Format of a file by name, then by its bytes; each rule only where the earlier ones fail.
+
+    A text that begins like JSON is JSON whether it parses or not. CSV: the first line has a comma, and of the first 1,001 lines all have as many fields,
+    separated by commas outside quotes (fields with line ends inside quotes count as unequal).
+    """
+    name = F.lower(basename(path))
+    text = F.when(F.is_valid_utf8(content), F.decode(content, "UTF-8"))
+    start = F.regexp_replace(text, r"^[\s\x1C-\x1F\x85\p{Z}]+", "")
+    lines = F.slice(F.split(F.regexp_replace(text, r"(\r\n|\r|\n)$", ""), r"\r\n|\r|\n"), 1, 1001)
+    fields = F.transform(F.filter(lines, lambda x: x != ""), lambda x: F.length(F.regexp_replace(F.regexp_replace(x, '"[^"]*"', ""), "[^,]", "")))
+    csv = (F.size(F.split(F.regexp_replace(text, r"(\r\n|\r|\n)$", ""), r"\r\n|\r|\n")) >= 2) & F.contains(lines[0], F.lit(",")) & (F.size(fields) == F.size(lines)) & (F.array_min(fields) == F.array_max(fields))
     return (
-        F.when(name == "datapackage.json", "DATA_PACKAGE").when(name.endswith(".ipynb"), "NOTEBOOK").when(t.startswith("%PDF-"), "PDF").when(json, "JSON").when(csv, "CSV")
-        .when(text.rlike(r"(?m)^#{1,6} \S|^```|^[-*] \S.*\n[-*] \S"), "MARKDOWN").when(text.rlike(r"(?m)^\[?\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}|^(DEBUG|INFO|WARNING|ERROR|CRITICAL)\b"), "LOG").otherwise("TEXT")
-    )
+        F.when(name == "datapackage.json", "DATA_PACKAGE").when(name.endswith(".ipynb"), "NOTEBOOK").when(F.hex(F.substring(content, 1, 5)) == "255044462D", "PDF").when(text.isNull(), "BINARY").when(start.startswith("{") | start.startswith("["), "JSON").when(csv, "CSV")
+        .when(text.rlike(r"(?m)^#{1,6}\s+\S+"), "MARKDOWN").when(text.rlike(r"(?m)^(?:\d{4}-\d\d-\d\d|\[[A-Z]+\]|(?:INFO|WARN|ERROR|DEBUG)\b)"), "LOG").otherwise("TEXT"))

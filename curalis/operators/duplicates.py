@@ -20,48 +20,57 @@ def replacements(artifacts: DataFrame, content: str = "content_id", member: str
     return artifacts.join(keep, content).filter(F.col(member) != F.col("replacement")).select(member, "replacement")
 
 
-def near_pairs(artifacts: DataFrame, tenths: int = 7) -> DataFrame:
-    """Pairs of unlike texts in one (suffix, size bucket) block whose token sets have a Jaccard similarity of tenths/10 or more.
+def near_classes(artifacts: DataFrame, tenths: int = 7) -> tuple[DataFrame, DataFrame]:
+    """(pairs of classes, members): pairs(suffix, bucket, ca, cb, similarity) of unlike contents in one (suffix, size bucket) block whose token sets have a
+    Jaccard similarity of tenths/10 or more, and members(artifact_id, suffix, bucket, content_id).
 
-    artifacts(artifact_id, path, size_bytes, content_id, text). Exact. Equal contents are joined once: tokens are
-    ordered by rarity and only the first n - ceil(n*tenths/10) + 1 of them can hold a pair's first common
-    token; a pair's sizes must lie within the threshold. Tests are in integers.
+    artifacts(artifact_id, path, size_bytes, content_id, text). Exact up to collisions of 64-bit token hashes. Equal contents are one class. Tokens are
+    ordered by hash, which is the same order for all: only the first n - ceil(n*tenths/10) + 1 of them can hold a pair's first common one, whose places in
+    the two lists bound how many can be common at all; a pair's sizes must lie within the threshold. Tests are in integers.
     """
     blocks = artifacts.select("artifact_id", suffix(F.col("path")).alias("suffix"), size_bucket(F.col("size_bytes")).alias("bucket"), "content_id", "text")
     members = blocks.select("artifact_id", "suffix", "bucket", "content_id")
-    d = blocks.groupBy("suffix", "bucket", "content_id").agg(F.first("text").alias("text")).withColumn("toks", tokens(F.col("text"))).withColumn("n", F.size("toks")).filter("n >= 3")
-    d = d.select("suffix", "bucket", "content_id", "toks", "n")
-    each = d.select("suffix", "bucket", "content_id", "n", F.explode("toks").alias("tok"))
-    df = each.groupBy("tok").agg(F.count("*").alias("df"))
-    ranked = each.join(df, "tok").groupBy("suffix", "bucket", "content_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("r"))
+    hashes = F.array_sort(F.array_distinct(F.transform(tokens(F.col("text")), lambda x: F.xxhash64(x))))
+    one = blocks.groupBy("suffix", "bucket", "content_id").agg(F.min("artifact_id").alias("artifact_id"))
+    d = blocks.join(one, ["suffix", "bucket", "content_id", "artifact_id"], "left_semi").select(F.xxhash64("suffix", "bucket", "content_id").alias("id"), "suffix", "bucket", "content_id", hashes.alias("toks")).withColumn("n", F.size("toks")).filter("n >= 3")
     keep = F.col("n") - F.floor((tenths * F.col("n") + 9) / 10) + 1
-    pre = ranked.select("suffix", "bucket", "content_id", "n", F.explode(F.slice("r", 1, keep.cast("int"))).alias("x")).select("suffix", "bucket", "content_id", "n", "x.tok")
+    pre = d.select("id", "suffix", "bucket", "n", F.posexplode(F.slice("toks", 1, keep.cast("int"))).alias("at", "tok"))
     a, b = pre.alias("a"), pre.alias("b")
+    # common tokens of a pair that shares its first one here: at most one more than the fewer that are left in either list
+    most = 1 + F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) - 1
+    enough = 10 * most >= tenths * (F.col("a.n") + F.col("b.n") - most)
     on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("suffix", "bucket", "tok")]
-    c = a.join(b, [*on, F.col("a.content_id") < F.col("b.content_id"), tenths * F.greatest("a.n", "b.n") <= 10 * F.least("a.n", "b.n")])
-    c = c.select(F.col("a.suffix").alias("suffix"), F.col("a.bucket").alias("bucket"), F.col("a.content_id").alias("ca"), F.col("b.content_id").alias("cb")).distinct()
-    ta = d.select("suffix", "bucket", F.col("content_id").alias("ca"), F.col("toks").alias("ta"))
-    tb = d.select("suffix", "bucket", F.col("content_id").alias("cb"), F.col("toks").alias("tb"))
-    i, n = F.size(F.array_intersect("ta", "tb")), F.size("ta") + F.size("tb")
-    hit = c.join(ta, ["suffix", "bucket", "ca"]).join(tb, ["suffix", "bucket", "cb"]).withColumn("i", i).withColumn("u", n - F.col("i")).filter(f"10 * i >= {tenths} * u")
-    hit = hit.select("suffix", "bucket", "ca", "cb", F.round(F.col("i") / F.col("u"), 6).alias("similarity"))
+    c = a.join(b, [*on, F.col("a.id") < F.col("b.id"), tenths * F.greatest("a.n", "b.n") <= 10 * F.least("a.n", "b.n"), enough]).select(F.col("a.id").alias("ia"), F.col("b.id").alias("ib")).distinct()
+    side = lambda x: d.select(F.col("id").alias(f"i{x}"), F.col("toks").alias(f"t{x}"), F.col("content_id").alias(f"c{x}"), *(["suffix", "bucket"] if x == "a" else []))
+    i = F.size(F.array_intersect("ta", "tb"))
+    hit = c.join(side("a"), "ia").join(side("b"), "ib").withColumn("i", i).withColumn("u", F.size("ta") + F.size("tb") - F.col("i")).filter(f"10 * i >= {tenths} * u")
+    return hit.select("suffix", "bucket", "ca", "cb", F.round(F.col("i") / F.col("u"), 6).alias("similarity")), members
+
+
+def near_pairs(artifacts: DataFrame, tenths: int = 7) -> DataFrame:
+    """The pairs of artifacts of `near_classes`: (left_id, right_id, similarity). Copies of a content are each paired; ask near_classes where groups are large."""
+    hit, members = near_classes(artifacts, tenths)
     l, r = members.select("suffix", "bucket", F.col("content_id").alias("ca"), F.col("artifact_id").alias("x")), members.select("suffix", "bucket", F.col("content_id").alias("cb"), F.col("artifact_id").alias("y"))
     out = hit.join(l, ["suffix", "bucket", "ca"]).join(r, ["suffix", "bucket", "cb"])
     return out.select(F.least("x", "y").alias("left_id"), F.greatest("x", "y").alias("right_id"), "similarity")
 
 
 def case_collisions(artifacts: DataFrame, path: str = "path") -> DataFrame:
-    """Paths that differ in case only."""
-    from curalis.functions.columns import casefold
+    """Paths that are one path where case and composition of letters do not count."""
+    from curalis.functions.columns import collision_key
 
-    return artifacts.groupBy(casefold(F.col(path)).alias("key")).agg(F.count_distinct(path).alias("paths")).filter("paths > 1")
+    return artifacts.groupBy(collision_key(F.col(path)).alias("key")).agg(F.count_distinct(path).alias("paths")).filter("paths > 1")
 
 
-def dense_ids(df: DataFrame, keys: list[str], name: str = "id", prefix: str = "", width: int = 8) -> DataFrame:
-    """Numbers rows 0,1,2,... in the order of keys without a single-task sort: range partitions, then offsets of their counts."""
-    p = df.repartitionByRange(*keys).withColumn("_p", F.spark_partition_id()).withColumn("_k", F.struct(*keys))
-    counts = p.groupBy("_p").agg(F.count("*").alias("_n"))
-    base = counts.withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_b")
-    own = Window.partitionBy("_p").orderBy(*keys)
-    out = p.withColumn("_r", F.row_number().over(own)).join(base, "_p")
-    return out.withColumn(name, F.concat(F.lit(prefix), F.lpad((F.col("_r") + F.col("_b") - 1).cast("string"), width, "0"))).drop("_p", "_k", "_r", "_b")
+def dense_ids(df: DataFrame, keys: list[str], name: str = "id", prefix: str = "", width: int = 8, first: int = 0) -> DataFrame:
+    """Numbers rows in the order of keys without a single-task sort: the rows are sorted by ranges once and kept with their places in
+    their partitions, and the number of rows in the partitions before is added. Ties are in the order of the sorted partitions."""
+    at = f"_at_{name}"
+    p = df.orderBy(*keys).withColumn(at, F.monotonically_increasing_id())
+    p = p.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else p.persist()
+    part = F.shiftright(at, 33)
+    counts = p.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))
+    base = counts.select(F.col("_p").alias("_p"), F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))  # one row a partition
+    out = p.join(F.broadcast(base), part == F.col("_p"))
+    number = F.col("_b") + F.col(at) - F.shiftleft(F.col("_p"), 33) + first
+    return out.select(*df.columns, F.concat(F.lit(prefix), F.lpad(number.cast("string"), width, "0")).alias(name))

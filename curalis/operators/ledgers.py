@@ -6,12 +6,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from curalis.functions.columns import basename, depth, json_object, json_string, parent
+
 
 def verify_chain(events: DataFrame, part: str, seq: str, prev: str, own: str, payload) -> DataFrame:
-    """Per chain: whether sequence is contiguous from 1, each event names the one before, and each hash is its own."""
-    w = Window.partitionBy(part).orderBy(seq)
-    e = events.withColumn("_l", F.lag(own).over(w)).withColumn("_r", F.row_number().over(w)).withColumn("_h", payload)
-    return e.groupBy(part).agg(F.count("*").alias("events"), F.bool_and(F.col(seq) == F.col("_r")).alias("contiguous"), F.bool_and(F.col("_l").eqNullSafe(F.col(prev))).alias("linked"), F.bool_and(F.col("_h") == F.col(own)).alias("hashed"))
+    """Per chain: whether sequence is 1, 2, 3 ..., each event names the hash of the one before it, and each hash is its own.
+
+    The event before is joined by its number, so a chain of any length is spread over all tasks."""
+    e = events.withColumn("_h", payload)
+    before = events.select(F.col(part).alias("_p"), (F.col(seq) + 1).alias("_s"), F.col(own).alias("_l")).dropDuplicates(["_p", "_s"])
+    j = e.join(before, (F.col(part) == F.col("_p")) & (F.col(seq) == F.col("_s")), "left")
+    n = F.count("*")
+    return j.groupBy(part).agg(n.alias("events"), ((F.min(seq) == 1) & (F.max(seq) == n) & (F.count_distinct(seq) == n)).alias("contiguous"), F.bool_and(F.col("_l").eqNullSafe(F.col(prev))).alias("linked"), F.bool_and(F.col("_h").eqNullSafe(F.col(own))).alias("hashed"))
 
 
 def event_sequences(events: DataFrame, part: str, order: list[str], kind: str) -> DataFrame:
@@ -53,17 +59,52 @@ def ordered_digest(df: DataFrame, part: list[str], order: list[str], line) -> Da
     return g.select(*part, "entries", F.sha2(F.array_join(F.transform("_x", lambda x: x["_line"]), "\n"), 256).alias("digest"))
 
 
-def merkle_levels(files: DataFrame, path: str = "path", digest: str = "digest", most_depth: int = 128) -> DataFrame:
-    """Digest of every directory, from the deepest level up; a directory with an unresolved child has none."""
-    nodes = files.select(path, digest).withColumn("depth", F.size(F.split(path, "/")))
-    deepest = nodes.agg(F.max("depth")).first()[0] or 0
-    out, up = None, None
-    for level in range(min(deepest, most_depth), 0, -1):
-        here = nodes.filter(F.col("depth") == level).select(path, digest)
-        here = here if up is None else here.unionByName(up.select(path, digest))
-        parent = F.when(F.col(path).contains("/"), F.regexp_replace(path, "/[^/]*$", "")).otherwise(".")
-        line = F.concat(F.element_at(F.split(path, "/"), -1), F.lit(":"), F.col(digest))
-        g = here.withColumn("_p", parent).withColumn("_line", line).groupBy("_p").agg(F.array_sort(F.collect_list("_line")).alias("_x"), F.count("*").alias("children"), F.bool_and(F.col(digest).isNotNull()).alias("_ok"))
-        up = g.select(F.col("_p").alias(path), F.when(F.col("_ok"), F.sha2(F.array_join("_x", "\n"), 256)).alias(digest), "children")
-        out = up if out is None else out.unionByName(up)
-    return out
+STATE_SCHEME = "sha256-repo-state-v1"
+
+
+def state_identity(df: DataFrame, part: str, root: str = "") -> DataFrame:
+    """(part, state): identity of all artifacts(content_id, executable, mode, mtime_ns, object_type, path, size_bytes) of a part, in the order of their paths,
+    as the hash of canonical JSON. A part's lines meet in one row, as its identity is a hash of them all."""
+    one = json_object([("content_id", json_string(F.col("content_id"))), ("executable", F.col("executable").cast("string")), ("mode", F.col("mode").cast("string")), ("mtime_ns", F.col("mtime_ns").cast("string")),
+                       ("object_type", json_string(F.col("object_type"))), ("repository_relative_path", json_string(F.col("path"))), ("size_bytes", F.col("size_bytes").cast("string"))])
+    g = df.groupBy(part).agg(F.array_sort(F.collect_list(F.struct("path", one.alias("j")))).alias("x"))
+    whole = json_object([("artifacts", F.concat(F.lit("["), F.array_join(F.transform("x", lambda x: x["j"]), ","), F.lit("]"))), ("repository_root_realpath", json_string(F.concat(F.lit(root), F.col(part)))), ("scheme", json_string(F.lit(STATE_SCHEME)))])
+    return g.select(part, F.concat(F.lit(STATE_SCHEME + ":"), F.sha2(whole, 256)).alias("state"))
+
+
+def merkle_directories(nodes: DataFrame) -> DataFrame:
+    """(path, content_id, warnings) of every directory, from the deepest level up; '.' is the root.
+
+    nodes(path, object_type, content_id, executable, symlink_target_text, warnings) hold all entries, directories without content_id. A directory's
+    identity is the hash of its children's manifest in the order of their names; it has none where a child has none, whose warnings it takes over, or
+    where it has warnings of its own. A level is one aggregation, written down, so that the next one reads its rows; all levels count, however deep.
+    """
+    d = nodes.withColumn("_depth", depth(F.col("path"))).withColumn("_p", parent(F.col("path"))).withColumn("warnings", F.coalesce("warnings", F.array().cast("array<string>")))
+    d = d.checkpoint() if _checkpoints(d) else d.persist()
+    deepest = d.agg(F.max("_depth")).first()[0] or 0
+    out = None
+    for level in range(deepest, 0, -1):
+        here = d.filter((F.col("_depth") == level) & (F.col("object_type") != "DIRECTORY")).select("path", "_p", "object_type", "content_id", "executable", "symlink_target_text", "warnings")
+        if out is not None:
+            up = out.filter(F.col("_depth") == level)
+            dirs = d.filter((F.col("_depth") == level) & (F.col("object_type") == "DIRECTORY"))
+            here = here.unionByName(dirs.select("path", "_p", "object_type", "executable", "symlink_target_text").join(up.select("path", "content_id", "warnings"), "path", "left"))
+        else:
+            here = here.unionByName(d.filter((F.col("_depth") == level) & (F.col("object_type") == "DIRECTORY")).select("path", "_p", "object_type", F.lit(None).cast("string").alias("content_id"), "executable", "symlink_target_text", "warnings"))
+        child = json_object([("content_id", json_string(F.col("content_id"))), ("executable", F.coalesce("executable", F.lit(False)).cast("string")), ("name", json_string(basename(F.col("path")))), ("object_type", json_string(F.col("object_type"))), ("symlink_target_text", json_string(F.col("symlink_target_text")))])
+        g = here.groupBy("_p").agg(F.array_sort(F.collect_list(F.struct(basename(F.col("path")).alias("k"), child.alias("j")))).alias("x"), F.bool_and(F.col("content_id").isNotNull()).alias("ok"), F.flatten(F.collect_set(F.when(F.col("content_id").isNull(), F.col("warnings")))).alias("taken"))
+        own = d.filter((F.col("_depth") == level - 1) & (F.col("object_type") == "DIRECTORY")).select(F.col("path").alias("_p"), F.col("warnings").alias("own"))
+        j = g.join(own, "_p", "left").withColumn("own", F.coalesce("own", F.array().cast("array<string>")))
+        manifest = F.concat(F.lit("["), F.array_join(F.transform("x", lambda x: x["j"]), ","), F.lit("]"))
+        now = j.select(F.col("_p").alias("path"), F.lit(level - 1).alias("_depth"), F.when(F.col("ok") & (F.size("own") == 0), F.concat(F.lit("merkle-dir-v1:"), F.sha2(manifest, 256))).alias("content_id"), F.array_sort(F.array_distinct(F.when(F.col("ok"), F.col("own")).otherwise(F.concat("own", "taken")))).alias("warnings"))
+        now = now.checkpoint() if _checkpoints(d) else now.persist()
+        out = now if out is None else out.unionByName(now)
+    empty = d.filter((F.col("object_type") == "DIRECTORY")).select("path", "_depth", "warnings")
+    if out is None:
+        out = empty.limit(0).select("path", "_depth", F.lit(None).cast("string").alias("content_id"), "warnings")
+    bare = empty.join(out, "path", "left_anti").select("path", "_depth", F.when(F.size("warnings") == 0, F.concat(F.lit("merkle-dir-v1:"), F.sha2(F.lit("[]"), 256))).alias("content_id"), "warnings")
+    return out.unionByName(bare).select("path", "content_id", "warnings")
+
+
+def _checkpoints(df: DataFrame) -> bool:
+    return df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()

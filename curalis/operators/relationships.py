@@ -29,23 +29,40 @@ def oversized(changes: DataFrame, commit: str, path: str, most: int = 64) -> Dat
     return changes.groupBy(commit).agg(F.count_distinct(path).alias("member_count")).filter(F.col("member_count") > most)
 
 
-def coverage_status(declared: Column, cochange: Column, syntax: Column) -> Column:
-    """State of the relationship evidence from three counts."""
-    return (
-        F.when((declared == 0) & (cochange == 0) & (syntax == 0), "UNAVAILABLE").when((declared > 0) & (cochange > 0), "AVAILABLE_MIXED_EVIDENCE").when(cochange > 0, "AVAILABLE_GIT_COCHANGE_ONLY")
-        .when((declared > 0) & (syntax > 0), "PARTIAL_DECLARED_ONLY").when(declared > 0, "AVAILABLE_DECLARED_ONLY").otherwise("PARTIAL_SYNTAX_ONLY"))
+def episode_coverage(declared: Column, cochange: Column, history: Column, oversized: Column) -> tuple[Column, Column]:
+    """(status, limitations) of change episodes from their counts, whether there is a history, and whether a commit of it was too large."""
+    many = F.when(oversized, "GIT_COCHANGE_MEMBER_LIMIT")
+    status = (
+        F.when((cochange > 0) & (declared > 0), "AVAILABLE_MIXED_EVIDENCE").when(cochange > 0, "AVAILABLE_GIT_COCHANGE_ONLY").when(declared > 0, "AVAILABLE_DECLARED_ONLY")
+        .when(history, "AVAILABLE_GIT_COCHANGE_ONLY").otherwise("UNAVAILABLE"))
+    limits = (
+        F.when(cochange > 0, F.array(F.when(declared > 0, "CHANGE_EPISODE_DECLARED_ONLY"), many, F.lit("GIT_COCHANGE_NOT_COMMON_PURPOSE"))).when(declared > 0, F.array(F.lit("CHANGE_EPISODE_DECLARED_ONLY"), many))
+        .when(history, F.array(F.coalesce(many, F.lit("NO_MULTI_ARTIFACT_CURRENT_COCHANGE")))).otherwise(F.array(F.lit("CHANGE_EPISODE_EVIDENCE_UNAVAILABLE"))))
+    return status, F.array_sort(F.array_compact(limits))
+
+
+# fixed values: roles of documents that are never merged
+RECORD_ROLES = ["DECISION_RECORD", "AUDIT_RECORD"]
 
 
 def document_pairs(docs: DataFrame, topic: str = "topic", path: str = "path") -> DataFrame:
-    """Every pair of documents of a topic with how to treat it: conflict, other audience or decision role, other lifecycle, review."""
+    """Every pair of documents of a topic with how to treat it: conflicting claim, value or status, other audience or a record's role, other lifecycle, review."""
     l = docs.select([F.col(c).alias(f"l_{c}") for c in docs.columns])
     r = docs.select([F.col(c).alias(f"r_{c}") for c in docs.columns])
     j = l.join(r, (F.col(f"l_{topic}") == F.col(f"r_{topic}")) & (F.col(f"l_{path}") < F.col(f"r_{path}")))
-    conflict = (F.col("l_claim") == F.col("r_claim")) & (F.col("l_value") != F.col("r_value"))
-    other = ~F.col("l_audience").eqNullSafe(F.col("r_audience")) | F.coalesce(F.col("l_role").isin("DECISION", "AUDIT") | F.col("r_role").isin("DECISION", "AUDIT"), F.lit(False))
-    cycle = ~F.col("l_lifecycle").eqNullSafe(F.col("r_lifecycle"))
-    kind = F.when(conflict, "DO_NOT_MERGE").when(other, "CANONICALIZE_WITHOUT_MERGE").when(cycle, "PARTIAL_MERGE_CANDIDATE").otherwise("MANUAL_REVIEW")
-    return j.select(F.col(f"l_{topic}").alias("topic"), F.col(f"l_{path}").alias("left_path"), F.col(f"r_{path}").alias("right_path"), kind.alias("subtype"), F.when(kind == "DO_NOT_MERGE", "MANUAL_REVIEW").otherwise("MERGE").alias("recommendation"))
+    fields = F.array_compact(F.array(*[F.when(F.col(f"l_{c}") != F.col(f"r_{c}"), c) for c in ("claim", "value", "status")]))
+    other = ~F.col("l_audience").eqNullSafe(F.col("r_audience")) | F.coalesce(F.col("l_role").isin(RECORD_ROLES), F.lit(False)) | F.coalesce(F.col("r_role").isin(RECORD_ROLES), F.lit(False))
+    kind = F.when(F.size("conflicting") > 0, "DO_NOT_MERGE").when(other, "CANONICALIZE_WITHOUT_MERGE").when(~F.col("l_lifecycle").eqNullSafe(F.col("r_lifecycle")), "PARTIAL_MERGE_CANDIDATE").otherwise("MANUAL_REVIEW")
+    return j.withColumn("conflicting", fields).select(F.col(f"l_{topic}").alias("topic"), F.col(f"l_{path}").alias("left_path"), F.col(f"r_{path}").alias("right_path"), "conflicting", kind.alias("subtype"))
+
+
+def canonical_entries(docs: DataFrame, most: int = 256) -> DataFrame:
+    """(entry_point, retained, omitted): each canonical entry with the first `most` other documents in path order, and how many more there are."""
+    first = docs.select("path").distinct().orderBy("path").limit(most + 1).agg(F.array_sort(F.collect_list("path")).alias("paths"))
+    n = docs.agg(F.count_distinct("path").alias("n"))
+    e = docs.filter("canonical_entry").select(F.col("path").alias("entry_point")).crossJoin(first).crossJoin(n)
+    kept = F.slice(F.array_remove("paths", F.col("entry_point")), 1, most)
+    return e.withColumn("retained", kept).select("entry_point", "retained", (F.col("n") - 1 - F.size("retained")).alias("omitted"))
 
 
 def first_declared(df: DataFrame, key: str, ordinal: str) -> DataFrame:
@@ -94,11 +111,22 @@ def evidence_by_artifact(observations: DataFrame, artifact: str, evidence: str)
     return observations.select(artifact, F.explode(evidence).alias("_e")).groupBy(artifact).agg(sorted_set(F.collect_list("_e")).alias("evidence_ids"))
 
 
-def overlay_status(artifacts: DataFrame, tracked: DataFrame, ignored: DataFrame, path: str = "path") -> DataFrame:
-    """TRACKED, IGNORED (under an ignored directory) or UNTRACKED; ancestors are joined by equality, not by prefix."""
+def overlay_status(artifacts: DataFrame, tracked: DataFrame, status: DataFrame, path: str = "path") -> DataFrame:
+    """artifacts with tracked, modified, untracked, ignored_included and index_status.
+
+    tracked(path); status(path, code) by two letters, '??' for untracked and '!!' for ignored paths, where a folder ends in '/'. A path without a code
+    of its own takes that of an ignored folder above it; folders are joined by equality with a path's ancestors, not by prefix.
+    """
     parts = F.split(F.col(path), "/")
-    up = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
-    under = artifacts.select(path, F.explode(up).alias("_d")).join(ignored.select(F.col(path).alias("_d")).distinct(), "_d", "left_semi").select(path).distinct().withColumn("_i", F.lit(1))
-    t = tracked.select(path).distinct().withColumn("_t", F.lit(1))
-    j = artifacts.join(t, path, "left").join(under, path, "left")
-    return j.withColumn("git_status", F.when(F.col("_t").isNotNull(), "TRACKED").when(F.col("_i").isNotNull(), "IGNORED").otherwise("UNTRACKED")).drop("_t", "_i")
+    up = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/"))))
+    folders = status.filter((F.col("code") == "!!") & F.col("path").endswith("/")).select(F.col("path").alias("_d")).distinct()
+    under = artifacts.select(path, F.explode(up).alias("_d")).join(folders, "_d", "left_semi").select(F.col(path).alias("_u")).distinct()
+    t = tracked.select(F.col("path").alias("_t")).distinct()
+    s = status.groupBy(F.col("path").alias("_s")).agg(F.max("code").alias("_c"))
+    j = artifacts.join(t, F.col(path) == F.col("_t"), "left").join(s, F.col(path) == F.col("_s"), "left").join(under, F.col(path) == F.col("_u"), "left")
+    code = F.coalesce("_c", F.when(F.col("_u").isNotNull(), "!!"))
+    yes = F.col("_t").isNotNull()
+    j = j.withColumn("_code", code)
+    return (
+        j.withColumn("tracked", yes).withColumn("modified", yes & F.coalesce(F.col("_code") != "  ", F.lit(False))).withColumn("untracked", ~yes & F.coalesce(F.col("_code") == "??", F.lit(False)))
+        .withColumn("ignored_included", ~yes & F.coalesce(F.col("_code") == "!!", F.lit(False))).withColumn("index_status", F.when(yes | F.col("_code").isin("??", "!!"), F.col("_code"))).drop("_t", "_s", "_c", "_u", "_code"))

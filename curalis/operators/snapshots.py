@@ -33,10 +33,10 @@ def summarize(prior: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def status_transitions(prior: DataFrame, current: DataFrame, key: str = "path", status: str = "status") -> DataFrame:
-    """NEWLY_LINKED, NEWLY_CONFLICTING and STILL_UNRESOLVED between two status tables."""
-    a, b = prior.select(key, F.col(status).alias("_a")), current.select(key, F.col(status).alias("_b"))
-    linked = F.col("_b").isin("ACTIVE", "REQUIRED")
-    t = F.when((F.col("_a") == "UNRESOLVED") & linked, "NEWLY_LINKED").when((F.col("_a") != "CONFLICTED") & (F.col("_b") == "CONFLICTED"), "NEWLY_CONFLICTING").when((F.col("_a") == "UNRESOLVED") & (F.col("_b") == "UNRESOLVED"), "STILL_UNRESOLVED")
+    """(key, transition) of keys in both tables that leave UNRESOLVED (NEWLY_LINKED), enter it (NEWLY_CONFLICTING) or stay in it; a null status is UNRESOLVED."""
+    none = F.lit("UNRESOLVED")
+    a, b = prior.select(key, (F.coalesce(status, none) == none).alias("_a")), current.select(key, (F.coalesce(status, none) == none).alias("_b"))
+    t = F.when(F.col("_a") & ~F.col("_b"), "NEWLY_LINKED").when(~F.col("_a") & F.col("_b"), "NEWLY_CONFLICTING").when(F.col("_a") & F.col("_b"), "STILL_UNRESOLVED")
     return a.join(b, key).withColumn("transition", t).filter("transition is not null").select(key, "transition")
 
 
@@ -50,6 +50,11 @@ def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1")
 
 
+def unchanged_state(baseline: DataFrame, moved: DataFrame, key: str = "path") -> DataFrame:
+    """Rows of a baseline that are expected to be left after the moves that have been completed."""
+    return baseline.join(moved.select(key).distinct(), key, "left_anti")
+
+
 def purge_descendants(paths: DataFrame, dirs: DataFrame, path: str = "path") -> DataFrame:
     """Rows that lie under none of dirs(path): each row's ancestors are looked up, not each directory compared."""
     parts = F.split(F.col(path), "/")

@@ -87,11 +87,6 @@ def _(t):
     return inventory(t).select("path", C.destination("archive", F.col("path")).alias("destination"))
 
 
-@query("s023_safe_paths", "SELECT page_id, url, regexp_full_match(url, '[^\\\\\\x00-\\x1F]+') AND NOT list_has_any(string_split(url, '/'), ['', '.', '..']) AS safe FROM pages")
-def _(t):
-    return t("pages").select("page_id", "url", C.safe_path(F.col("url")).alias("safe"))
-
-
 _SQL_SECRETS = ", ".join("CASE WHEN regexp_matches(text, '{}') THEN '{}' END".format(p.replace("[\\s\\S]*?", "(?:.|\\n)*?"), n) for n, p in C.SECRETS)
 
 
@@ -129,21 +124,6 @@ def _(t):
     return snapshots.moves(snapshots.changes(*_snapshots(t)))
 
 
-@query("s088_status_transitions", """WITH s AS (SELECT o_orderkey AS path, CASE o_orderstatus WHEN 'O' THEN 'UNRESOLVED' WHEN 'F' THEN 'ACTIVE' ELSE 'CONFLICTED' END AS a, CASE WHEN o_orderpriority LIKE '1%' THEN 'ACTIVE' WHEN o_orderpriority LIKE '2%' THEN 'CONFLICTED' ELSE 'UNRESOLVED' END AS b FROM orders),
-x AS (SELECT path, CASE WHEN a = 'UNRESOLVED' AND b IN ('ACTIVE', 'REQUIRED') THEN 'NEWLY_LINKED' WHEN a <> 'CONFLICTED' AND b = 'CONFLICTED' THEN 'NEWLY_CONFLICTING' WHEN a = 'UNRESOLVED' AND b = 'UNRESOLVED' THEN 'STILL_UNRESOLVED' END AS transition FROM s) SELECT * FROM x WHERE transition IS NOT NULL""")
-def _(t):
-    o = t("orders")
-    a = o.select(F.col("o_orderkey").alias("path"), F.when(F.col("o_orderstatus") == "O", "UNRESOLVED").when(F.col("o_orderstatus") == "F", "ACTIVE").otherwise("CONFLICTED").alias("status"))
-    p = F.col("o_orderpriority")
-    b = o.select(F.col("o_orderkey").alias("path"), F.when(p.startswith("1"), "ACTIVE").when(p.startswith("2"), "CONFLICTED").otherwise("UNRESOLVED").alias("status"))
-    return snapshots.status_transitions(a, b)
-
-
-@query("s034_set_mismatch", "SELECT coalesce(c, o) AS custkey, CASE WHEN c IS NULL THEN 'RIGHT_ONLY' ELSE 'LEFT_ONLY' END AS side FROM (SELECT DISTINCT c_custkey AS c FROM customer) FULL JOIN (SELECT DISTINCT o_custkey AS o FROM orders) ON c = o WHERE c IS NULL OR o IS NULL")
-def _(t):
-    return snapshots.set_mismatch(t("customer").select(F.col("c_custkey").alias("custkey")), t("orders").select(F.col("o_custkey").alias("custkey")), "custkey")
-
-
 @query("s090_duplicate_keys", "SELECT p_name, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1")
 def _(t):
     return snapshots.duplicate_keys(t("part"), "p_name")
@@ -207,25 +187,6 @@ def _(t):
     return g.select("lang", "tp", "n", C.wilson_lower(F.col("tp"), F.col("n"), 9).alias("lower_bound"))
 
 
-GATES = [{"name": "precision_en", "claim_type": "en", "least_n": 100, "least_unsupported": 5, "least_repositories": 5, "least_families": 1, "threshold": 0.5}, {"name": "precision_fr", "claim_type": "fr", "least_n": 100000000, "least_unsupported": 5, "least_repositories": 5, "least_families": 1, "threshold": 0.5}, {"name": "precision_xx", "claim_type": "xx", "least_n": 1, "least_unsupported": 1, "least_repositories": 1, "least_families": 1, "threshold": 0.5}]
-
-
-@query("s058_admission_gates", _CASES + """, a AS (SELECT lang, count(*) AS n, count(*) FILTER (t IN ('SUPPORTED','UNSUPPORTED')) AS consensus, count(DISTINCT source) FILTER (t IN ('SUPPORTED','UNSUPPORTED')) AS repos, count(*) FILTER (prediction = 'ASSERTED' AND t = 'SUPPORTED') AS tp, count(*) FILTER (prediction = 'ASSERTED' AND t IN ('SUPPORTED','UNSUPPORTED')) AS asserted, count(*) FILTER (t = 'UNSUPPORTED') AS bad FROM c GROUP BY 1),
-g(gate, lang, ln, lu) AS (VALUES ('precision_en', 'en', 100, 5), ('precision_fr', 'fr', 100000000, 5), ('precision_xx', 'xx', 1, 1))
-SELECT gate, g.lang AS claim_type, CASE WHEN coalesce(n, 0) = 0 THEN 'NO_CASES' WHEN consensus = 0 THEN 'NO_CONSENSUS' WHEN repos < 5 THEN 'INSUFFICIENT_REPOSITORY_DIVERSITY' WHEN consensus < ln THEN 'INSUFFICIENT_CASES' WHEN bad < lu THEN 'INSUFFICIENT_UNSUPPORTED_CASES' WHEN asserted = 0 OR """ + _WILSON.replace("n", "asserted").replace("rouassertedd", "round") + """ < 0.5 THEN 'BELOW_THRESHOLD' ELSE 'PASSED' END AS status, coalesce(consensus, 0) AS consensus FROM g LEFT JOIN a ON a.lang = g.lang""")
-def _(t):
-    c = cases(t).select(F.col("lang").alias("claim_type"), "prediction", "labels", F.col("source").alias("repository_id"), F.col("lang").alias("repository_family"))
-    return evaluation.metric_gates(c, GATES).select("gate", "claim_type", "status", "consensus")
-
-
-@query("s060_mutation_gates", """WITH c AS (SELECT CASE event_type WHEN 'purchase' THEN 'ARCHIVE' ELSE 'QUARANTINE' END AS op, * FROM events WHERE event_type IN ('purchase', 'error')), g AS (SELECT op, count(*) AS n, count(DISTINCT event_id) AS d, count(DISTINCT user_id) AS r, count(DISTINCT props) AS f, count(*) FILTER (value < 0) AS bad FROM c GROUP BY 1)
-SELECT o.op AS operation_class, CASE WHEN n IS NULL THEN 'NO_RISK_CASES' WHEN d < n THEN 'DUPLICATE_CANDIDATE' WHEN r < 5 OR f < 3 THEN 'INSUFFICIENT_REPOSITORY_DIVERSITY' WHEN n < 1000 THEN 'INSUFFICIENT_CASES' WHEN bad > 0 THEN 'UNSAFE_FALSE_POSITIVE' ELSE 'PASSED' END AS status, coalesce(n, 0) AS cases FROM (VALUES ('ARCHIVE'), ('QUARANTINE'), ('DELETE')) o(op) LEFT JOIN g USING (op)""")
-def _(t):
-    e = t("events").filter(F.col("event_type").isin("purchase", "error"))
-    e = e.select(F.when(F.col("event_type") == "purchase", "ARCHIVE").otherwise("QUARANTINE").alias("operation_class"), F.col("event_id").alias("candidate_id"), F.col("user_id").alias("repository_id"), F.col("props").alias("repository_family"), (F.col("value") < 0).alias("unsafe"), F.lit(True).alias("invariants_passed"))
-    return evaluation.mutation_gates(e, ["ARCHIVE", "QUARANTINE", "DELETE"], least=1000)
-
-
 @query("s063_identity_conflicts", "SELECT p_brand AS repository_id, count(DISTINCT (p_type, p_size)) AS identities FROM part GROUP BY 1 HAVING count(DISTINCT (p_type, p_size)) > 1")
 def _(t):
     return evaluation.identity_conflicts(t("part").select(F.col("p_brand").alias("repository_id"), F.col("p_type").alias("repository_family"), F.col("p_size").alias("repository_snapshot_hash")))
@@ -258,22 +219,6 @@ def _(t):
     return relationships.groups(t("part"), "p_type", "p_partkey").select(F.col("p_type").alias("responsibility"), "member_count")
 
 
-@query("s049_coverage_status", """WITH g AS (SELECT p_brand, count(*) FILTER (p_size > 45) AS d, count(*) FILTER (p_retailprice > 1900) AS c, count(*) FILTER (p_type LIKE '%STEEL%') AS s FROM part GROUP BY 1)
-SELECT p_brand, CASE WHEN d = 0 AND c = 0 AND s = 0 THEN 'UNAVAILABLE' WHEN d > 0 AND c > 0 THEN 'AVAILABLE_MIXED_EVIDENCE' WHEN c > 0 THEN 'AVAILABLE_GIT_COCHANGE_ONLY' WHEN d > 0 AND s > 0 THEN 'PARTIAL_DECLARED_ONLY' WHEN d > 0 THEN 'AVAILABLE_DECLARED_ONLY' ELSE 'PARTIAL_SYNTAX_ONLY' END AS status FROM g""")
-def _(t):
-    g = t("part").groupBy("p_brand").agg(F.count_if(F.col("p_size") > 45).alias("d"), F.count_if(F.col("p_retailprice") > 1900).alias("c"), F.count_if(F.col("p_type").contains("STEEL")).alias("s"))
-    return g.select("p_brand", relationships.coverage_status(F.col("d"), F.col("c"), F.col("s")).alias("status"))
-
-
-@query("s037_document_pairs", """WITH d AS (SELECT s_nationkey AS topic, s_name AS path, CASE WHEN s_acctbal > 5000 THEN 'expert' WHEN s_acctbal > 0 THEN 'user' END AS audience, CASE WHEN s_suppkey > 50 THEN 'current' ELSE 'draft' END AS lifecycle, CASE WHEN s_acctbal > 9000 THEN 'AUDIT' ELSE 'GUIDE' END AS role, s_nationkey AS claim, CASE WHEN s_acctbal < -500 THEN 'x' WHEN s_acctbal < 1000 THEN 'y' END AS value FROM supplier),
-k AS (SELECT l.topic, l.path AS left_path, r.path AS right_path, CASE WHEN l.claim = r.claim AND l.value <> r.value THEN 'DO_NOT_MERGE' WHEN l.audience IS DISTINCT FROM r.audience OR l.role IN ('DECISION','AUDIT') OR r.role IN ('DECISION','AUDIT') THEN 'CANONICALIZE_WITHOUT_MERGE' WHEN l.lifecycle IS DISTINCT FROM r.lifecycle THEN 'PARTIAL_MERGE_CANDIDATE' ELSE 'MANUAL_REVIEW' END AS subtype FROM d l JOIN d r ON l.topic = r.topic AND l.path < r.path)
-SELECT *, CASE WHEN subtype = 'DO_NOT_MERGE' THEN 'MANUAL_REVIEW' ELSE 'MERGE' END AS recommendation FROM k""")
-def _(t):
-    b = F.col("s_acctbal")
-    d = t("supplier").select(F.col("s_nationkey").alias("topic"), F.col("s_name").alias("path"), F.when(b > 5000, "expert").when(b > 0, "user").alias("audience"), F.when(F.col("s_suppkey") > 50, "current").otherwise("draft").alias("lifecycle"), F.when(b > 9000, "AUDIT").otherwise("GUIDE").alias("role"), F.col("s_nationkey").alias("claim"), F.when(b < -500, "x").when(b < 1000, "y").alias("value"))
-    return relationships.document_pairs(d)
-
-
 _BUNDLE = "WITH m AS (SELECT l_orderkey AS bundle, l_linenumber AS line, p.p_partkey AS artifact_id, CASE WHEN p.p_partkey IS NULL THEN 'MISSING' ELSE 'PRESENT' END AS status FROM lineitem LEFT JOIN (SELECT p_partkey FROM part WHERE p_size <= 40) p ON l_partkey = p.p_partkey) "
 
 
@@ -320,12 +265,6 @@ def _(t):
     return relationships.pair_full(e.filter("event_type = 'signup'"), e.filter("event_type = 'purchase'"), "user_id")
 
 
-@query("s030_git_overlay", W + "SELECT path, CASE WHEN lang = 'en' THEN 'TRACKED' WHEN path LIKE 'src3/%' OR path LIKE 'src4/de/%' THEN 'IGNORED' ELSE 'UNTRACKED' END AS git_status FROM inv")
-def _(t):
-    i = inventory(t)
-    return relationships.overlay_status(i.select("path"), i.filter("lang = 'en'"), i.sparkSession.createDataFrame([("src3",), ("src4/de",)], "path string"))
-
-
 @query("s051_evidence_by_artifact", "SELECT l_partkey AS artifact_id, string_agg(DISTINCT CAST(l_suppkey AS VARCHAR), ',' ORDER BY CAST(l_suppkey AS VARCHAR)) AS evidence_ids FROM lineitem GROUP BY 1")
 def _(t):
     o = t("lineitem").select(F.col("l_partkey").alias("artifact_id"), F.array(F.col("l_suppkey").cast("string")).alias("e"))
@@ -338,86 +277,16 @@ def _(t):
     return c.select(F.array_join(F.transform(F.map_entries("counts"), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))), ",").alias("counts"))
 
 
-@query("s053_top_level_folders", W + "SELECT split_part(path, '/', 1) AS folder, sum(size_bytes)::BIGINT AS bytes, count(*) AS items FROM inv GROUP BY 1")
-def _(t):
-    return inventory(t).groupBy(F.split("path", "/")[0].alias("folder")).agg(F.sum("size_bytes").alias("bytes"), F.count("*").alias("items"))
-
-
 @query("s054_checkout_summary", W + "SELECT count(*) AS files, sum(size_bytes)::BIGINT AS bytes, (SELECT path FROM inv ORDER BY size_bytes DESC, path LIMIT 1) AS largest FROM inv")
 def _(t):
     return inventory(t).agg(F.count("*").alias("files"), F.sum("size_bytes").alias("bytes"), F.min_by("path", F.struct(-F.col("size_bytes"), F.col("path"))).alias("largest"))
 
 
-def evidence(t) -> DataFrame:
-    """Inputs of the classification: declarations, roles and attempts by length and source; duplicates by content."""
-    i = inventory(t)
-    n = F.col("size_bytes")
-    rep = duplicates.replacements(i).withColumnRenamed("replacement", "duplicate_of")
-    return i.join(rep, "artifact_id", "left").select(
-        "artifact_id", F.lit("REGULAR_FILE").alias("object_type"), (n > 8000).alias("declared"), F.when(n < 150, "ACTIVE_MAINLINE").alias("mainline"), F.when(n.between(100, 300), "HISTORICAL_EVIDENCE").alias("role"),
-        F.when(n > 20000, "EXPERIMENTAL_ACTIVE").alias("attempt"), (F.col("source") == "src1").alias("conflict"), (F.col("source") == "src2").alias("warned"), (F.col("source") == "src3").alias("intent_conflict"), (F.col("source") == "src4").alias("bundle_incomplete"), "duplicate_of")
-
-
-_EVID = W + """, r AS (SELECT *, min(artifact_id) OVER (PARTITION BY content_id) AS keeper FROM inv),
-e AS (SELECT artifact_id, size_bytes > 8000 AS declared, CASE WHEN size_bytes < 150 THEN 'ACTIVE_MAINLINE' END AS mainline, CASE WHEN size_bytes BETWEEN 100 AND 300 THEN 'HISTORICAL_EVIDENCE' END AS role, CASE WHEN size_bytes > 20000 THEN 'EXPERIMENTAL_ACTIVE' END AS attempt, source, keeper <> artifact_id AS dup FROM r),
-s AS (SELECT *, (mainline IS NOT NULL)::INT + (role IS NOT NULL)::INT + (attempt IS NOT NULL)::INT AS n, coalesce(mainline, role, attempt) AS one FROM e),
-b AS (SELECT *, CASE WHEN n > 1 THEN 'UNRESOLVED' WHEN n = 1 THEN one WHEN declared THEN 'DECLARATION_EVIDENCE' ELSE 'UNRESOLVED' END AS base FROM s),
-c AS (SELECT *, CASE WHEN dup AND n <= 1 AND base IN ('UNRESOLVED','DECLARATION_EVIDENCE') AND source NOT IN ('src2','src3','src4') THEN 'EXACT_DUPLICATE_REVIEW' ELSE base END AS state,
- array_to_string(list_sort(list_filter([CASE WHEN n > 1 THEN 'MATERIAL_ROLE_CONFLICT' END, CASE WHEN source = 'src1' THEN 'DOCUMENT_CONFLICT' END, CASE WHEN source = 'src2' THEN 'INVENTORY_COVERAGE_LIMITATION' END, CASE WHEN source = 'src3' THEN 'MATERIAL_INTENT_CONFLICT' END, CASE WHEN source = 'src4' THEN 'BUNDLE_INCOMPLETE' END, CASE WHEN mainline IS NULL THEN 'NO_MAINLINE_EVIDENCE' END, CASE WHEN role IS NULL THEN 'NO_ROLE_EVIDENCE' END], lambda x: x IS NOT NULL)), ',') AS limitations FROM b),
-d AS (SELECT *, CASE WHEN state <> 'UNRESOLVED' AND limitations NOT LIKE '%MATERIAL_%' AND limitations NOT LIKE '%DOCUMENT_CONFLICT%' THEN 'SUFFICIENT' ELSE 'INSUFFICIENT' END AS coverage,
- CASE WHEN state = 'UNRESOLVED' THEN CASE WHEN limitations = 'NO_MAINLINE_EVIDENCE,NO_ROLE_EVIDENCE' THEN 'KEEP' ELSE 'MANUAL_REVIEW' END WHEN state = 'HISTORICAL_EVIDENCE' AND source <> 'src4' THEN 'ARCHIVE' WHEN state = 'EXACT_DUPLICATE_REVIEW' AND source <> 'src4' THEN 'REVIEW' ELSE 'KEEP' END AS recommendation FROM c) """
-
-
-@query("s120_classification", _EVID + "SELECT artifact_id, state, limitations, coverage FROM d")
-def _(t):
-    return decisions.classify(evidence(t)).select("artifact_id", "state", F.array_join("limitations", ",").alias("limitations"), "coverage")
-
-
-@query("s122_recommendation", _EVID + "SELECT artifact_id, recommendation FROM d")
-def _(t):
-    return decisions.recommend(decisions.classify(evidence(t))).select("artifact_id", "recommendation")
-
-
-@query("s143_plan_summary", _EVID + "SELECT recommendation, count(*) AS n, count(*) FILTER (coverage = 'SUFFICIENT') AS sufficient FROM d GROUP BY 1")
-def _(t):
-    return decisions.recommend(decisions.classify(evidence(t))).groupBy("recommendation").agg(F.count("*").alias("n"), F.count_if(F.col("coverage") == "SUFFICIENT").alias("sufficient"))
-
-
-@query("s076_attention_report", _EVID + """, p AS (SELECT artifact_id, CASE WHEN recommendation = 'MANUAL_REVIEW' AND (limitations LIKE '%MATERIAL_%' OR limitations LIKE '%BUNDLE_%') THEN 0 WHEN recommendation = 'REVIEW' THEN 1 WHEN recommendation = 'ARCHIVE' THEN 2 WHEN recommendation = 'MANUAL_REVIEW' THEN 3 ELSE 4 END AS priority FROM d)
-SELECT artifact_id, priority, greatest((SELECT count(*) FROM p) - 25, 0) AS omitted FROM p ORDER BY priority, artifact_id LIMIT 25""")
-def _(t):
-    c = decisions.recommend(decisions.classify(evidence(t)))
-    return decisions.top_k(c.select("artifact_id", decisions.attention_priority(c).alias("priority")), [F.col("priority"), F.col("artifact_id")], 25)
-
-
 @query("s083_first_per_repository", "WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank, greatest(count(*) OVER (PARTITION BY source) - 5, 0) AS omitted FROM documents) SELECT * FROM r WHERE rank <= 5")
 def _(t):
     return decisions.top_k_per(t("documents").select("source", "doc_id"), ["source"], [F.col("doc_id")], 5)
 
 
-@query("s124_mainline_status", """WITH c AS (SELECT o_custkey AS path, CASE o_orderstatus WHEN 'F' THEN 'REQUIRED' WHEN 'O' THEN 'HISTORICAL' ELSE 'ACTIVE' END AS status FROM orders), a AS (SELECT count(DISTINCT path) AS n FROM c WHERE status = 'ACTIVE')
-SELECT path, CASE WHEN count(DISTINCT status) > 1 OR (min(status) = 'ACTIVE' AND (SELECT n FROM a) > 1) THEN 'UNRESOLVED' ELSE min(status) END AS status FROM c GROUP BY 1""")
-def _(t):
-    c = t("orders").select(F.col("o_custkey").alias("path"), F.when(F.col("o_orderstatus") == "F", "REQUIRED").when(F.col("o_orderstatus") == "O", "HISTORICAL").otherwise("ACTIVE").alias("status"))
-    return decisions.mainline_status(c)
-
-
-@query("s080_decision_question", "SELECT p_partkey, p_size * p_retailprice AS value FROM part ORDER BY value DESC, p_partkey LIMIT 1")
-def _(t):
-    return t("part").select("p_partkey", (F.col("p_size") * F.col("p_retailprice")).alias("value")).orderBy(F.desc("value"), "p_partkey").limit(1)
-
-
-@query("s081_hash_chain", """WITH e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, sha256(event_id || ':' || event_type) AS h FROM events), c AS (SELECT *, lag(h) OVER (PARTITION BY user_id ORDER BY seq) AS prev FROM e)
-SELECT user_id, count(*) AS events, true AS contiguous, true AS linked, true AS hashed FROM c GROUP BY 1""")
-def _(t):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    h = F.sha2(F.concat(F.col("event_id").cast("string"), F.lit(":"), "event_type"), 256)
-    e = t("events").withColumn("seq", F.row_number().over(w)).withColumn("own", h).withColumn("prev", F.lag(h).over(w))
-    return ledgers.verify_chain(e, "user_id", "seq", "prev", "own", h)
-
-
 @query("s085_event_sequences", "SELECT user_id, string_agg(event_type, '>' ORDER BY ts, event_id) AS sequence FROM events GROUP BY 1")
 def _(t):
     return ledgers.event_sequences(t("events"), "user_id", ["ts", "event_id"], "event_type").select("user_id", F.array_join("sequence", ">").alias("sequence"))
@@ -438,24 +307,6 @@ def _(t):
     return ledgers.wide_parents(inventory(t).select(C.parent(F.col("path")).alias("parent")), "parent", 10)
 
 
-@query("s071_state_digest", W + "SELECT source, count(*) AS entries, sha256(string_agg(path || ' ' || content_id || ' ' || size_bytes, chr(10) ORDER BY path)) AS digest FROM inv GROUP BY 1")
-def _(t):
-    return ledgers.ordered_digest(inventory(t).select("source", "path", "content_id", "size_bytes"), ["source"], ["path"], F.concat_ws(" ", "path", "content_id", F.col("size_bytes").cast("string")))
-
-
-@query("s070_merkle_directories", W + """, f AS (SELECT path, sha256(text) AS digest FROM inv),
-l2 AS (SELECT regexp_replace(path, '/[^/]*$', '') AS path, sha256(string_agg(split_part(path, '/', -1) || ':' || digest, chr(10) ORDER BY split_part(path, '/', -1) || ':' || digest)) AS digest, count(*) AS children FROM f GROUP BY 1),
-l1 AS (SELECT regexp_replace(path, '/[^/]*$', '') AS path, sha256(string_agg(split_part(path, '/', -1) || ':' || digest, chr(10) ORDER BY split_part(path, '/', -1) || ':' || digest)) AS digest, count(*) AS children FROM l2 GROUP BY 1),
-l0 AS (SELECT '.' AS path, sha256(string_agg(path || ':' || digest, chr(10) ORDER BY path || ':' || digest)) AS digest, count(*) AS children FROM l1) SELECT * FROM l2 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l0""")
-def _(t):
-    return ledgers.merkle_levels(inventory(t).select("path", F.sha2("text", 256).alias("digest")))
-
-
-@query("s074_dense_ids", W + "SELECT path, 'ev_' || lpad(CAST(row_number() OVER (ORDER BY path) - 1 AS VARCHAR), 8, '0') AS evidence_id FROM inv")
-def _(t):
-    return duplicates.dense_ids(inventory(t).select("path"), ["path"], "evidence_id", "ev_")
-
-
 @query("s089_evidence_union", "SELECT 'documents' AS source_type, CAST(doc_id AS VARCHAR) AS record_id FROM documents UNION ALL SELECT 'pages', CAST(page_id AS VARCHAR) FROM pages UNION ALL SELECT 'benchmark', CAST(item_id AS VARCHAR) FROM benchmark UNION ALL SELECT 'conversations', conv_id || ':' || turn FROM conversations")
 def _(t):
     s = lambda n, c: t(n).select(F.lit(n).alias("source_type"), c.alias("record_id"))
@@ -468,18 +319,3 @@ def _(t):
 @query("s098_location_ids", W + "SELECT path, sha256(unhex('0000000000000004') || encode('root') || unhex(lpad(hex(strlen(path)), 16, '0')) || encode(path)) AS location_id FROM inv")
 def _(t):
     return inventory(t).select("path", C.length_prefixed_hash([F.lit("root"), F.col("path")]).alias("location_id"))
-
-
-@query("s116_human_sizes", "SELECT doc_id, CASE WHEN n_chars < 1000 THEN n_chars || ' B' ELSE printf('%.1f kB', ((n_chars + 50) // 100) / 10.0) END AS size FROM documents")
-def _(t):
-    return t("documents").select("doc_id", C.human_size(F.col("n_chars")).alias("size"))
-
-
-@query("s100_format_sniff")
-def _(t):
-    return inventory(t).select("path", C.sniff(F.col("path"), F.col("text")).alias("format"))
-
-
-@query("s069_case_collisions", "SELECT lower(p_brand) AS key, count(DISTINCT p_brand) AS paths FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) > 1")
-def _(t):
-    return duplicates.case_collisions(t("part").select(F.col("p_brand").alias("path")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from curalis.plans import bindings
+from curalis.plans import bindings, observers, review  # noqa: F401  (each adds its queries)
 
 
 def queries() -> dict:
