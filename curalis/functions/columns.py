@@ -51,7 +51,7 @@ def _foldings() -> tuple[list[str], list[str], dict[str, str]]:
     for k in range(0x80, 0x110000):
         c = chr(k)
         f = c.casefold()
-        if f != c.lower():
+        if f != c.lower() or c == "\u03a3":  # capital sigma: a lower case by context in the JVM
             (one if len(f) == 1 else many)[c] = f
     return list(one), list(one.values()), many
 
@@ -59,10 +59,15 @@ def _foldings() -> tuple[list[str], list[str], dict[str, str]]:
 def casefold(c: Column) -> Column:
     """Full case folding: letters without a simple lower case are replaced first, others lower-cased one by one."""
     single, to, many = _foldings()
-    for x, y in many.items():
-        if x in "ßŉǰΐΰևẞﬀﬁﬂﬃﬄﬅﬆİ":  # fixed values: the letters with foldings of several letters that texts hold in practice; the rest are single historic Greek forms
-            c = F.replace(c, F.lit(x), F.lit(y))
-    return F.lower(F.translate(c, "".join(single), "".join(to)))
+    some = {x: y for x, y in many.items() if x in "ßŉǰΐΰևẞﬀﬁﬂﬃﬄﬅﬆİ"}  # fixed values: foldings to several letters that texts hold in practice; the rest are historic Greek forms
+    full = c
+    for x, y in some.items():
+        full = F.replace(full, F.lit(x), F.lit(y))
+    full = F.lower(F.translate(full, "".join(single), "".join(to)))
+    plain = F.replace(c, F.lit("ß"), F.lit("ss"))  # common in texts, so apart from the others
+    # of texts outside ASCII those that may hold any other letter whose folding is not its lower case, by ranges that cover them all
+    odd = c.rlike("[\u00B5\u0130\u0149\u017F\u01F0\u0345\u0390\u03A3\u03B0\u03C2\u03D0-\u03F5\u0587\u13A0-\u13FD\u1C80-\u1C88\u1E9B\u1E9E\u1F80-\u1FFF\uAB70-\uABBF\uFB00-\uFB06]")
+    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).when(odd, full).otherwise(F.lower(plain))
 
 
 def collision_key(c: Column) -> Column:
@@ -168,11 +173,16 @@ def redact(c: Column) -> Column:
 
 
 def human_size(n: Column) -> Column:
-    """Bytes in thousands with one decimal."""
-    out = F.when(n < 1000, F.concat(n.cast("string"), F.lit(" B")))
+    """Bytes in thousands with one decimal, rounded as the binary value of the quotient lies, not as its shortest decimal does."""
+    out, x = F.when(n < 1000, F.concat(n.cast("string"), F.lit(" B"))), n.cast("double")
     for i, u in enumerate(["KB", "MB", "GB", "TB"], 1):
-        x = F.format_string(f"%.1f {u}", n / F.lit(float(1000**i)))
-        out = out.when(n < 1000 ** (i + 1), x) if u != "TB" else out.otherwise(x)
+        x = x / F.lit(1000.0)
+        t = F.floor(n / F.lit(float(1000**i // 10))).cast("long")
+        high = x.cast("float").cast("double")  # both parts times 20 are exact, so the sign of their distance from the middle is
+        far = (high * 20 - (2 * t + 1)) + (x - high) * 20
+        t = t + F.when((far > 0) | ((far == 0) & (t % 2 == 1)), 1).otherwise(0)
+        text = F.concat(F.floor(t / 10).cast("string"), F.lit("."), (t % 10).cast("string"), F.lit(" " + u))
+        out = out.when(x < 1000, text) if u != "TB" else out.otherwise(text)
     return out
 
 

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from curalis.functions.columns import size_bucket, suffix, tokens
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df computed once: a checkpoint in the shared folder where the session names one, else kept by the executors."""
+    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.persist()
+
+
 def exact_groups(artifacts: DataFrame, content: str = "content_id", member: str = "artifact_id") -> DataFrame:
     """Content that at least two artifacts share: members in order, the first is the keeper."""
     g = artifacts.filter(F.col(content).isNotNull()).groupBy(content).agg(F.sort_array(F.collect_list(member)).alias("members"))
@@ -25,16 +30,19 @@ def near_classes(artifacts: DataFrame, tenths: int = 7) -> tuple[DataFrame, Data
     Jaccard similarity of tenths/10 or more, and members(artifact_id, suffix, bucket, content_id).
 
     artifacts(artifact_id, path, size_bytes, content_id, text). Exact up to collisions of 64-bit token hashes. Equal contents are one class. Tokens are
-    ordered by hash, which is the same order for all: only the first n - ceil(n*tenths/10) + 1 of them can hold a pair's first common one, whose places in
+    ordered by rarity: only the first n - ceil(n*tenths/10) + 1 of them can hold a pair's first common one, whose places in
     the two lists bound how many can be common at all; a pair's sizes must lie within the threshold. Tests are in integers.
     """
     blocks = artifacts.select("artifact_id", suffix(F.col("path")).alias("suffix"), size_bucket(F.col("size_bytes")).alias("bucket"), "content_id", "text")
     members = blocks.select("artifact_id", "suffix", "bucket", "content_id")
     hashes = F.array_sort(F.array_distinct(F.transform(tokens(F.col("text")), lambda x: F.xxhash64(x))))
     one = blocks.groupBy("suffix", "bucket", "content_id").agg(F.min("artifact_id").alias("artifact_id"))
-    d = blocks.join(one, ["suffix", "bucket", "content_id", "artifact_id"], "left_semi").select(F.xxhash64("suffix", "bucket", "content_id").alias("id"), "suffix", "bucket", "content_id", hashes.alias("toks")).withColumn("n", F.size("toks")).filter("n >= 3")
+    d = blocks.join(one, ["suffix", "bucket", "content_id", "artifact_id"], "left_semi").select(F.xxhash64("suffix", "bucket", "content_id").alias("id"), "suffix", "bucket", "content_id", hashes.alias("toks"))
+    d = kept(d).withColumn("n", F.size("toks")).filter("n >= 3")  # texts are read and split once for the four uses below
     keep = F.col("n") - F.floor((tenths * F.col("n") + 9) / 10) + 1
-    pre = d.select("id", "suffix", "bucket", "n", F.posexplode(F.slice("toks", 1, keep.cast("int"))).alias("at", "tok"))
+    each = d.select("id", "suffix", "bucket", "n", F.explode("toks").alias("tok"))
+    rare = each.join(each.groupBy("tok").agg(F.count("*").alias("df")), "tok").groupBy("id", "suffix", "bucket", "n").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("r"))
+    pre = kept(rare.select("id", "suffix", "bucket", "n", F.posexplode(F.slice("r", 1, keep.cast("int"))).alias("at", "t")).select("id", "suffix", "bucket", "n", "at", "t.tok"))
     a, b = pre.alias("a"), pre.alias("b")
     # common tokens of a pair that shares its first one here: at most one more than the fewer that are left in either list
     most = 1 + F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) - 1
@@ -67,7 +75,7 @@ def dense_ids(df: DataFrame, keys: list[str], name: str = "id", prefix: str = ""
     their partitions, and the number of rows in the partitions before is added. Ties are in the order of the sorted partitions."""
     at = f"_at_{name}"
     p = df.orderBy(*keys).withColumn(at, F.monotonically_increasing_id())
-    p = p.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else p.persist()
+    p = kept(p)
     part = F.shiftright(at, 33)
     counts = p.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))
     base = counts.select(F.col("_p").alias("_p"), F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))  # one row a partition

@@ -9,12 +9,10 @@ from curalis.functions import columns as C
 from curalis.operators import decisions, duplicates, evaluation, ledgers, relationships, snapshots
 from curalis.plans.bindings import W, inventory, query
 
-ID = F.col("doc_id").cast("string")
-
 
 def _sides(t) -> dict[str, DataFrame]:
     """The tables that meet in the classification, made from documents, labels and benchmark by rules on their keys."""
-    inv = inventory(t).join(t("labels"), "doc_id", "left")
+    inv, ID = inventory(t).join(t("labels"), "doc_id", "left"), F.col("doc_id").cast("string")
     k, none = F.col("doc_id"), F.array().cast("array<string>")
     one = lambda p, c: F.array(F.concat(F.lit(p), ID)) if c is None else F.when(c, F.array(F.concat(F.lit(p), ID))).otherwise(none)
     good, toxic, bad = F.col("quality") == 1, F.col("toxic") == 1, F.col("quality") == 0
