@@ -35,7 +35,7 @@ LEAST_WORDS = 1
 FUZZY_WORDS = 4
 KEYS = 8
 WIDTHS = {2: (4, 5), 3: (5, 19), 4: (16, 1 << 62)}  # words of a block: lines of so many words, with a partner on either side of a limit
-LARGE, LEADERS = 16, 4
+LARGE, LEADERS, PART = 16, 4, 1024
 
 
 def _hashes(words: pa.Array) -> np.ndarray:
@@ -184,7 +184,7 @@ def _links(b: DataFrame, confirm) -> DataFrame:
     """Confirmed links (a, b) whose components are those of all confirmed pairs inside any bucket.
 
     In buckets of more than LARGE lines all meet LEADERS of them first; then each pair of different components that may be a link is tested,
-    a large bucket's lines dealt to as many tasks as it has LARGE lines.
+    a large bucket's lines dealt in parts of about PART lines, each of which meets all.
     """
     large = b.filter(F.col("n") > LARGE)
     lead = large.groupBy("bid").agg(*[F.min(F.struct(F.xxhash64("id", F.lit(i)).alias("x"), "id", "m", "s0", "s1")).alias(f"l{i}") for i in range(LEADERS)])
@@ -195,7 +195,7 @@ def _links(b: DataFrame, confirm) -> DataFrame:
     maybe, stay = split_by(b, F.col("id"), bitmap(c, "id"))
     y = maybe.join(c, "id", "left").withColumn("c", F.coalesce("component", "id"))
     y = y.select("bid", "id", "m", "s0", "s1", "n", "c").union(stay.select("bid", "id", "m", "s0", "s1", "n", F.col("id").alias("c")))
-    parts = F.ceil(F.col("n") / LARGE).cast("int")
+    parts = F.ceil(F.col("n") / PART).cast("int")
     x = y.select(F.explode(F.sequence(F.lit(0), parts - 1)).alias("x_part"), *[F.col(c).alias(f"x_{c}") for c in y.columns])
     y = y.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
     pairs = y.join(x, (F.col("bid") == F.col("x_bid")) & (F.col("part") == F.col("x_part")) & (F.col("x_id") < F.col("id")) & (F.col("x_c") != F.col("c")) & _close("", "x_"))
