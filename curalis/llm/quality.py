@@ -201,8 +201,13 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = 4000) -> Model:
     x, y = _rows(known), known["y"].to_numpy()
     order = np.lexsort(x.T[::-1]) if len(x) else np.arange(0)  # the same fit for any order of rows
     x, y = x[order], y[order]
-    free = d.select("doc_id", "text").join(labels.select("doc_id").distinct(), "doc_id", "left_anti").select(F.lit(-1).alias("y"), "text")
-    free = materialize(free.mapInPandas(run, "y int, x array<float>").select("x"), "features")
+    def features(batches):
+        for b in batches:
+            yield pd.DataFrame({"doc_id": b["doc_id"], "x": list(feature_matrix(b["text"]).astype(np.float32))})
+
+    # features first: what the anti join may shuffle is a few numbers a document, never its text
+    free = d.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(features, "doc_id long, x array<float>")
+    free = materialize(free.join(labels.select("doc_id").distinct(), "doc_id", "left_anti").select("x"), "features")
     pos = x[y == 1]
     sums = _summed(free, lambda m: np.concatenate([[len(m)], m.sum(axis=0), (m * m).sum(axis=0)])) if len(pos) else np.empty(0)
     if not len(pos) or not len(sums):
