@@ -126,7 +126,34 @@ def materialize(df: DataFrame, label: str, alone: bool = False) -> DataFrame:
     _written.append((spark, path))
     if alone:
         drop_tables(path)
-    return spark.read.schema(df.schema).parquet(path)
+    got = spark.read.schema(df.schema).parquet(path)
+    got._curalis_path = path
+    return got
+
+
+def release(df: DataFrame | None) -> None:
+    """Delete a table that materialize() gave and that nothing reads any more."""
+    path = getattr(df, "_curalis_path", None)
+    if path:
+        _written[:] = [x for x in _written if x[1] != path]
+        _remove(df.sparkSession, path)
+
+
+HEAVY = 1000  # a key of more than one row in so many is broadcast: there are fewer than so many of them
+
+
+def join_by_size(df: DataFrame, key: str, right: DataFrame, rows: str) -> DataFrame:
+    """df left join right by key, where right has one row a key and in `rows` how many rows of df have it.
+
+    Keys of more than a thousandth of all rows are fewer than a thousand whatever the data, and are broadcast; the others meet in a shuffle in which no key
+    is large. Rows with a null key meet nothing and are not shuffled.
+    """
+    total = right.agg(F.sum(rows)).first()[0] or 0
+    heavy, light = right.filter(F.col(rows) * HEAVY > total), right.filter(F.col(rows) * HEAVY <= total)
+    new = [c for c in right.columns if c != key]
+    a = df.join(F.broadcast(heavy.withColumn("_heavy", F.lit(True))), key, "left")
+    b = a.filter(F.col("_heavy").isNull() & F.col(key).isNotNull()).drop("_heavy", *new).join(light, key, "left")
+    return a.filter(F.col("_heavy").isNotNull() | F.col(key).isNull()).drop("_heavy").unionByName(b)
 
 
 @dataclass

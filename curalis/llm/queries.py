@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, line_dedup, media, minhash_dedup, packing, quality, sentence_dedup, token_counts, tool_calls
+from . import decontaminate, host_rules, language_id, line_dedup, media, minhash_dedup, packing, quality, sentence_dedup, threshold_search, token_counts, tool_calls, vector_codes
 from ._common import ship, table
 
 
@@ -66,6 +66,67 @@ def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_dedup.drop_repeated_sentences(table(spark, sf_dir, "documents"))
 
 
+def op11_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_rules.judge(table(spark, sf_dir, "documents"))
+
+
+def op12_threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return threshold_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def _host_sql() -> str:
+    rules = host_rules.RULES
+    low, high = host_rules.STRENGTHS
+    sums = ", ".join(f"count_if({e}) AS k_{r}" for r, e in rules.items())
+    total = ", ".join(f"sum(k_{r}) AS s_{r}, sum(CAST(k_{r} AS DOUBLE) * k_{r} / n) AS q_{r}" for r in rules)
+    prior = []
+    for r in rules:
+        p = f"(s_{r} / n)"
+        within = f"((q_{r} - n * {p} * {p} - {p} * (1 - {p}) * (h - 1)) / ({p} * (1 - {p}) * (n - nn / n - (h - 1))))"
+        weight = f"(CASE WHEN n - nn / n > h - 1 AND {within} > 0 THEN least(greatest((1 - {within}) / {within}, {low}), {high}) ELSE {high} END)"
+        known = f"h >= 2 AND s_{r} > 0 AND s_{r} < n"
+        prior += [f"CASE WHEN {known} THEN {p} * {weight} ELSE 0.5 END AS a_{r}", f"CASE WHEN {known} THEN (1 - {p}) * {weight} ELSE 0.5 END AS b_{r}"]
+    bad = ", ".join(f"CASE WHEN (k_{r} + a_{r}) / (n + a_{r} + b_{r}) > {host_rules.MOST} THEN '{r}' END" for r in rules)
+    failed = " OR ".join(f"({rules[r]})" for r in host_rules.BASE)
+    return rf"""WITH t AS (SELECT doc_id, source, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents),
+l AS (SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT line) AS d FROM (SELECT doc_id, unnest(string_split(x, chr(10))) AS line FROM t) WHERE regexp_matches(line, '[^ 	-]') GROUP BY 1),
+g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM t)),
+r AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, s) >= 2),
+c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, range(3) AS q(k) GROUP BY 1),
+m AS (SELECT t.doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(x, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, coalesce(l.n, 0) AS n_lines, coalesce(l.d, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words FROM t LEFT JOIN l USING (doc_id) LEFT JOIN c USING (doc_id)),
+h AS (SELECT source, count(*) AS n, {sums} FROM m WHERE source IS NOT NULL GROUP BY 1),
+z AS (SELECT count(*) AS h, CAST(sum(n) AS DOUBLE) AS n, sum(CAST(n AS DOUBLE) * n) AS nn, {total} FROM h),
+p AS (SELECT {", ".join(prior)} FROM z),
+v AS (SELECT source, concat_ws(',', {bad}) AS host_failures FROM h, p),
+j AS (SELECT m.*, {failed} AS base_failed, host_failures FROM m LEFT JOIN v USING (source))
+SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed, host_failures, NOT base_failed AND coalesce(host_failures, '') = '' AS kept FROM j"""
+
+
+def _codes_sql() -> str:
+    """Lloyd rounds written out one after the other, each assignment over all parts anew."""
+    v = vector_codes
+    steps = [
+        f"e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({v.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"p AS (SELECT vec_id, part, v[part * len(v) // {v.PARTS} + 1 : (part + 1) * len(v) // {v.PARTS}] AS v FROM e, range({v.PARTS}) AS r(part))",
+        f"b0 AS (SELECT part, CAST(row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS INTEGER) AS entry, v FROM p QUALIFY entry < {v.ENTRIES})",
+    ]
+    for r in range(v.ROUNDS + 1):
+        d = "CAST(list_sum(list_transform(range(1, len(p.v) + 1), lambda i: (p.v[i] - b.v[i]) * (p.v[i] - b.v[i]))) AS BIGINT)"
+        steps.append(f"a{r} AS MATERIALIZED (SELECT vec_id, part, min(struct_pack(d := d, entry := entry)) AS x FROM (SELECT vec_id, part, entry, {d} AS d FROM p JOIN b{r} b USING (part)) GROUP BY 1, 2)")
+        if r < v.ROUNDS:
+            steps.append(f"m{r} AS (SELECT part, x.entry AS entry, i, count(*) AS n, CAST(sum(v[i]) AS BIGINT) AS s FROM (SELECT part, x, v, unnest(range(1, len(v) + 1)) AS i FROM a{r} JOIN p USING (vec_id, part)) GROUP BY 1, 2, 3)")
+            steps.append(f"b{r + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(k.v, b.v) AS v FROM b{r} b LEFT JOIN (SELECT part, entry, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM m{r} GROUP BY 1, 2) k ON k.part = b.part AND k.entry = b.entry)")
+    steps.append(f"c AS (SELECT vec_id, string_agg(printf('%02x', x.entry), '' ORDER BY part) AS code, CAST(sum(x.d) AS BIGINT) AS error FROM a{v.ROUNDS} GROUP BY 1)")
+    steps.append(f"h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS h FROM b{v.ROUNDS})")
+    return "WITH " + ",
+".join(steps) + "
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h.h AS codebooks_sha256 FROM c JOIN e USING (vec_id), h"
+
+
 def queries() -> dict:
     found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
@@ -103,6 +164,18 @@ k AS (SELECT DISTINCT w FROM gi),
 gd AS (SELECT DISTINCT doc_id, w, unnest(list_transform(range(1, len(t) - w + 2), lambda i: array_to_string(t[i : i + w - 1], ' '))) AS g FROM wd, k WHERE len(t) >= w),
 n AS (SELECT item_id, count(*) AS n FROM gi GROUP BY 1)
 SELECT doc_id, item_id, count(*) AS shared, any_value(n.n) AS n_shingles, count(*) / any_value(n.n) AS containment FROM gi JOIN gd USING (w, g) JOIN n USING (item_id) GROUP BY 1, 2 HAVING 100 * count(*) >= 80 * any_value(n.n)""",
+    "op11_host_rules": _host_sql(),
+    "op12_threshold_search": r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS g FROM documents),
+p AS (SELECT doc_id, g, count(*) AS tf FROM t GROUP BY 1, 2),
+n AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM p GROUP BY 1),
+z AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS l FROM n),
+df AS (SELECT g, count(*) AS df FROM p GROUP BY 1),
+i AS (SELECT item_id, g, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS g FROM benchmark) GROUP BY 1, 2),
+s AS (SELECT item_id, doc_id, CAST(sum(times * CAST(floor(1000 * ln((2 * nn + 2) / (2 * df + 1))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nn) // l)))) AS BIGINT) AS score
+  FROM i JOIN p USING (g) JOIN df USING (g) JOIN n USING (doc_id), z GROUP BY 1, 2),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 10""",
+    "op13_vector_codes": _codes_sql(),
 }
 
 
