@@ -92,8 +92,10 @@ def _host_sql() -> str:
         prior += [f"CASE WHEN {known} THEN {p} * {weight} ELSE 0.5 END AS a_{r}", f"CASE WHEN {known} THEN (1 - {p}) * {weight} ELSE 0.5 END AS b_{r}"]
     bad = ", ".join(f"CASE WHEN (k_{r} + a_{r}) / (n + a_{r} + b_{r}) > {host_rules.MOST} THEN '{r}' END" for r in rules)
     failed = " OR ".join(f"({rules[r]})" for r in host_rules.BASE)
-    return rf"""WITH t AS (SELECT doc_id, source, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents),
-l AS (SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT line) AS d FROM (SELECT doc_id, unnest(string_split(x, chr(10))) AS line FROM t) WHERE regexp_matches(line, '[^ 	-]') GROUP BY 1),
+    return rf"""WITH t AS (SELECT doc_id, source, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w FROM documents),
+l AS (SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT line) AS d FROM (SELECT doc_id, unnest(string_split(x, chr(10))) AS line FROM t) WHERE regexp_matches(line, '[^ 	-
+]') GROUP BY 1),
 g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM t)),
 r AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, s) >= 2),
 c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, range(3) AS q(k) GROUP BY 1),
@@ -122,9 +124,7 @@ def _codes_sql() -> str:
             steps.append(f"b{r + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(k.v, b.v) AS v FROM b{r} b LEFT JOIN (SELECT part, entry, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM m{r} GROUP BY 1, 2) k ON k.part = b.part AND k.entry = b.entry)")
     steps.append(f"c AS (SELECT vec_id, string_agg(printf('%02x', x.entry), '' ORDER BY part) AS code, CAST(sum(x.d) AS BIGINT) AS error FROM a{v.ROUNDS} GROUP BY 1)")
     steps.append(f"h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS h FROM b{v.ROUNDS})")
-    return "WITH " + ",
-".join(steps) + "
-SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h.h AS codebooks_sha256 FROM c JOIN e USING (vec_id), h"
+    return "WITH " + ",\n".join(steps) + "\nSELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h.h AS codebooks_sha256 FROM c JOIN e USING (vec_id), h"
 
 
 def queries() -> dict:
