@@ -94,9 +94,13 @@ def jaccard(a: Column, b: Column) -> Column:
 def json_string(c: Column) -> Column:
     """A JSON string with all but ASCII escaped, or null; letters outside ASCII become \\uXXXX, in pairs of surrogates where needed."""
     plain = F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+    small = plain
+    for k in (0x0B, 0x0E, 0x0F, *range(0x1A, 0x20)):  # Spark writes their hexadecimal digits large
+        small = F.regexp_replace(small, rf"(?<!\\)((?:\\\\)*)\\u{k:04X}", rf"$1\\u{k:04x}")
+    plain = F.when(c.rlike(r"[\x0B\x0E\x0F\x1A-\x1F]"), small).otherwise(plain)
     units = F.hex(F.encode(plain, "UTF-16BE"))
-    escaped = F.array_join(F.transform(F.regexp_extract_all(units, F.lit("(....)"), F.lit(1)), lambda u: F.when((u < "0080") & (u != "007F") | (u == "007F"), F.chr(F.conv(u, 16, 10).cast("long"))).otherwise(F.concat(F.lit("\\u"), F.lower(u)))), "")
-    return F.coalesce(F.when(plain.rlike(r"^[\x00-\x7F]*$"), plain).otherwise(escaped), F.lit("null"))
+    escaped = F.array_join(F.transform(F.regexp_extract_all(units, F.lit("(....)"), F.lit(1)), lambda u: F.when(u < "007F", F.chr(F.conv(u, 16, 10).cast("long"))).otherwise(F.concat(F.lit("\\u"), F.lower(u)))), "")
+    return F.coalesce(F.when(plain.rlike(r"^[\x00-\x7E]*$"), plain).otherwise(escaped), F.lit("null"))
 
 
 def json_object(fields: Sequence[tuple[str, Column]]) -> Column:

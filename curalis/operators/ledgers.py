@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,20 +33,6 @@ def prefix_budget(df: DataFrame, part: list[str], order: list[str], size: str, m
     return d.withColumn("_stop", F.max("_over").over(run)).filter("not _stop").drop("_over", "_stop")
 
 
-def greedy_budget(df: DataFrame, part: str, order: str, size: str, most_bytes: int) -> DataFrame:
-    """Rows taken in order as long as they fit what is left; a later smaller row may still fit. Row by row, so a fold in each part."""
-    schema = df.schema
-
-    def fold(f: pd.DataFrame) -> pd.DataFrame:
-        f, left, keep = f.sort_values(order), most_bytes, []
-        for n in f[size]:
-            keep.append(n <= left)
-            left -= n if keep[-1] else 0
-        return f[keep]
-
-    return df.groupBy(part).applyInPandas(fold, schema)
-
-
 def wide_parents(df: DataFrame, parent: str, most: int) -> DataFrame:
     """Parents with more children than allowed: nothing of them is scanned."""
     return df.groupBy(parent).agg(F.count("*").alias("children")).withColumn("listed", F.col("children") <= most)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curalis.functions import columns as C
-from curalis.operators import decisions, duplicates, evaluation, ledgers, relationships, snapshots
+from curalis.operators import budgets, decisions, duplicates, evaluation, ledgers, relationships, snapshots
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -297,9 +297,42 @@ def _(t):
     return ledgers.prefix_budget(t("documents").select("doc_id", "source", "n_chars"), ["source"], ["doc_id"], "n_chars", 256, 100_000).select("doc_id", "source")
 
 
-@query("s036_greedy_budget")
+_BUDGET = """WITH RECURSIVE r AS (SELECT doc_id, source, n_chars AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents WHERE n_chars <= {most}),
+f(source, doc_id, k, n, rest, fits) AS (SELECT source, doc_id, k, n, CASE WHEN n <= {total} THEN {total} - n ELSE {total} END, n <= {total} FROM r WHERE k = 1
+  UNION ALL SELECT r.source, r.doc_id, r.k, r.n, CASE WHEN r.n <= f.rest THEN f.rest - r.n ELSE f.rest END, r.n <= f.rest FROM f JOIN r ON r.source = f.source AND r.k = f.k + 1) """
+
+
+@query("s036_greedy_budget", _BUDGET.format(most=1 << 40, total=20_000) + "SELECT doc_id, source, n AS n_chars FROM f WHERE fits")
+def _(t):
+    return budgets.greedy_budget(t("documents").select("doc_id", "source", "n_chars"), "source", "doc_id", "n_chars", 20_000)
+
+
+@query("s003_content_budgets", _BUDGET.format(most=3000, total=25_000) + """SELECT d.doc_id, CASE WHEN d.n_chars > 3000 THEN 'CONTENT_HASH_SKIPPED_SIZE_LIMIT' WHEN NOT coalesce(f.fits, false) THEN 'CONTENT_HASH_SKIPPED_TOTAL_BYTES_LIMIT' END AS limitation,
+ CASE WHEN f.fits THEN 'sha256-file-v1:' || sha256(text) END AS content_id FROM documents d LEFT JOIN f ON f.doc_id = d.doc_id""")
+def _(t):
+    d = t("documents").select("doc_id", "source", "n_chars", "text")
+    return budgets.content_budgets(d, "source", "doc_id", "n_chars", C.content_id(F.col("text")), 3000, 25_000).select("doc_id", "limitation", "content_id")
+
+
+_ENTRIES = """WITH f AS (SELECT 'r' || doc_id % 5 AS a, 's' || doc_id % (3 + 4 * (doc_id % 5)) AS b, 'doc' || doc_id AS c FROM documents),
+e AS (SELECT a || '/' || b || '/' || c AS path, a || '/' || b AS parent FROM f UNION SELECT a || '/' || b, a FROM f UNION SELECT a, '.' FROM f UNION SELECT '.', NULL),
+w AS (SELECT parent AS wide FROM e WHERE parent IS NOT NULL GROUP BY 1 HAVING count(*) > 10) """
+
+
+def entries(t) -> DataFrame:
+    """Documents as files in two levels of directories of unequal width, with all directories above them."""
+    k = F.col("doc_id")
+    f = t("documents").select(F.concat(F.lit("r"), (k % 5).cast("string")).alias("a"), F.concat(F.lit("s"), (k % (3 + 4 * (k % 5))).cast("string")).alias("b"), F.concat(F.lit("doc"), k.cast("string")).alias("c"))
+    d = f.select("a", "b").distinct()
+    up = d.select(F.concat_ws("/", "a", "b").alias("path"), F.col("a").alias("parent")).unionByName(d.select(F.col("a").alias("path"), F.lit(".").alias("parent")).distinct())
+    root = d.sparkSession.createDataFrame([(".", None)], "path string, parent string")
+    return f.select(F.concat_ws("/", "a", "b", "c").alias("path"), F.concat_ws("/", "a", "b").alias("parent")).unionByName(up).unionByName(root)
+
+
+@query("s002_listed_entries", _ENTRIES + """SELECT path, parent, CASE WHEN path IN (SELECT wide FROM w) THEN 'DIRECTORY_ENTRY_LIMIT' ELSE '' END AS warnings FROM e
+WHERE NOT EXISTS (SELECT 1 FROM w WHERE wide = '.' AND path <> '.' OR starts_with(path, wide || '/'))""")
 def _(t):
-    return ledgers.greedy_budget(t("documents").select("doc_id", "source", "n_chars"), "source", "doc_id", "n_chars", 20_000)
+    return budgets.bounded_listing(entries(t), "parent", "path", 10).withColumn("warnings", F.array_join("warnings", ","))
 
 
 @query("s002_bounded_listing", W + "SELECT regexp_replace(path, '/[^/]*$', '') AS parent, count(*) AS children, count(*) <= 10 AS listed FROM inv GROUP BY 1")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from curalis.plans import bindings, observers, review, scopes  # noqa: F401  (each adds its queries)
+from curalis.plans import bindings, nested, observers, review, scopes  # noqa: F401  (each adds its queries)
 
 
 def queries() -> dict:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from curalis import registry
 from curalis.functions import columns as C
-from curalis.operators import decisions, duplicates, evaluation, ledgers, relationships, snapshots
+from curalis.operators import budgets, decisions, duplicates, evaluation, ledgers, relationships, snapshots
 from curalis.sources import records
 
 DATA = "/root/testdata/sf0.001"
@@ -41,7 +41,7 @@ def test_against_sql(spark, oracle, name):
 
 def test_greedy_budget_skips_and_goes_on(spark):
     d = spark.createDataFrame([("a", 1, 60), ("a", 2, 50), ("a", 3, 40), ("b", 1, 101)], "p string, k int, n int")
-    assert {(r.p, r.k) for r in ledgers.greedy_budget(d, "p", "k", "n", 100).collect()} == {("a", 1), ("a", 3)}
+    assert {(r.p, r.k) for r in budgets.greedy_budget(d, "p", "k", "n", 100).collect()} == {("a", 1), ("a", 3)}
 
 
 def test_near_pairs_share_five_of_seven(spark):
