@@ -72,9 +72,10 @@ def case_collisions(artifacts: DataFrame, path: str = "path") -> DataFrame:
 
 def dense_ids(df: DataFrame, keys: list[str], name: str = "id", prefix: str = "", width: int = 8, first: int = 0) -> DataFrame:
     """Numbers rows in the order of keys without a single-task sort: the rows are sorted by ranges once and kept with their places in
-    their partitions, and the number of rows in the partitions before is added. Ties are in the order of the sorted partitions."""
+    their partitions, and the number of rows in the partitions before is added. Ties are in the order of a hash of the whole row, so that only equal rows may change places."""
     at = f"_at_{name}"
-    p = df.orderBy(*keys).withColumn(at, F.monotonically_increasing_id())
+    rest = [c for c, kind in df.dtypes if c not in keys and "map<" not in kind and "variant" not in kind]
+    p = df.orderBy(*keys, *([F.xxhash64(*rest)] if rest else [])).withColumn(at, F.monotonically_increasing_id())
     p = kept(p)
     part = F.shiftright(at, 33)
     counts = p.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))

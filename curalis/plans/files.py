@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from curalis.operators import scans
 from curalis.plans.bindings import query
-from curalis.sources import archives, scratch, trees
+from curalis.plans.nested import _esc
+from curalis.sources import archives, canonical, scratch, strict, trees
 
 
 def _write(df, root: str, change) -> None:
@@ -122,3 +123,58 @@ def _(t):
     root = scratch.folder(p.sparkSession, "archives")
     _write(p, root, lambda row: (f"b{row.p_partkey % 16}/a{row.p_partkey}", archive_bytes(int(row.p_partkey))))
     return archives.observations(archives.read_archives(p.sparkSession, root))
+
+
+@query("s010_canonical_sink", f"""WITH n AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 300 AS part, '{{"doc_id":' || doc_id || ',"lang":' || {_esc('lang')} || ',"n_chars":' || n_chars || ',"source":' || {_esc('source')} || ',"text":' || {_esc('text')} || '}}' || chr(10) AS line FROM documents)
+SELECT printf('part-%06d.jsonl', part) AS name, CAST(sum(strlen(line)) AS BIGINT) AS bytes, count(*) AS records, sha256(string_agg(line, '' ORDER BY doc_id)) AS sha256 FROM n GROUP BY part""")
+def _(t):
+    d = t("documents")
+    path = os.path.join(scratch.folder(d.sparkSession, "canonical"), "run")
+    canonical.write_canonical(d, path, ["doc_id"], part_rows=300)
+    files = d.sparkSession.read.json(os.path.join(path, canonical.MANIFEST), schema="files array<struct<bytes:long,name:string,records:long,sha256:string>>")
+    return files.select(F.explode("files").alias("f")).select("f.name", "f.bytes", "f.records", "f.sha256")
+
+
+@query("s007_strict_jsonl", "SELECT 'turns-' || conv_id % 5 || '.jsonl' AS file, count(*) AS records, CAST(sum(turn) AS BIGINT) AS turns, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY 1")
+def _(t):
+    c = t("conversations")
+    root = scratch.folder(c.sparkSession, "records")
+    lines = c.select((F.col("conv_id") % 5).alias("k"), F.to_json(F.struct("conv_id", "turn", "role", "text"), {"ignoreNullFields": "false"}).alias("j"))
+    files = lines.groupBy("k").agg(F.array_join(F.collect_list("j"), "\n").alias("b"))
+    _write(files, root, lambda row: (f"turns-{row.k}.jsonl", row.b.encode() + b"\n"))
+    r = strict.read_jsonl(c.sparkSession, root, "conv_id long, turn int, role string, text string")
+    return r.groupBy("file").agg(F.count("*").alias("records"), F.sum("turn").alias("turns"), F.sum(F.length("text")).alias("chars"))
+
+
+# a line for each document, faulty in eleven ways, in words that both engines read alike
+_LINE = """CASE doc_id % 13 WHEN 0 THEN '{"a":' || doc_id || ',"a":2}' WHEN 1 THEN '{"x":[{"k":1,"k":' || doc_id || '}]}' WHEN 2 THEN '{"a":NaN}' WHEN 3 THEN '{"a":[1,-Infinity]}' WHEN 4 THEN '{"a":' || doc_id || '} {' WHEN 5 THEN '[' || doc_id || ']' WHEN 6 THEN '' WHEN 7 THEN '{"a":0' || doc_id || '}' WHEN 8 THEN '"' || lang || '"' WHEN 9 THEN '{"a":1,}' WHEN 10 THEN '{"a":"' || lang ELSE '{"id":' || doc_id || ',"in":{"lang":"' || lang || '","n":[' || n_chars || ',null,1.5e3]}}' END"""
+
+
+@query("s007_strict_lines", "SELECT doc_id, doc_id % 13 IN (0, 1, 11, 12) AS strict, doc_id % 13 IN (11, 12) AS strict_unique FROM documents")
+def _(t):
+    d = t("documents").select("doc_id", F.expr(_LINE).alias("j"))
+    return d.select("doc_id", strict.strict_object(F.col("j")).isNotNull().alias("strict"), strict.strict_object(F.col("j"), unique=True).isNotNull().alias("strict_unique"))
+
+
+@query("s008_record_arrays", "SELECT s_nationkey AS nation, s_suppkey AS supplier, s_name AS name, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS INTEGER) AS pos FROM supplier")
+def _(t):
+    s = t("supplier")
+    root = scratch.folder(s.sparkSession, "arrays")
+    rows = s.groupBy(F.col("s_nationkey").alias("k")).agg(F.to_json(F.array_sort(F.collect_list(F.struct(F.col("s_suppkey").alias("supplier"), F.col("s_nationkey").alias("nation"), F.col("s_name").alias("name"))))).alias("j"))
+    _write(rows, root, lambda row: (f"cases-{row.k}.json", row.j.encode()))
+    return strict.read_array(s.sparkSession, root, "nation int, supplier int, name string", ["supplier", "nation", "name"]).select("nation", "supplier", "name", "pos")
+
+
+@query("s009_manifests", """SELECT 'p' || p_partkey || '/' || CASE p_partkey % 3 WHEN 0 THEN 'experiment-manifest.json' WHEN 1 THEN 'relationship-manifest.json' ELSE 'document-manifest.json' END AS path,
+ CASE WHEN p_partkey % 5 < 3 THEN '{"id":' || p_partkey || ',"name":"' || p_name || '"}' END AS json, CASE p_partkey % 3 WHEN 0 THEN 'EXPERIMENT' WHEN 1 THEN 'RELATIONSHIP' ELSE 'DOCUMENT' END || CASE p_partkey % 5 WHEN 3 THEN '_MANIFEST_MALFORMED' WHEN 4 THEN '_MANIFEST_SIZE_LIMIT' END AS limitation FROM part""")
+def _(t):
+    p = t("part").select("p_partkey", "p_name")
+    root = scratch.folder(p.sparkSession, "manifests")
+
+    def entry(row):
+        k = int(row.p_partkey)
+        body = f'{{"id":{k},"name":"{row.p_name}"}}'.encode()
+        return f"p{k}/{list(strict.MANIFESTS)[k % 3]}", (b"[" + body + b"]" if k % 2 else b"\xff" + body) if k % 5 == 3 else body + b" " * 5000 if k % 5 == 4 else body
+
+    _write(p, root, entry)
+    return strict.read_manifests(p.sparkSession, root, limit=4000).select("path", "json", "limitation")
