@@ -46,27 +46,26 @@ def length_prefixed_hash(parts: Sequence[Column]) -> Column:
 
 @lru_cache
 def _foldings() -> tuple[list[str], list[str], dict[str, str]]:
-    """Letters whose folding is not their lower case: single ones as two lists, and those that fold to several letters. From the Unicode data."""
+    """Letters that folding changes: those that become one other as two lists, and those that become several. From the Unicode data."""
     one, many = {}, {}
     for k in range(0x80, 0x110000):
         c = chr(k)
         f = c.casefold()
-        if f != c.lower() or c == "\u03a3":  # capital sigma: a lower case by context in the JVM
+        if f != c:
             (one if len(f) == 1 else many)[c] = f
     return list(one), list(one.values()), many
 
 
 def casefold(c: Column) -> Column:
-    """Full case folding: letters without a simple lower case are replaced first, others lower-cased one by one (Cherokee ones to their small forms)."""
+    """Full case folding: of the lower-cased text each letter that folds to another is replaced, all that the Unicode data has, also where the JVM does not know its lower case yet.
+
+    Letters are looked up one by one only in texts that hold one of the ranges in which folding is not the JVM's lower case."""
     single, to, many = _foldings()
-    some = {x: y for x, y in many.items() if x in "ßŉǰΐΰևẞﬀﬁﬂﬃﬄﬅﬆİ"}  # fixed values: foldings to several letters that texts hold in practice; the rest are historic Greek forms
-    full = c
-    for x, y in some.items():
-        full = F.replace(full, F.lit(x), F.lit(y))
-    full = F.lower(F.translate(full, "".join(single), "".join(to)))
+    table = F.create_map(*[F.lit(x) for kv in many.items() for x in kv])
+    several = F.array_join(F.transform(F.split(F.lower(c), ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
+    full = F.translate(several, "".join(single), "".join(to))
     plain = F.replace(c, F.lit("ß"), F.lit("ss"))  # common in texts, so apart from the others
-    # of texts outside ASCII those that may hold any other letter whose folding is not its lower case, by ranges that cover them all
-    odd = c.rlike("[\u00B5\u0130\u0149\u017F\u01F0\u0345\u0390\u03A3\u03B0\u03C2\u03D0-\u03F5\u0587\u13A0-\u13FD\u1C80-\u1C88\u1E9B\u1E9E\u1F80-\u1FFF\uAB70-\uABBF\uFB00-\uFB06]")
+    odd = c.rlike("[\u00B5\u0130\u0149\u017F\u01F0\u0345\u0390\u03A3\u03B0\u03C2\u03D0-\u03F5\u0587\u13A0-\u13FD\u1C80-\u1C8A\u1E96-\u1E9B\u1E9E\u1F50-\u1F56\u1F80-\u1FFF\u2C2F\uA7C0-\uA7DC\uAB70-\uABBF\uFB00-\uFB06\uFB13-\uFB17\\x{10570}-\\x{105BF}\\x{10D50}-\\x{10D8F}]")
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).when(odd, full).otherwise(F.lower(plain))
 
 

@@ -17,6 +17,11 @@ from curalis.operators.crates import DESCRIPTORS, MOST_ENTITIES, MOST_TYPES
 MOST_REFERENCES = 512
 MOST_NODES = 8192
 MOST_EXTERNAL = 64
+# fixed values: limitations that break a crate's structure, those that only cut it, and what findings are called
+STRUCTURAL = ["RO_CRATE_DESCRIPTOR_INVALID", "RO_CRATE_DESCRIPTOR_MISSING", "RO_CRATE_DUPLICATE_ENTITY_ID", "RO_CRATE_ENTITY_MALFORMED", "RO_CRATE_GRAPH_SHAPE_INVALID", "RO_CRATE_REFERENCE_UNRESOLVED", "RO_CRATE_ROOT_INVALID", "RO_CRATE_ROOT_MISSING"]
+BUDGETS = ["RO_CRATE_ENTITY_LIMIT", "RO_CRATE_EXTERNAL_REFERENCE_LIMIT", "RO_CRATE_REFERENCE_LIMIT", "RO_CRATE_UNRESOLVED_REFERENCE_LIMIT", "RO_CRATE_VALUE_NODE_LIMIT"]
+UNRESOLVED = ("RO_CRATE_REFERENCE_UNRESOLVED", "LOCAL_REFERENCE_UNRESOLVED")
+AUTHORITY, SCHEMA, PROFILE = "EXECUTION_AUTHORITY_NOT_FALSE", "EXPORT_SCHEMA_UNSUPPORTED", "EVIDENCE_PROFILE_MISSING"
 MOST_UNRESOLVED = 64
 SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*:"
 
@@ -32,21 +37,18 @@ def _text(text: Column, name: str) -> Column:
     return let(F.filter(members(text), lambda x: x.key == name), lambda m: F.try_element_at(F.transform(m, lambda x: F.struct(x.kind, x.text)), F.lit(-1)))
 
 
-def _types(found: Column) -> Column:
+def _types(v: Column) -> Column:
     """The types that a value names: a string alone, or the strings of a list, sorted."""
-    listed = F.transform(F.filter(items(found.text), lambda x: x.kind == "S"), lambda x: x.text)
-    none = F.array().cast("array<string>")
-    return F.coalesce(F.when(found.kind == "S", F.array(found.text)).when(found.kind == "A", F.slice(sorted_set(listed), 1, MOST_TYPES)), none)
+    text = lambda x: F.when(kind(x) == "S", F.try_variant_get(x, "$", "string"))
+    listed = F.transform(F.try_variant_get(v, "$", "array<variant>"), text)
+    own = F.when(kind(v) == "S", F.array(text(v))).when(kind(v) == "A", F.slice(sorted_set(F.array_compact(listed)), 1, MOST_TYPES))
+    return F.coalesce(own, F.array().cast("array<string>"))
 
 
 def graph_items(graphs: DataFrame) -> DataFrame:
     """(graph, pos, kind, text, id, fault) of the items of each graph's list, up to the one at which MOST_ENTITIES are known: fault is null for entities, or says why
     the item is none, once for all that follow the bound. A graph without a context or a list gives one row with pos -1."""
-    shape = F.from_json("json", "`@context` variant, `@graph` variant")
-    whole = F.ltrim("json").startswith("{") & F.try_parse_json("json").isNotNull()
-    g = graphs.select("graph", F.when(whole, F.col("json")).alias("json")).select("graph", "json", shape.alias("s"))
-    listed = F.when(F.col("s.`@context`").isNotNull() & F.try_variant_get("s.`@graph`", "$", "array<variant>").isNotNull(), F.from_json("json", "`@graph` string")["@graph"])
-    g = g.select("graph", listed.alias("listed"))
+    g = _listed(graphs)
     wrong = g.filter("listed is null").select("graph", F.lit(-1).alias("pos"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("id"), F.lit("RO_CRATE_GRAPH_SHAPE_INVALID").alias("fault"))
     none = g.filter("listed rlike '^\\\\[\\\\s*\\\\]$'").select("graph", F.lit(-1).alias("pos"), *[F.lit(None).cast("string").alias(c) for c in ("kind", "text", "id", "fault")])
     e = g.filter("listed is not null").select("graph", F.posexplode(items(F.col("listed"))).alias("pos", "x")).select("graph", "pos", "x.kind", "x.text")
@@ -61,6 +63,34 @@ def graph_items(graphs: DataFrame) -> DataFrame:
     return e.unionByName(wrong).unionByName(none)
 
 
+def _listed(graphs: DataFrame) -> DataFrame:
+    """(graph, listed): the text of each graph's list, null where it has no context, no list, or is no object."""
+    shape = F.from_json("json", "`@context` variant, `@graph` variant")
+    whole = F.ltrim("json").startswith("{") & F.try_parse_json("json").isNotNull()
+    g = graphs.select("graph", F.when(whole, F.col("json")).alias("json")).select("graph", "json", shape.alias("s"))
+    listed = F.when(F.col("s.`@context`").isNotNull() & F.try_variant_get("s.`@graph`", "$", "array<variant>").isNotNull(), F.from_json("json", "`@graph` string")["@graph"])
+    return g.select("graph", listed.alias("listed"))
+
+
+def crate_findings(graphs: DataFrame, authority: str, schema: str, version: str, profile: str) -> DataFrame:
+    """(graph, status, findings, limitations) of crates: findings are structural limitations and, where the root is named once, what its own fields break: the field `authority` must be
+    false, `schema` must be the text `version`, and `profile` be among the ids of conformsTo. Without findings a crate that a bound has cut is INCOMPLETE."""
+    o = observe(graphs).select("graph", "root_id", "limitations")
+    e = _listed(graphs).filter("listed is not null").select("graph", F.explode(items(F.col("listed"))).alias("x")).filter("x.kind = 'O'").select("graph", F.col("x.text").alias("text"))
+    e = e.withColumn("root_id", _string(F.col("text"), "@id")).filter("root_id is not null")
+    root = e.join(o.select("graph", "root_id"), ["graph", "root_id"]).groupBy("graph").agg(F.count("*").alias("n"), F.first("text").alias("text")).filter("n = 1")
+    allowed, told, follows = (_text(F.col("text"), n) for n in (authority, schema, "conformsTo"))
+    named = lambda v: F.exists(items(v.text), lambda x: F.coalesce((x.kind == "O") & (_string(x.text, "@id") == profile), F.lit(False)))
+    profiled = let(follows, lambda v: F.when(v.kind == "A", named(v)).when(v.kind == "O", _string(v.text, "@id") == profile))
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    own = F.array_compact(F.array(F.when(no((allowed.kind == "B") & (allowed.text == "false")), AUTHORITY), F.when(no((told.kind == "S") & (told.text == version)), SCHEMA), F.when(no(profiled), PROFILE)))
+    j = o.join(root.select("graph", own.alias("own")), "graph", "left")
+    broken = F.transform(F.array_intersect("limitations", F.array(*map(F.lit, STRUCTURAL))), lambda x: F.when(x == UNRESOLVED[0], UNRESOLVED[1]).otherwise(x))
+    j = j.withColumn("findings", sorted_set(F.concat(broken, F.coalesce("own", F.array().cast("array<string>")))))
+    status = F.when(F.size("findings") > 0, "NONCONFORMANT").when(F.arrays_overlap("limitations", F.array(*map(F.lit, BUDGETS))), "INCOMPLETE").otherwise("BOUNDED_PROFILE_CONFORMANT")
+    return j.select("graph", status.alias("status"), "findings", "limitations")
+
+
 def references(entities: DataFrame) -> DataFrame:
     """(graph, id, found, cut, loose) of entities(graph, id, text): found are struct(property, target) in the order of the visit, as many as the graph's
     bounds leave this entity; cut names the bounds that were reached; loose are the targets visited, sorted, also those behind the bound of references."""
@@ -89,10 +119,9 @@ def observe(graphs: DataFrame) -> DataFrame:
     entities = found.filter("fault is null and id is not null").select("graph", "id", "text")
     r = references(entities)
     known = Window.partitionBy("graph")
-    types = let(_text(F.col("text"), "@type"), lambda x: F.when(x.isNotNull(), _types(x)).otherwise(F.array().cast("array<string>")))
-    about = _text(F.col("text"), "about")
-    named = F.when(about.kind == "O", _string(about.text, "@id"))
-    e = entities.select("graph", "id", types.alias("types"), F.when(F.col("id").isin(DESCRIPTORS), named).alias("about")).join(r, ["graph", "id"])
+    some = entities.select("graph", "id", F.from_json("text", "`@type` variant, about struct<`@id`:variant>").alias("v"))
+    about = F.when(F.schema_of_variant("v.about.`@id`") == "STRING", F.try_variant_get("v.about.`@id`", "$", "string"))
+    e = some.select("graph", "id", _types(F.col("v.`@type`")).alias("types"), F.when(F.col("id").isin(DESCRIPTORS), about).alias("about")).join(r, ["graph", "id"])
     e = e.withColumn("ids", F.collect_set("id").over(known))
     sources = F.transform("found", lambda x: F.struct(F.col("id").alias("source"), x.property.alias("property"), x.target.alias("target"), F.array_contains("ids", x.target).alias("present")))
     g = e.groupBy("graph").agg(

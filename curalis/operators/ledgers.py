@@ -8,15 +8,21 @@ from pyspark.sql import functions as F
 from curalis.functions.columns import basename, depth, json_object, json_string, parent
 
 
-def verify_chain(events: DataFrame, part: str, seq: str, prev: str, own: str, payload) -> DataFrame:
-    """Per chain: whether sequence is 1, 2, 3 ..., each event names the hash of the one before it, and each hash is its own.
+ZERO = "sha256:" + "0" * 64  # fixed value: what the first event names
 
-    The event before is joined by its number, so a chain of any length is spread over all tasks."""
+
+def verify_chain(events: DataFrame, part: str, seq: str, prev: str, own: str, payload, genesis: str = ZERO) -> DataFrame:
+    """Per chain: whether sequence is 1, 2, 3 ..., each event names the hash of the one before it (the first one genesis), and each hash is its own.
+
+    The event before is joined by its number, so a chain of any length is spread over all tasks. A chain with gaps or with two events of one number is not contiguous: then a number
+    is missing below the largest, so that some event has none before it, or the largest is not the count. A false link is one to what is, or should be, there."""
     e = events.withColumn("_h", payload)
-    before = events.select(F.col(part).alias("_p"), (F.col(seq) + 1).alias("_s"), F.col(own).alias("_l")).dropDuplicates(["_p", "_s"])
+    before = events.groupBy(F.col(part).alias("_p"), (F.col(seq) + 1).alias("_s")).agg(F.min(own).alias("_l"), F.max(own).alias("_m"))
     j = e.join(before, (F.col(part) == F.col("_p")) & (F.col(seq) == F.col("_s")), "left")
-    n = F.count("*")
-    return j.groupBy(part).agg(n.alias("events"), ((F.min(seq) == 1) & (F.max(seq) == n) & (F.count_distinct(seq) == n)).alias("contiguous"), F.bool_and(F.col("_l").eqNullSafe(F.col(prev))).alias("linked"), F.bool_and(F.col("_h").eqNullSafe(F.col(own))).alias("hashed"))
+    first, n = F.col(seq) == 1, F.count("*")
+    whole = (F.min(seq) == 1) & (F.max(seq) == n) & F.bool_and(first | F.col("_s").isNotNull())
+    link = F.when(first, F.lit(genesis)).otherwise(F.when(F.col("_l") == F.col("_m"), F.col("_l")))
+    return j.groupBy(part).agg(n.alias("events"), whole.alias("contiguous"), F.bool_and(link.eqNullSafe(F.col(prev))).alias("linked"), F.bool_and(F.col("_h").eqNullSafe(F.col(own))).alias("hashed"))
 
 
 def event_sequences(events: DataFrame, part: str, order: list[str], kind: str) -> DataFrame:

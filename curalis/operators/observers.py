@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curalis.functions.columns import basename, content_id, json_object, json_string, parent, sorted_set, suffix
+from curalis.functions.columns import basename, casefold, content_id, json_object, json_string, parent, sorted_set, suffix
+from curalis.operators.duplicates import kept
 
 STRINGS = "array<string>"
 
@@ -29,8 +30,13 @@ ROOT_ONLY = ["DESCRIPTION", "pyproject.toml"]
 # fixed values: files that declare a family of metadata
 FAMILIES = {"CITATION_CFF": ["CITATION.cff"], "CODEMETA": ["codemeta.json"], "DATA_PACKAGE": ["datapackage.json"], "DVC": ["dvc.yaml", "dvc.lock", ".dvc/config"], "DATALAD": [".datalad/config"], "MLFLOW": ["MLproject"], "RO_CRATE": ["ro-crate-metadata.json"], "BAGIT": ["bagit.txt"], "SNAKEMAKE": ["Snakefile", "workflow/Snakefile"],
             "NEXTFLOW": ["nextflow.config", "main.nf"], "RENKU": [".renku"], "SHOWYOURWORK": ["showyourwork.yml"], "SIGNAC": [".signac/config"], "NOWORKFLOW": [".noworkflow"]}
+# fixed values: families of regular files alone, and marks beside whole paths
+ONLY_FILES = ["CITATION_CFF", "CODEMETA"]
+NAMED_OTHERWISE = {"DVC": ("ending", ".dvc"), "SNAKEMAKE": ("name", "Snakefile"), "MLFLOW": ("folded", "mlproject"), "NOWORKFLOW": ("folder", ".noworkflow/")}
 # fixed values: fields of an attempt that a bundle needs besides its output
 BUNDLE_FIELDS = {"inputs": "INPUT", "configuration": "CONFIGURATION", "generator": "GENERATOR", "validation": "VALIDATION", "reviewer_record": "REVIEWER_RECORD"}
+MLFLOW_LIMITS = ["MLFLOW_METADATA_KEYS_ONLY", "MLFLOW_PROJECT_NOT_EXECUTED"]
+HISTORY_LIMIT = "GIT_SECRET_HISTORY_FINDING_LIMIT"
 CELLS = ["code", "markdown", "raw"]
 OUTPUTS = ["display_data", "error", "execute_result", "stream", "update_display_data"]
 
@@ -69,7 +75,9 @@ def folder_summary(df: DataFrame) -> DataFrame:
 
 
 def folder_table(df: DataFrame, most: int = 256) -> DataFrame:
-    return folder_summary(df).filter("folder is not null").orderBy(F.desc("bytes"), "folder").limit(most)
+    """The largest folders, and beside each how many are left out."""
+    all_ = kept(folder_summary(df).filter("folder is not null"))
+    return all_.orderBy(F.desc("bytes"), "folder").limit(most).withColumn("omitted", F.lit(max(all_.count() - most, 0)))
 
 
 def parse_count_objects(text: Column) -> Column:
@@ -149,11 +157,19 @@ def conflict_records(claims: DataFrame, statuses: DataFrame) -> DataFrame:
     return plain.unionByName(rivals).groupBy(F.col("of").alias("path")).agg(sorted_set(F.collect_set(text)).alias("claims"))
 
 
-def declaration_family(path: Column) -> Column:
-    """The family of metadata that a path declares, or null."""
+def declaration_family(path: Column, object_type: Column | None = None) -> Column:
+    """The family of metadata that a path declares, or null: by its whole path, and some by an ending, a name at any depth, a name in any case or a folder. object_type: what the path is, regular files if not told; some
+    families are declared by regular files alone."""
+    regular = F.lit(True) if object_type is None else object_type == "REGULAR_FILE"
     out = F.lit(None).cast("string")
-    for family, names in FAMILIES.items():
-        out = F.when(path.isin(names) | F.lit(False), family).otherwise(out)
+    for family, names in reversed(FAMILIES.items()):
+        hit = path.isin(names)
+        if family in ONLY_FILES:
+            hit = hit & regular
+        if family in NAMED_OTHERWISE:
+            kind, text = NAMED_OTHERWISE[family]
+            hit = hit | {"ending": regular & path.endswith(text), "name": regular & (basename(path) == text), "folded": ~path.contains("/") & (casefold(path) == text), "folder": path.startswith(text)}[kind]
+        out = F.when(hit, family).otherwise(out)
     return out
 
 
@@ -168,12 +184,12 @@ def environment_markers(paths: DataFrame) -> DataFrame:
     return m.select("path", "kind", F.when(F.col("b") & F.col("d"), "UNRESOLVED").when(F.col("scope") == force, "ACTIVE").otherwise("SHADOWED").alias("scope_status"))
 
 
-def validation_status(results: DataFrame, part: str, result: str = "result") -> DataFrame:
-    """(part, validation, status) of several files' results: the gravest counts."""
+def validation_status(results: DataFrame, part: str, result: str = "result", limited: str | None = None) -> DataFrame:
+    """(part, validation, status) of several files' results: the gravest counts. limited: a truth value of the rows; a part with a limitation before validation is PARTIAL whatever its files say."""
     rank = F.array_position(F.array(*map(F.lit, ["MALFORMED", "SIZE_LIMIT", "UNAVAILABLE", "CHANGED"])), F.col(result))
-    g = results.groupBy(part).agg(F.min(F.when(rank > 0, rank)).alias("r"))
+    g = results.groupBy(part).agg(F.min(F.when(rank > 0, rank)).alias("r"), F.bool_or(F.coalesce(F.col(limited), F.lit(False)) if limited else F.lit(False)).alias("l"))
     v = F.coalesce(F.get(F.array(*map(F.lit, ["MALFORMED", "SIZE_LIMIT", "UNAVAILABLE", "CHANGED"])), F.col("r").cast("int") - 1), F.lit("SYNTAX_VALIDATED"))
-    return g.select(part, v.alias("validation"), F.when(v == "MALFORMED", "MALFORMED").when(v == "SYNTAX_VALIDATED", "PRESENT").otherwise("PRESENT_UNVALIDATED").alias("status"))
+    return g.select(part, v.alias("validation"), F.when(F.col("l"), "PARTIAL").when(v == "MALFORMED", "MALFORMED").when(v == "SYNTAX_VALIDATED", "PRESENT").otherwise("PRESENT_UNVALIDATED").alias("status"))
 
 
 def source_kind(inline: Column, paths: Column, local: Column, remote: Column, unsafe: Column) -> Column:
@@ -250,10 +266,6 @@ def outcome(types: Column, verified: Column, committed: Column, source: Column,
         .when(F.array_contains(types, "MOVE_STARTED") & (source == "REGULAR") & (destination == "REGULAR"), "MOVED").when(F.array_contains(types, "ACTION_FAILED"), "FAILED").otherwise("AMBIGUOUS"))
 
 
-def crate_status(findings: Column, limits: Column, budget_codes: list[str]) -> Column:
-    return F.when(F.size(findings) > 0, "NONCONFORMANT").when(F.arrays_overlap(limits, F.array(*map(F.lit, budget_codes))), "INCOMPLETE").otherwise("BOUNDED_PROFILE_CONFORMANT")
-
-
 def component_state(warnings: Column) -> Column:
     return F.when(F.size(warnings) > 0, "COMPLETED_WITH_LIMITATIONS").otherwise("COMPLETED")
 
@@ -287,11 +299,16 @@ def notebook_counts(cells: DataFrame) -> DataFrame:
 
 
 def mlflow_counts(paths: DataFrame, most: int = 256) -> DataFrame:
-    """Runs, parameters, metrics and artifacts of a tracking folder, by the first paths."""
-    p = paths.orderBy("path").limit(most).select("path", F.split("path", "/").alias("x"), F.concat(F.lit("/"), "path").alias("q"))
+    """Runs, parameters, metrics and artifacts below mlruns/, by the first paths; limitations say so where there are more. No row without such a path."""
+    mine = paths.filter(F.col("path").startswith("mlruns/"))
+    more = mine.orderBy("path").limit(most + 1).withColumn("r", F.row_number().over(Window.orderBy("path")))  # of a bounded number of rows
+    p = more.select("r", "path", F.split("path", "/").alias("x"), F.concat(F.lit("/"), "path").alias("q"))
     run = F.when((F.size("x") >= 3) & (F.col("x")[1] != ".trash"), F.array_join(F.slice("x", 1, 3), "/"))
     kind = F.when(F.col("q").contains("/params/"), "p").when(F.col("q").contains("/metrics/"), "m").when(F.col("q").contains("/artifacts/"), "a")
-    return p.agg(F.count_distinct(run).alias("runs"), F.count_if(kind == "p").alias("parameters"), F.count_if(kind == "m").alias("metrics"), F.count_if(kind == "a").alias("artifacts"))
+    first = F.col("r") <= most
+    limits = F.when(F.count("*") > most, F.array(*map(F.lit, ["ADAPTER_RECORD_LIMIT", *MLFLOW_LIMITS]))).otherwise(F.array(*map(F.lit, MLFLOW_LIMITS)))
+    g = p.agg(F.count_distinct(F.when(first, run)).alias("runs"), *[F.count_if(first & (kind == k)).alias(n) for k, n in (("p", "parameters"), ("m", "metrics"), ("a", "artifacts"))], limits.alias("limitations"), F.count("*").alias("n"))
+    return g.filter("n > 0").drop("n")
 
 
 def codemeta(text: Column, allowed: list[str]) -> Column:
@@ -309,9 +326,12 @@ def staged_large(files: DataFrame, staged: DataFrame, most_kib: int = 500, most:
 
 
 def history_findings(occurrences: DataFrame, blobs: DataFrame, categories, most: int = 256) -> DataFrame:
-    """(commit_id, path, category) of occurrences(blob, commit_id, path) of blobs(blob, text) with secrets, each blob read once; the first ones in order."""
+    """(commit_id, path, category, limitation) of occurrences(blob, commit_id, path) of blobs(blob, text) with secrets, each blob read once; the first ones in order, all with the limitation where there are more."""
     found = blobs.dropDuplicates(["blob"]).select("blob", F.explode(categories(F.col("text"))).alias("category"))
-    return occurrences.join(found, "blob").select("commit_id", "path", "category").distinct().orderBy("commit_id", "path", "category").limit(most)
+    more = occurrences.join(found, "blob").select("commit_id", "path", "category").distinct().orderBy("commit_id", "path", "category").limit(most + 1)
+    w = Window.orderBy("commit_id", "path", "category")  # of a bounded number of rows
+    more = more.withColumn("r", F.row_number().over(w)).withColumn("n", F.max("r").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    return more.filter(F.col("r") <= most).select("commit_id", "path", "category", F.when(F.col("n") > most, HISTORY_LIMIT).alias("limitation"))
 
 
 def _let(value: Column, f) -> Column:

@@ -56,13 +56,11 @@ def document_pairs(docs: DataFrame, topic: str = "topic", path: str = "path") ->
     return j.withColumn("conflicting", fields).select(F.col(f"l_{topic}").alias("topic"), F.col(f"l_{path}").alias("left_path"), F.col(f"r_{path}").alias("right_path"), "conflicting", kind.alias("subtype"))
 
 
-def canonical_entries(docs: DataFrame, most: int = 256) -> DataFrame:
-    """(entry_point, retained, omitted): each canonical entry with the first `most` other documents in path order, and how many more there are."""
-    first = docs.select("path").distinct().orderBy("path").limit(most + 1).agg(F.array_sort(F.collect_list("path")).alias("paths"))
-    n = docs.agg(F.count_distinct("path").alias("n"))
-    e = docs.filter("canonical_entry").select(F.col("path").alias("entry_point")).crossJoin(first).crossJoin(n)
-    kept = F.slice(F.array_remove("paths", F.col("entry_point")), 1, most)
-    return e.withColumn("retained", kept).select("entry_point", "retained", (F.col("n") - 1 - F.size("retained")).alias("omitted"))
+def canonical_entries(docs: DataFrame, manifest: str) -> DataFrame:
+    """(manifest, entry_point, retained): each canonical entry with all other documents of its manifest, in path order. A manifest's documents come together in one row: its reader bounds it."""
+    all_ = docs.groupBy(manifest).agg(sorted_set(F.collect_set("path")).alias("paths"))
+    e = docs.filter("canonical_entry").select(manifest, F.col("path").alias("entry_point")).join(all_, manifest)
+    return e.select(manifest, "entry_point", F.array_remove("paths", F.col("entry_point")).alias("retained"))
 
 
 def first_declared(df: DataFrame, key: str, ordinal: str) -> DataFrame:
@@ -115,7 +113,8 @@ def overlay_status(artifacts: DataFrame, tracked: DataFrame, status: DataFrame,
     """artifacts with tracked, modified, untracked, ignored_included and index_status.
 
     tracked(path); status(path, code) by two letters, '??' for untracked and '!!' for ignored paths, where a folder ends in '/'. A path without a code
-    of its own takes that of an ignored folder above it; folders are joined by equality with a path's ancestors, not by prefix.
+    of its own takes that of an ignored folder above it; folders are joined by equality with a path's ancestors, not by prefix. artifacts may have object_type: what is neither a
+    regular file nor a link has no state, all five are null.
     """
     parts = F.split(F.col(path), "/")
     up = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/"))))
@@ -127,6 +126,10 @@ def overlay_status(artifacts: DataFrame, tracked: DataFrame, status: DataFrame,
     code = F.coalesce("_c", F.when(F.col("_u").isNotNull(), "!!"))
     yes = F.col("_t").isNotNull()
     j = j.withColumn("_code", code)
-    return (
+    stated = (
         j.withColumn("tracked", yes).withColumn("modified", yes & F.coalesce(F.col("_code") != "  ", F.lit(False))).withColumn("untracked", ~yes & F.coalesce(F.col("_code") == "??", F.lit(False)))
         .withColumn("ignored_included", ~yes & F.coalesce(F.col("_code") == "!!", F.lit(False))).withColumn("index_status", F.when(yes | F.col("_code").isin("??", "!!"), F.col("_code"))).drop("_t", "_s", "_c", "_u", "_code"))
+    if "object_type" not in artifacts.columns:
+        return stated
+    own = F.col("object_type").isin("REGULAR_FILE", "SYMLINK")
+    return stated.withColumns({c: F.when(own, F.col(c)) for c in ("tracked", "modified", "untracked", "ignored_included", "index_status")})

@@ -14,6 +14,8 @@ SQL: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def add(f):
+        if name in QUERIES:
+            raise ValueError(f"two queries are named {name}")
         QUERIES[name] = lambda spark, sf_dir: f(lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"))
         if sql:
             SQL[name] = sql
@@ -277,11 +279,6 @@ def _(t):
     return c.select(F.array_join(F.transform(F.map_entries("counts"), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))), ",").alias("counts"))
 
 
-@query("s054_checkout_summary", W + "SELECT count(*) AS files, sum(size_bytes)::BIGINT AS bytes, (SELECT path FROM inv ORDER BY size_bytes DESC, path LIMIT 1) AS largest FROM inv")
-def _(t):
-    return inventory(t).agg(F.count("*").alias("files"), F.sum("size_bytes").alias("bytes"), F.min_by("path", F.struct(-F.col("size_bytes"), F.col("path"))).alias("largest"))
-
-
 @query("s083_first_per_repository", "WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank, greatest(count(*) OVER (PARTITION BY source) - 5, 0) AS omitted FROM documents) SELECT * FROM r WHERE rank <= 5")
 def _(t):
     return decisions.top_k_per(t("documents").select("source", "doc_id"), ["source"], [F.col("doc_id")], 5)

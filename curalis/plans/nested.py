@@ -63,6 +63,22 @@ def _(t):
     return G.observe(_graphs(t)).select("graph", "status", "entity_count", "reference_count", F.array_join("limitations", ",").alias("limitations"), "root_id")
 
 
+# a small crate for each order: sound but for what its number says
+CRATE = f"""'{{"@context":"c","@graph":[{{"@id":"ro-crate-metadata.json","@type":"CreativeWork","about":{{"@id":"./"}}}},{{"@id":"./","@type":"Dataset","run":' || CASE k % 4 WHEN 0 THEN 'true' WHEN 1 THEN '"false"' ELSE 'false' END || ',"v":' || CASE WHEN k % 5 = 0 THEN '1' ELSE '"1"' END ||
+ ',"conformsTo":' || CASE k % 6 WHEN 0 THEN '"prof"' WHEN 1 THEN '[]' WHEN 2 THEN '{{"@id":"prof"}}' ELSE '[{{"@id":"./"}},7,{{"@id":"prof"}}]' END || CASE WHEN k % 7 = 0 THEN ',"more":[[{{"@id":"gone"}}]]' ELSE '' END || '}},{{"@id":"prof"}}' ||
+ CASE WHEN k % 9 = 0 THEN ',{{"@id":"./"}}' ELSE '' END || CASE WHEN k % 110 = 0 THEN ',{_MANY[:-1]}' ELSE '' END || ']}}'"""
+
+
+@query("s130_crate_findings", """WITH c AS (SELECT o_orderkey AS k, [CASE WHEN k % 9 = 0 THEN 'RO_CRATE_DUPLICATE_ENTITY_ID' END, CASE WHEN k % 7 = 0 THEN 'LOCAL_REFERENCE_UNRESOLVED' END, CASE WHEN k % 9 > 0 AND k % 4 < 2 THEN 'EXECUTION_AUTHORITY_NOT_FALSE' END,
+ CASE WHEN k % 9 > 0 AND k % 5 = 0 THEN 'EXPORT_SCHEMA_UNSUPPORTED' END, CASE WHEN k % 9 > 0 AND k % 6 < 2 THEN 'EVIDENCE_PROFILE_MISSING' END] AS f FROM orders),
+s AS (SELECT k, list_sort(list_filter(f, lambda x: x IS NOT NULL)) AS f FROM c)
+SELECT CAST(k AS VARCHAR) AS graph, CASE WHEN len(f) > 0 THEN 'NONCONFORMANT' WHEN k % 110 = 0 THEN 'INCOMPLETE' ELSE 'BOUNDED_PROFILE_CONFORMANT' END AS status, array_to_string(f, ',') AS findings FROM s""")
+def _(t):
+    g = t("orders").select(F.col("o_orderkey").alias("k")).select(F.col("k").cast("string").alias("graph"), F.expr(CRATE).alias("json"))
+    r = G.crate_findings(g, "run", "v", "1", "prof")
+    return r.select("graph", "status", F.array_join("findings", ",").alias("findings"))
+
+
 def _records(t):
     """A nested record for each conversation: its turns behind lists and objects, names out of order."""
     c = t("conversations").select("conv_id", "turn", F.struct(F.col("turn").alias("turn"), F.struct(F.col("text").alias("text"), F.col("role").alias("role")).alias("body"), (F.col("turn") / 4).alias("at"), F.concat(F.lit("token="), F.col("role")).alias("auth")).alias("x"))

@@ -86,7 +86,7 @@ def _(t):
     return O.folder_summary(_kinds(t))
 
 
-@query("s084_folder_table", _K + "SELECT split_part(path, '/', 1) AS folder, sum(CASE WHEN object_type = 'REGULAR_FILE' THEN size_bytes ELSE 0 END)::BIGINT AS bytes, count(*) FILTER (object_type = 'REGULAR_FILE') AS files, count(*) AS items FROM kk WHERE path LIKE '%/%' GROUP BY 1 ORDER BY bytes DESC, folder LIMIT 7")
+@query("s084_folder_table", _K + "SELECT *, greatest(count(*) OVER () - 7, 0) AS omitted FROM (SELECT split_part(path, '/', 1) AS folder, sum(CASE WHEN object_type = 'REGULAR_FILE' THEN size_bytes ELSE 0 END)::BIGINT AS bytes, count(*) FILTER (object_type = 'REGULAR_FILE') AS files, count(*) AS items FROM kk WHERE path LIKE '%/%' GROUP BY 1) ORDER BY bytes DESC, folder LIMIT 7")
 def _(t):
     return O.folder_table(_kinds(t), 7)
 
@@ -183,18 +183,23 @@ def _(t):
     return O.environment_markers(_names(t, _ENV))
 
 
-@query("s111_declaration_families", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'CITATION_CFF' WHEN 1 THEN 'DVC' WHEN 2 THEN 'SNAKEMAKE' END AS family FROM part")
+_PATHS = ["CITATION.cff", ".dvc/config", "workflow/Snakefile", "x/dvc.yaml", "data/{k}.dvc", "a/b{k}/Snakefile", "MLProject", "a/MLproject", ".noworkflow/db{k}", "{k}.dvcx", "codemeta.json"]
+_PATH = "replace(CASE p_partkey % 11 " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(_PATHS)) + " END, '{k}', CAST(p_partkey AS STRING))"
+
+
+@query("s111_declaration_families", f"""SELECT p_partkey, {_PATH} AS path, CASE WHEN p_partkey % 11 = 1 OR p_partkey % 11 = 4 AND p_size % 4 > 0 THEN 'DVC' WHEN p_partkey % 11 IN (2, 5) AND (p_partkey % 11 = 2 OR p_size % 4 > 0) THEN 'SNAKEMAKE'
+ WHEN p_partkey % 11 = 6 THEN 'MLFLOW' WHEN p_partkey % 11 = 8 THEN 'NOWORKFLOW' WHEN p_partkey % 11 = 0 AND p_size % 4 > 0 THEN 'CITATION_CFF' WHEN p_partkey % 11 = 10 AND p_size % 4 > 0 THEN 'CODEMETA' END AS family FROM part""")
 def _(t):
-    k = F.col("p_partkey") % 4
-    return t("part").select("p_partkey", O.declaration_family(F.when(k == 0, "CITATION.cff").when(k == 1, ".dvc/config").when(k == 2, "workflow/Snakefile").otherwise("x/dvc.yaml")).alias("family"))
+    p = t("part").select("p_partkey", F.expr(_PATH).alias("path"), F.when(F.col("p_size") % 4 > 0, "REGULAR_FILE").otherwise("SYMLINK").alias("o"))
+    return p.select("p_partkey", "path", O.declaration_family(F.col("path"), F.col("o")).alias("family"))
 
 
-@query("s112_validation_status", """WITH r AS (SELECT p_brand, CASE WHEN p_size = 1 THEN 1 WHEN p_size = 2 THEN 2 WHEN p_size = 3 THEN 3 WHEN p_size = 4 THEN 4 END AS r FROM part), g AS (SELECT p_brand, min(r) AS r FROM r GROUP BY 1)
-SELECT p_brand, CASE r WHEN 1 THEN 'MALFORMED' WHEN 2 THEN 'SIZE_LIMIT' WHEN 3 THEN 'UNAVAILABLE' WHEN 4 THEN 'CHANGED' ELSE 'SYNTAX_VALIDATED' END AS validation, CASE WHEN r = 1 THEN 'MALFORMED' WHEN r IS NULL THEN 'PRESENT' ELSE 'PRESENT_UNVALIDATED' END AS status FROM g""")
+@query("s112_validation_status", """WITH r AS (SELECT p_brand, p_size, CASE WHEN p_size = 1 THEN 1 WHEN p_size = 2 THEN 2 WHEN p_size = 3 THEN 3 WHEN p_size = 4 THEN 4 END AS r FROM part), g AS (SELECT p_brand, min(r) AS r, bool_or(p_size = 50) AS l FROM r GROUP BY 1)
+SELECT p_brand, CASE r WHEN 1 THEN 'MALFORMED' WHEN 2 THEN 'SIZE_LIMIT' WHEN 3 THEN 'UNAVAILABLE' WHEN 4 THEN 'CHANGED' ELSE 'SYNTAX_VALIDATED' END AS validation, CASE WHEN l THEN 'PARTIAL' WHEN r = 1 THEN 'MALFORMED' WHEN r IS NULL THEN 'PRESENT' ELSE 'PRESENT_UNVALIDATED' END AS status FROM g""")
 def _(t):
     z = F.col("p_size")
-    r = t("part").select("p_brand", F.when(z == 1, "MALFORMED").when(z == 2, "SIZE_LIMIT").when(z == 3, "UNAVAILABLE").when(z == 4, "CHANGED").otherwise("SYNTAX_VALIDATED").alias("result"))
-    return O.validation_status(r, "p_brand")
+    r = t("part").select("p_brand", F.when(z == 1, "MALFORMED").when(z == 2, "SIZE_LIMIT").when(z == 3, "UNAVAILABLE").when(z == 4, "CHANGED").otherwise("SYNTAX_VALIDATED").alias("result"), (z == 50).alias("limited"))
+    return O.validation_status(r, "p_brand", limited="limited")
 
 
 @query("s144_source_kinds", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 AND n > 0 THEN 'MULTIPLE_SOURCES' WHEN p_size % 2 = 0 THEN 'INLINE_DATA' WHEN n = 0 THEN 'MISSING_SOURCE' WHEN r > 0 AND n > r THEN 'MIXED_PATHS' WHEN r > 0 THEN 'REMOTE_PATH' WHEN u > 0 AND l = 0 THEN 'UNSAFE_PATH' WHEN n > 1 THEN 'MULTIPART_LOCAL' ELSE 'LOCAL_PATH' END AS kind FROM (SELECT *, p_partkey % 3 AS l, p_partkey // 3 % 2 AS r, p_partkey // 6 % 2 AS u, l + r + u AS n FROM part)")
@@ -222,7 +227,7 @@ def _(t):
     return O.unresolved_references(r, t("part").filter("p_size < 40").select(F.col("p_partkey").cast("string").alias("id"))).withColumn("unresolved", F.array_join("unresolved", ","))
 
 
-@query("s041_nonmatch_controls", W + """, RECURSIVE_DUMMY AS (SELECT 1) SELECT source, count(*) AS eligible FROM inv GROUP BY 1""".replace(", RECURSIVE_DUMMY AS (SELECT 1)", ""))
+@query("s041_nonmatch_controls", W + "SELECT source, count(*) AS eligible FROM inv GROUP BY 1")
 def _(t):
     i = inventory(t)
     c = O.controls(i, "source", 10)
@@ -279,12 +284,6 @@ def _(t):
     return t("orders").select("o_orderkey", O.outcome(types, F.lit(True), k == 0, src, dst, F.lit("ABSENT")).alias("outcome"))
 
 
-@query("s130_crate_status", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'NONCONFORMANT' WHEN p_size % 5 = 0 THEN 'INCOMPLETE' ELSE 'BOUNDED_PROFILE_CONFORMANT' END AS status FROM part")
-def _(t):
-    none, z = F.array().cast("array<string>"), F.col("p_size")
-    return t("part").select("p_partkey", O.crate_status(F.when(z % 3 == 0, F.array(F.lit("EXPORT_SCHEMA_UNSUPPORTED"))).otherwise(none), F.when(z % 5 == 0, F.array(F.lit("GRAPH_LIMIT"))).when(z % 2 == 0, F.array(F.lit("OTHER"))).otherwise(none), ["GRAPH_LIMIT"]).alias("status"))
-
-
 @query("s133_component_states", "SELECT p_brand, CASE WHEN bool_or(p_size = 5) THEN 'COMPLETED_WITH_LIMITATIONS' ELSE 'COMPLETED' END AS state FROM part GROUP BY 1")
 def _(t):
     return t("part").groupBy("p_brand").agg(F.collect_set(F.when(F.col("p_size") == 5, "LIMIT")).alias("w")).select("p_brand", O.component_state(F.col("w")).alias("state"))
@@ -312,11 +311,14 @@ def _(t):
     return O.notebook_counts(n).withColumn("counts", F.array_join(F.transform(F.map_entries("counts"), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))), ","))
 
 
-@query("s067_mlflow_counts", "WITH p AS (SELECT 'mlruns/' || CASE WHEN o_custkey % 10 = 0 THEN '.trash' ELSE CAST(o_custkey % 20 AS VARCHAR) END || '/r' || (o_custkey % 7) || CASE o_orderkey % 4 WHEN 0 THEN '/params/' WHEN 1 THEN '/metrics/' WHEN 2 THEN '/artifacts/' ELSE '/' END || o_orderkey AS path FROM orders ORDER BY 1 LIMIT 256) SELECT count(DISTINCT CASE WHEN split_part(path, '/', 2) <> '.trash' THEN split_part(path, '/', 2) || '/' || split_part(path, '/', 3) END) AS runs, count(*) FILTER (path LIKE '%/params/%') AS parameters, count(*) FILTER (path LIKE '%/metrics/%') AS metrics, count(*) FILTER (path LIKE '%/artifacts/%') AS artifacts FROM p")
+_RUN = """CASE WHEN o_orderkey % 9 = 0 THEN 'src/mlruns/' ELSE 'mlruns/' END || CASE WHEN o_custkey % 10 = 0 THEN '.trash' ELSE CAST(o_custkey % 20 AS STRING) END || '/r' || (o_custkey % 7) || CASE o_orderkey % 4 WHEN 0 THEN '/params/' WHEN 1 THEN '/metrics/' WHEN 2 THEN '/artifacts/' ELSE '/' END || o_orderkey"""
+
+
+@query("s067_mlflow_counts", f"""WITH a AS (SELECT {_RUN} AS path FROM orders), m AS (SELECT path FROM a WHERE path LIKE 'mlruns/%'), p AS (SELECT path FROM m ORDER BY 1 LIMIT 256)
+SELECT count(DISTINCT CASE WHEN split_part(path, '/', 2) <> '.trash' THEN split_part(path, '/', 2) || '/' || split_part(path, '/', 3) END) AS runs, count(*) FILTER (path LIKE '%/params/%') AS parameters, count(*) FILTER (path LIKE '%/metrics/%') AS metrics, count(*) FILTER (path LIKE '%/artifacts/%') AS artifacts,
+ CASE WHEN (SELECT count(*) FROM m) > 256 THEN 'ADAPTER_RECORD_LIMIT,' ELSE '' END || 'MLFLOW_METADATA_KEYS_ONLY,MLFLOW_PROJECT_NOT_EXECUTED' AS limitations FROM p""")
 def _(t):
-    c, o = F.col("o_custkey"), F.col("o_orderkey")
-    p = F.concat(F.lit("mlruns/"), F.when(c % 10 == 0, ".trash").otherwise((c % 20).cast("string")), F.lit("/r"), (c % 7).cast("string"), F.get(F.array(*map(F.lit, ["/params/", "/metrics/", "/artifacts/", "/"])), (o % 4).cast("int")), o.cast("string"))
-    return O.mlflow_counts(t("orders").select(p.alias("path")))
+    return O.mlflow_counts(t("orders").select(F.expr(_RUN).alias("path"))).withColumn("limitations", F.array_join("limitations", ","))
 
 
 @query("s113_codemeta", "SELECT p_partkey, CASE WHEN p_partkey % 4 = 3 THEN NULL ELSE 'author,name' END AS fields, CASE WHEN p_partkey % 4 = 3 THEN NULL WHEN p_partkey % 4 = 0 THEN 2 ELSE 1 END AS authors FROM part")
@@ -332,7 +334,7 @@ def _(t):
     return O.staged_large(k, k.filter("doc_id % 2 = 0").select("path"), most=20)
 
 
-@query("s139_history_findings", W + ", c AS (SELECT doc_id, doc_id % 5 AS commit_id, path, text, regexp_matches(text, '(?i)token[ \\t]*[=:][ \\t]*[^\\s]+') AS t, regexp_matches(text, '(?i)password[ \\t]*[=:][ \\t]*[^\\s]+') AS p FROM inv) SELECT commit_id, path, category FROM (SELECT commit_id, path, 'TOKEN' AS category FROM c WHERE t UNION SELECT commit_id, path, 'PASSWORD' FROM c WHERE p) ORDER BY commit_id, path, category LIMIT 256")
+@query("s139_history_findings", W + ", c AS (SELECT doc_id, doc_id % 5 AS commit_id, path, text, regexp_matches(text, '(?i)token[ \\t]*[=:][ \\t]*[^\\s]+') AS t, regexp_matches(text, '(?i)password[ \\t]*[=:][ \\t]*[^\\s]+') AS p FROM inv) SELECT commit_id, path, category, CASE WHEN count(*) OVER () > 256 THEN 'GIT_SECRET_HISTORY_FINDING_LIMIT' END AS limitation FROM (SELECT commit_id, path, 'TOKEN' AS category FROM c WHERE t UNION SELECT commit_id, path, 'PASSWORD' FROM c WHERE p) ORDER BY commit_id, path, category LIMIT 256")
 def _(t):
     i = inventory(t)
     only = lambda x: F.array_intersect(C.secret_categories(x), F.array(F.lit("TOKEN"), F.lit("PASSWORD")))

@@ -131,10 +131,11 @@ def _(t):
     return relationships.document_pairs(d).withColumn("conflicting", F.array_join("conflicting", ","))
 
 
-@query("s138_canonical_entries", "WITH d AS (SELECT s_name AS path, s_suppkey % 25 = 0 AS e FROM supplier), p AS (SELECT path, row_number() OVER (ORDER BY path) AS r FROM d) SELECT a.path AS entry_point, (SELECT string_agg(path, ',' ORDER BY path) FROM (SELECT path FROM p WHERE p.path <> a.path AND r <= 257 ORDER BY path LIMIT 256)) AS retained, greatest((SELECT count(*) FROM d) - 1 - 256, 0) AS omitted FROM d a WHERE e")
+@query("s138_canonical_entries", """SELECT a.s_nationkey, a.s_name AS entry_point, coalesce(string_agg(b.s_name, ',' ORDER BY b.s_name), '') AS retained
+FROM supplier a LEFT JOIN supplier b ON b.s_nationkey = a.s_nationkey AND b.s_name <> a.s_name WHERE a.s_suppkey % 5 = 0 GROUP BY 1, 2""")
 def _(t):
-    d = t("supplier").select(F.col("s_name").alias("path"), (F.col("s_suppkey") % 25 == 0).alias("canonical_entry"))
-    return relationships.canonical_entries(d).withColumn("retained", F.array_join("retained", ","))
+    d = t("supplier").select("s_nationkey", F.col("s_name").alias("path"), (F.col("s_suppkey") % 5 == 0).alias("canonical_entry"))
+    return relationships.canonical_entries(d, "s_nationkey").withColumn("retained", F.array_join("retained", ","))
 
 
 @query("s088_status_transitions", """WITH s AS (SELECT o_orderkey AS path, CASE o_orderstatus WHEN 'O' THEN 'UNRESOLVED' WHEN 'F' THEN 'ACTIVE_MAINLINE' END AS a, CASE WHEN o_orderpriority LIKE '1%' THEN 'ACTIVE_MAINLINE' WHEN o_orderpriority LIKE '2%' THEN 'REQUIRED' ELSE 'UNRESOLVED' END AS b FROM orders),
@@ -232,14 +233,16 @@ def _(t):
     return g.select("p_brand", status.alias("status"), F.array_join(limits, ",").alias("limitations"))
 
 
-@query("s030_git_overlay", W + """, s AS (SELECT path, CASE WHEN doc_id % 6 = 0 THEN '??' WHEN doc_id % 6 = 1 THEN ' M' WHEN doc_id % 6 = 2 THEN '  ' END AS code, lang = 'en' AS t, path LIKE 'src3/%' OR path LIKE 'src4/de/%' AS ign FROM inv),
-c AS (SELECT path, t, coalesce(code, CASE WHEN ign THEN '!!' END) AS code FROM s)
-SELECT path, t AS tracked, t AND coalesce(code <> '  ', false) AS modified, NOT t AND coalesce(code = '??', false) AS untracked, NOT t AND coalesce(code = '!!', false) AS ignored_included, CASE WHEN t OR code IN ('??', '!!') THEN code END AS index_status FROM c""")
+@query("s030_git_overlay", W + """, s AS (SELECT path, CASE WHEN doc_id % 6 = 0 THEN '??' WHEN doc_id % 6 = 1 THEN ' M' WHEN doc_id % 6 = 2 THEN '  ' END AS code, lang = 'en' AS t, path LIKE 'src3/%' OR path LIKE 'src4/de/%' AS ign, CASE doc_id % 10 WHEN 9 THEN 'DIRECTORY' WHEN 8 THEN 'SPECIAL_FILE' WHEN 7 THEN 'SYMLINK' ELSE 'REGULAR_FILE' END AS o FROM inv),
+c AS (SELECT path, o, t, coalesce(code, CASE WHEN ign THEN '!!' END) AS code FROM s),
+x AS (SELECT path, o, t AS tracked, t AND coalesce(code <> '  ', false) AS modified, NOT t AND coalesce(code = '??', false) AS untracked, NOT t AND coalesce(code = '!!', false) AS ignored_included, CASE WHEN t OR code IN ('??', '!!') THEN code END AS index_status FROM c)
+SELECT path, o AS object_type, CASE WHEN o IN ('REGULAR_FILE', 'SYMLINK') THEN tracked END AS tracked, CASE WHEN o IN ('REGULAR_FILE', 'SYMLINK') THEN modified END AS modified, CASE WHEN o IN ('REGULAR_FILE', 'SYMLINK') THEN untracked END AS untracked,
+ CASE WHEN o IN ('REGULAR_FILE', 'SYMLINK') THEN ignored_included END AS ignored_included, CASE WHEN o IN ('REGULAR_FILE', 'SYMLINK') THEN index_status END AS index_status FROM x""")
 def _(t):
     i, k = inventory(t), F.col("doc_id") % 6
     folders = i.sparkSession.createDataFrame([("src3/", "!!"), ("src4/de/", "!!")], "path string, code string")
     codes = i.filter(k < 3).select("path", F.when(k == 0, "??").when(k == 1, " M").otherwise("  ").alias("code"))
-    return relationships.overlay_status(i.select("path"), i.filter("lang = 'en'"), codes.unionByName(folders))
+    return relationships.overlay_status(i.select("path", F.when(F.col("doc_id") % 10 == 9, "DIRECTORY").when(F.col("doc_id") % 10 == 8, "SPECIAL_FILE").when(F.col("doc_id") % 10 == 7, "SYMLINK").otherwise("REGULAR_FILE").alias("object_type")), i.filter("lang = 'en'"), codes.unionByName(folders))
 
 
 @query("s124_mainline_status", """WITH c AS (SELECT o_custkey AS path, CASE o_orderstatus WHEN 'F' THEN 'REQUIRED' WHEN 'O' THEN 'HISTORICAL_EVIDENCE' ELSE 'ACTIVE_MAINLINE' END AS status FROM orders), a AS (SELECT count(DISTINCT path) AS n FROM c WHERE status = 'ACTIVE_MAINLINE')
@@ -257,18 +260,19 @@ def _(t):
     return decisions.decision_question(c)
 
 
-@query("s081_hash_chain", """WITH e AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, sha256(event_id || ':' || event_type) AS h FROM events), c AS (SELECT *, lag(h) OVER (PARTITION BY user_id ORDER BY seq) AS prev FROM e),
-b AS (SELECT user_id, CASE WHEN user_id % 7 = 1 AND seq >= 3 THEN seq + 1 ELSE seq END AS seq, CASE WHEN user_id % 7 = 2 AND seq = 2 THEN 'x' ELSE prev END AS prev, CASE WHEN user_id % 7 = 3 AND seq = 2 THEN 'y' ELSE h END AS own, h FROM c),
-l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS r, lag(own) OVER (PARTITION BY user_id ORDER BY seq) AS lo, lag(seq) OVER (PARTITION BY user_id ORDER BY seq) AS ls FROM b)
-SELECT user_id, count(*) AS events, bool_and(seq = r) AS contiguous, bool_and(CASE WHEN ls = seq - 1 THEN lo END IS NOT DISTINCT FROM prev) AS linked, bool_and(own = h) AS hashed FROM l GROUP BY 1""")
+@query("s081_hash_chain", """WITH e AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, sha256(event_id || ':' || event_type) AS h FROM events), c AS (SELECT *, coalesce(lag(h) OVER (PARTITION BY user_id ORDER BY seq), CASE WHEN user_id % 7 <> 4 THEN 'sha256:' || repeat('0', 64) END) AS prev FROM e),
+b AS (SELECT user_id, CASE WHEN user_id % 7 = 1 AND seq >= 3 THEN seq + 1 WHEN user_id % 7 = 5 AND seq = 3 THEN 2 ELSE seq END AS seq, CASE WHEN user_id % 7 = 2 AND seq = 2 THEN 'x' ELSE prev END AS prev, CASE WHEN user_id % 7 = 3 AND seq = 2 THEN 'y' ELSE h END AS own, h FROM c),
+x AS (SELECT user_id, seq + 1 AS seq, min(own) AS lo, max(own) AS hi FROM b GROUP BY 1, 2),
+l AS (SELECT b.*, row_number() OVER (PARTITION BY b.user_id ORDER BY b.seq) AS r, CASE WHEN b.seq = 1 THEN 'sha256:' || repeat('0', 64) WHEN lo = hi THEN lo END AS want FROM b LEFT JOIN x ON x.user_id = b.user_id AND x.seq = b.seq)
+SELECT user_id, count(*) AS events, bool_and(seq = r) AS contiguous, bool_and(want IS NOT DISTINCT FROM prev) AS linked, bool_and(own = h) AS hashed FROM l GROUP BY 1""")
 def _(t):
     from pyspark.sql import Window
 
     w, u = Window.partitionBy("user_id").orderBy("ts", "event_id"), F.col("user_id") % 7
     h = F.sha2(F.concat(F.col("event_id").cast("string"), F.lit(":"), "event_type"), 256)
-    e = t("events").withColumn("n", F.row_number().over(w)).withColumn("prev", F.lag(h).over(w))  # chains with gaps, false links and false hashes
+    e = t("events").withColumn("n", F.row_number().over(w)).withColumn("prev", F.coalesce(F.lag(h).over(w), F.when(u != 4, ledgers.ZERO)))  # chains with gaps, repeated numbers, false links, no beginning and false hashes
     n = F.col("n")
-    e = e.withColumn("seq", F.when((u == 1) & (n >= 3), n + 1).otherwise(n)).withColumn("prev", F.when((u == 2) & (n == 2), "x").otherwise(F.col("prev"))).withColumn("own", F.when((u == 3) & (n == 2), "y").otherwise(h))
+    e = e.withColumn("seq", F.when((u == 1) & (n >= 3), n + 1).when((u == 5) & (n == 3), 2).otherwise(n)).withColumn("prev", F.when((u == 2) & (n == 2), "x").otherwise(F.col("prev"))).withColumn("own", F.when((u == 3) & (n == 2), "y").otherwise(h))
     return ledgers.verify_chain(e, "user_id", "seq", "prev", "own", h)
 
 
