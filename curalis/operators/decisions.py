@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curalis.functions.columns import sorted_set
+from curalis.operators.duplicates import kept
 
 # fixed values: states that a role, mainline or attempt may assert, limitations and recommendation codes
 ROLE_STATES = ["ACTIVE_MAINLINE", "REQUIRED_COMPATIBILITY", "HISTORICAL_EVIDENCE", "EXPERIMENTAL_ACTIVE"]
@@ -17,31 +18,39 @@ STRINGS = "array<string>"
 
 
 def latest(df: DataFrame, key: str, ordinal: str) -> DataFrame:
-    """One row a key, the one with the greatest ordinal: later declarations of a key replace earlier ones."""
+    """One row a key, the one with the greatest ordinal: later declarations of a key replace earlier ones. Of equal ordinals the greatest row counts."""
     rest = [c for c in df.columns if c not in (key, ordinal)]
-    return df.groupBy(key).agg(F.max_by(F.struct(*rest), ordinal).alias("_v")).select(key, "_v.*")
+    return df.groupBy(key).agg(F.max(F.struct(ordinal, *rest)).alias("_v")).select(key, *[F.col(f"_v.{c}").alias(c) for c in rest])
+
+
+def _by_key(sides: dict[str, DataFrame], key: str) -> DataFrame:
+    """One row a key with a struct column for each side, null where the side has none: the sides are stacked and taken together in one aggregation, in which of several rows of a side the greatest counts."""
+    kinds = {n: f"struct<{','.join(f'{c}:{d}' for c, d in df.drop(key).dtypes)}>" for n, df in sides.items()}
+    tall = None
+    for n, df in sides.items():
+        rest = [c for c in df.columns if c != key]
+        one = df.select(key, *[F.struct(*rest).cast(k).alias(m) if m == n else F.lit(None).cast(k).alias(m) for m, k in kinds.items()])
+        tall = one if tall is None else tall.unionByName(one)
+    return tall.groupBy(key).agg(*[F.max(n).alias(n) for n in kinds])
 
 
 def fan_in(inventory: DataFrame, mainline: DataFrame, roles: DataFrame, attempts: DataFrame, candidates: DataFrame, comparisons: DataFrame, members: DataFrame, duplicates: DataFrame, declarations: DataFrame) -> DataFrame:
-    """Everything known of each artifact, for `classify`: eight left joins on artifact_id or path.
+    """Everything known of each artifact, for `classify`: all that is known by artifact_id in one table and all that is known by path in another, each joined once.
 
     inventory(artifact_id, path, object_type, warnings); mainline(artifact_id, ordinal, status, support, counter, uncertainty); roles(artifact_id, ordinal,
     role, support, limits); attempts(path, ordinal, result, support, limits); candidates(path); comparisons(left_path, right_path, subtype);
     members(artifact_id, bundle, completeness); duplicates(artifact_id, support); declarations(artifact_id, support, limits).
     """
-    def of(df: DataFrame, key: str, name: str) -> DataFrame:
-        one = latest(df, key, "ordinal")
-        return one.select(key, *[F.col(c).alias(f"{name}_{c}") for c in one.columns if c != key])
-
-    clash = comparisons.filter("subtype = 'DO_NOT_MERGE'").select(F.explode(F.array("left_path", "right_path")).alias("path")).distinct().withColumn("document_conflict", F.lit(True))
-    chosen = candidates.select("path").distinct().withColumn("candidate", F.lit(True))
-    bundled = members.filter("artifact_id is not null").groupBy("artifact_id").agg(sorted_set(F.collect_set("bundle")).alias("bundles"), F.bool_or(F.col("completeness") != COMPLETE).alias("bundle_guard"))
-    dup = duplicates.groupBy("artifact_id").agg(F.first("support").alias("duplicate_support"))
-    declared = declarations.groupBy("artifact_id").agg(F.first("support").alias("declaration_support"), F.first("limits").alias("declaration_limits"))
-    out = inventory.select("artifact_id", "path", "object_type", "warnings")
-    for right, key in ((of(mainline, "artifact_id", "mainline"), "artifact_id"), (of(roles, "artifact_id", "role"), "artifact_id"), (of(attempts, "path", "attempt"), "path"), (chosen, "path"), (clash, "path"), (bundled, "artifact_id"), (dup, "artifact_id"), (declared, "artifact_id")):
-        out = out.join(right, key, "left")
-    return out.fillna(False, ["candidate", "document_conflict", "bundle_guard"])
+    yes = F.lit(True)
+    clash = comparisons.filter("subtype = 'DO_NOT_MERGE'").select(F.explode(F.array("left_path", "right_path")).alias("path")).distinct().select("path", yes.alias("is"))
+    bundled = members.filter("artifact_id is not null").groupBy("artifact_id").agg(sorted_set(F.collect_set("bundle")).alias("bundles"), F.bool_or(F.col("completeness") != COMPLETE).alias("guard"))
+    by_id = _by_key({"mainline": mainline.select("artifact_id", "ordinal", "status", "support", "counter", "uncertainty"), "role": roles.select("artifact_id", "ordinal", "role", "support", "limits"), "bundled": bundled, "duplicate": duplicates.select("artifact_id", "support"), "declaration": declarations.select("artifact_id", "support", "limits")}, "artifact_id")
+    by_path = _by_key({"attempt": attempts.select("path", "ordinal", "result", "support", "limits"), "candidate": candidates.select("path", yes.alias("is")), "clash": clash}, "path")
+    j = inventory.select("artifact_id", "path", "object_type", "warnings").join(by_id, "artifact_id", "left").join(by_path, "path", "left")
+    of = lambda side, *cs: [F.col(f"{side}.{c}").alias(f"{side}_{c}") for c in cs]
+    flag = lambda c, name: F.coalesce(F.col(c), F.lit(False)).alias(name)
+    return j.select("artifact_id", "path", "object_type", "warnings", *of("mainline", "status", "support", "counter", "uncertainty"), *of("role", "role", "support", "limits"), *of("attempt", "result", "support", "limits"),
+                    flag("candidate.is", "candidate"), flag("clash.is", "document_conflict"), F.col("bundled.bundles").alias("bundles"), flag("bundled.guard", "bundle_guard"), *of("duplicate", "support"), *of("declaration", "support", "limits"))
 
 
 def _all(*arrays: Column) -> Column:
@@ -135,9 +144,9 @@ def mainline_status(claims: DataFrame, path: str = "path", status: str = "status
 
 
 def top_k(df: DataFrame, keys: list[Column], k: int) -> DataFrame:
-    """The first k rows and, on each, how many the report omits."""
-    n = df.agg(F.count("*").alias("_n"))
-    return df.orderBy(*keys).limit(k).withColumn("omitted", F.greatest(n.scalar() - k, F.lit(0)))
+    """The first k rows and, on each, how many the report omits. df is computed once, for the count and for the rows."""
+    d = kept(df)
+    return d.orderBy(*keys).limit(k).withColumn("omitted", F.lit(max(d.count() - k, 0)))
 
 
 def top_k_per(df: DataFrame, part: list[str], keys: list[Column], k: int) -> DataFrame:

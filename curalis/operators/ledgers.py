@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from curalis.functions.columns import basename, depth, json_object, json_string, parent
+from curalis.functions.columns import basename, depth, json_object, json_string, parent, sorted_set
+from curalis.operators.duplicates import kept
 
 
 ZERO = "sha256:" + "0" * 64  # fixed value: what the first event names
@@ -70,32 +71,29 @@ def merkle_directories(nodes: DataFrame) -> DataFrame:
     identity is the hash of its children's manifest in the order of their names; it has none where a child has none, whose warnings it takes over, or
     where it has warnings of its own. A level is one aggregation, written down, so that the next one reads its rows; all levels count, however deep.
     """
-    d = nodes.withColumn("_depth", depth(F.col("path"))).withColumn("_p", parent(F.col("path"))).withColumn("warnings", F.coalesce("warnings", F.array().cast("array<string>")))
-    d = d.checkpoint() if _checkpoints(d) else d.persist()
+    none = F.array().cast("array<string>")
+    d = kept(nodes.withColumn("_depth", depth(F.col("path"))).withColumn("_p", parent(F.col("path"))).withColumn("warnings", F.coalesce("warnings", none)))
     deepest = d.agg(F.max("_depth")).first()[0] or 0
-    out = None
-    for level in range(deepest, 0, -1):
-        here = d.filter((F.col("_depth") == level) & (F.col("object_type") != "DIRECTORY")).select("path", "_p", "object_type", "content_id", "executable", "symlink_target_text", "warnings")
-        if out is not None:
-            up = out.filter(F.col("_depth") == level)
-            dirs = d.filter((F.col("_depth") == level) & (F.col("object_type") == "DIRECTORY"))
-            here = here.unionByName(dirs.select("path", "_p", "object_type", "executable", "symlink_target_text").join(up.select("path", "content_id", "warnings"), "path", "left"))
+    folder = F.col("object_type") == "DIRECTORY"
+    empty = F.concat(F.lit("merkle-dir-v1:"), F.sha2(F.lit("[]"), 256))
+    below, levels = None, []
+    for level in range(deepest, -1, -1):
+        dirs = d.filter((F.col("_depth") == level) & folder).select("path", "_p", "executable", F.col("warnings").alias("own"))
+        if below is None:
+            now = dirs.withColumn("content_id", F.when(F.size("own") == 0, empty)).withColumnRenamed("own", "warnings")
         else:
-            here = here.unionByName(d.filter((F.col("_depth") == level) & (F.col("object_type") == "DIRECTORY")).select("path", "_p", "object_type", F.lit(None).cast("string").alias("content_id"), "executable", "symlink_target_text", "warnings"))
-        child = json_object([("content_id", json_string(F.col("content_id"))), ("executable", F.coalesce("executable", F.lit(False)).cast("string")), ("name", json_string(basename(F.col("path")))), ("object_type", json_string(F.col("object_type"))), ("symlink_target_text", json_string(F.col("symlink_target_text")))])
-        g = here.groupBy("_p").agg(F.array_sort(F.collect_list(F.struct(basename(F.col("path")).alias("k"), child.alias("j")))).alias("x"), F.bool_and(F.col("content_id").isNotNull()).alias("ok"), F.flatten(F.collect_set(F.when(F.col("content_id").isNull(), F.col("warnings")))).alias("taken"))
-        own = d.filter((F.col("_depth") == level - 1) & (F.col("object_type") == "DIRECTORY")).select(F.col("path").alias("_p"), F.col("warnings").alias("own"))
-        j = g.join(own, "_p", "left").withColumn("own", F.coalesce("own", F.array().cast("array<string>")))
-        manifest = F.concat(F.lit("["), F.array_join(F.transform("x", lambda x: x["j"]), ","), F.lit("]"))
-        now = j.select(F.col("_p").alias("path"), F.lit(level - 1).alias("_depth"), F.when(F.col("ok") & (F.size("own") == 0), F.concat(F.lit("merkle-dir-v1:"), F.sha2(manifest, 256))).alias("content_id"), F.array_sort(F.array_distinct(F.when(F.col("ok"), F.col("own")).otherwise(F.concat("own", "taken")))).alias("warnings"))
-        now = now.checkpoint() if _checkpoints(d) else now.persist()
-        out = now if out is None else out.unionByName(now)
-    empty = d.filter((F.col("object_type") == "DIRECTORY")).select("path", "_depth", "warnings")
-    if out is None:
-        out = empty.limit(0).select("path", "_depth", F.lit(None).cast("string").alias("content_id"), "warnings")
-    bare = empty.join(out, "path", "left_anti").select("path", "_depth", F.when(F.size("warnings") == 0, F.concat(F.lit("merkle-dir-v1:"), F.sha2(F.lit("[]"), 256))).alias("content_id"), "warnings")
-    return out.unionByName(bare).select("path", "content_id", "warnings")
-
-
-def _checkpoints(df: DataFrame) -> bool:
-    return df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
+            child = json_object([("content_id", json_string(F.col("content_id"))), ("executable", F.coalesce("executable", F.lit(False)).cast("string")), ("name", json_string(basename(F.col("path")))), ("object_type", json_string(F.col("object_type"))), ("symlink_target_text", json_string(F.col("symlink_target_text")))])
+            g = below.groupBy(F.col("_p").alias("path")).agg(F.array_sort(F.collect_list(F.struct(basename(F.col("path")).alias("k"), child.alias("j")))).alias("x"), F.bool_and(F.col("content_id").isNotNull()).alias("ok"), F.flatten(F.collect_set(F.when(F.col("content_id").isNull(), F.col("warnings")))).alias("taken"))
+            j = dirs.join(g, "path", "left")
+            manifest = F.concat(F.lit("["), F.array_join(F.transform("x", lambda x: x["j"]), ","), F.lit("]"))
+            identity = F.when(F.col("x").isNull(), empty).otherwise(F.concat(F.lit("merkle-dir-v1:"), F.sha2(manifest, 256)))
+            ok = F.coalesce("ok", F.lit(True))
+            now = j.select("path", "_p", "executable", F.when(ok & (F.size("own") == 0), identity).alias("content_id"), sorted_set(F.when(ok, F.col("own")).otherwise(F.concat("own", "taken"))).alias("warnings"))
+        now = kept(now)
+        levels.append(now)
+        files = d.filter((F.col("_depth") == level) & ~folder).select("path", "_p", "object_type", "content_id", "executable", "symlink_target_text", "warnings")
+        below = files.unionByName(now.select("path", "_p", F.lit("DIRECTORY").alias("object_type"), "content_id", "executable", F.lit(None).cast("string").alias("symlink_target_text"), "warnings"))
+    out = levels[0]
+    for x in levels[1:]:
+        out = out.unionByName(x)
+    return out.select("path", "content_id", "warnings")

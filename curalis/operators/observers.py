@@ -145,16 +145,29 @@ def retention_rules(claims: DataFrame) -> DataFrame:
     return claims.select("path", "source_path", "status").distinct()
 
 
-def conflict_records(claims: DataFrame, statuses: DataFrame) -> DataFrame:
-    """(path, claims) of unresolved paths with all that is claimed of them; of an entry point that is not the only one, what is claimed of all of them."""
+RIVALS = "ACTIVE_MAINLINE"
+
+
+def conflict_classes(claims: DataFrame, statuses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members(path, class), class_claims(class, and the columns of claims but path)) of unresolved paths: what is claimed once for each class, and which paths share it.
+
+    Entry points that are not the only one are one class, with all that is claimed of any of them; every other path is a class of its own, named by it. Both tables are as long as the claims."""
     bad = statuses.filter("status = 'UNRESOLVED'").select("path")
     own = claims.join(bad, "path", "left_semi")
-    active = own.filter("status = 'ACTIVE_MAINLINE'").select("path").distinct()
-    several = active.agg(F.count("*").alias("n"))
-    text = F.concat_ws(":", "source_path", "status")
-    rivals = active.filter(several.scalar() > 1).select(F.col("path").alias("of")).crossJoin(F.broadcast(own.filter("status = 'ACTIVE_MAINLINE'").select("source_path", "status").distinct()))
-    plain = own.join(active.filter(several.scalar() > 1), "path", "left_anti").select(F.col("path").alias("of"), "source_path", "status")
-    return plain.unionByName(rivals).groupBy(F.col("of").alias("path")).agg(sorted_set(F.collect_set(text)).alias("claims"))
+    active = own.filter(F.col("status") == RIVALS).select("path").distinct()
+    several = active.agg(F.count("*").alias("n")).filter("n > 1").select(F.lit(RIVALS).alias("status"))  # one row or none
+    rivals = active.withColumn("status", F.lit(RIVALS)).join(F.broadcast(several), "status", "left_semi").select("path", F.lit("*").alias("class"))
+    j = own.join(rivals, "path", "left")
+    members = j.select("path", F.coalesce("class", F.concat(F.lit("/"), "path")).alias("class")).distinct()
+    told = j.filter(F.col("class").isNull() | (F.col("status") == RIVALS)).select(F.coalesce("class", F.concat(F.lit("/"), "path")).alias("class"), *[c for c in claims.columns if c != "path"])
+    return members, told
+
+
+def conflict_records(claims: DataFrame, statuses: DataFrame) -> DataFrame:
+    """(path, claims) of unresolved paths with all that is claimed of their class; a class of many paths is repeated at each: ask conflict_classes where there may be many."""
+    members, told = conflict_classes(claims, statuses)
+    text = told.select("class", F.concat_ws(":", "source_path", "status").alias("t")).groupBy("class").agg(sorted_set(F.collect_set("t")).alias("claims"))
+    return members.join(text, "class").select("path", "claims")
 
 
 def declaration_family(path: Column, object_type: Column | None = None) -> Column:

@@ -170,6 +170,22 @@ def _(t):
     return O.conflict_records(c, decisions.mainline_status(c)).withColumn("claims", F.array_join("claims", ","))
 
 
+_CLASSES = _ST + """, b AS (SELECT path FROM sx WHERE status = 'UNRESOLVED'), o AS (SELECT ic.* FROM ic JOIN b USING (path)), act AS (SELECT DISTINCT path FROM o WHERE status = 'ACTIVE_MAINLINE'),
+cl AS (SELECT o.*, CASE WHEN path IN (SELECT path FROM act) AND (SELECT count(*) FROM act) > 1 THEN '*' ELSE '/' || path END AS class FROM o) """
+
+
+@query("s148_conflict_members", _CLASSES + "SELECT DISTINCT path, class FROM cl")
+def _(t):
+    c = _claims(t)
+    return O.conflict_classes(c, decisions.mainline_status(c))[0]
+
+
+@query("s148_conflict_claims", _CLASSES + "SELECT class, source_path, status, count(*) AS n FROM cl WHERE class <> '*' OR status = 'ACTIVE_MAINLINE' GROUP BY 1, 2, 3")
+def _(t):
+    c = _claims(t)
+    return O.conflict_classes(c, decisions.mainline_status(c))[1].groupBy("class", "source_path", "status").agg(F.count("*").alias("n"))
+
+
 def _names(t, names):
     k = F.col("p_partkey")
     return t("part").filter(k < len(names)).select(F.get(F.array(*map(F.lit, names)), k.cast("int")).alias("path"))

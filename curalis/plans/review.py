@@ -82,8 +82,10 @@ def _(t):
     return decisions.recommend(classified(t)).select("artifact_id", "recommendation", "expected_loss", "availability", F.array_join("limitations", ",").alias("limitations"))
 
 
-def _plan(t) -> DataFrame:
-    return decisions.plan(decisions.recommend(classified(t)), _sides(t)["comparisons"])
+def _plan(t, c: DataFrame | None = None) -> DataFrame:
+    """The plan of a classification, made here where there is none."""
+    s = _sides(t)
+    return decisions.plan(decisions.recommend(decisions.classify(decisions.fan_in(**s)) if c is None else c), s["comparisons"])
 
 
 @query("s147_document_recommendations", _SIDES + "SELECT subject, rec AS recommendation, loss AS expected_loss, array_to_string(rlim, ',') AS limitations FROM pl WHERE state IS NULL")
@@ -112,13 +114,15 @@ def _(t):
 
 @query("s132_next_action", _ATT + "SELECT CASE WHEN (SELECT count(*) FROM d WHERE len(cnt) > 0) > 0 THEN 'REVIEW_DECISION_QUESTION' WHEN (SELECT count(*) FROM att) > 0 THEN 'REVIEW_HIGHEST_PRIORITY_ITEM' ELSE 'RETAIN_SHADOW_REPORT' END AS action")
 def _(t):
-    c = classified(t).agg(F.count_if(F.size("counter") > 0).alias("questions"))
-    return c.withColumn("items", decisions.attention(_plan(t)).agg(F.count("*").alias("n")).scalar()).select(decisions.next_action(F.col("questions"), F.col("items")).alias("action"))
+    c = duplicates.kept(classified(t))
+    items = decisions.attention(_plan(t, c)).count()
+    return c.agg(F.count_if(F.size("counter") > 0).alias("questions")).select(decisions.next_action(F.col("questions"), F.lit(items)).alias("action"))
 
 
 @query("s092_evidence_coverage", _SIDES + "SELECT 'CLASSIFICATION' AS claim_kind, artifact_id AS claim_id, CASE WHEN len(sup) = 0 THEN 'UNSUPPORTED' WHEN len(cnt) = 0 AND len(lim) = 0 THEN 'SUPPORTED' ELSE 'PARTIAL' END AS status FROM d UNION ALL SELECT 'RECOMMENDATION', subject, 'REVIEW_REQUIRED' FROM pl UNION ALL SELECT 'NEAR_DUPLICATE_CANDIDATE', CAST(item_id AS VARCHAR), 'REVIEW_REQUIRED' FROM benchmark")
 def _(t):
-    return decisions.evidence_coverage(classified(t), _plan(t), t("benchmark").select(F.col("item_id").cast("string").alias("candidate_id")))
+    c = duplicates.kept(classified(t))
+    return decisions.evidence_coverage(c, _plan(t, c), t("benchmark").select(F.col("item_id").cast("string").alias("candidate_id")))
 
 
 @query("s037_document_pairs", """WITH d AS (SELECT s_nationkey AS topic, s_name AS path, CASE WHEN s_acctbal > 5000 THEN 'expert' WHEN s_acctbal > 0 THEN 'user' END AS audience, CASE WHEN s_suppkey > 50 THEN 'current' ELSE 'draft' END AS lifecycle, CASE WHEN s_acctbal > 9000 THEN 'AUDIT_RECORD' WHEN s_acctbal > 8500 THEN 'DECISION_RECORD' END AS role,

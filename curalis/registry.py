@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from curalis.plans import bindings, files, nested, observers, rawrecords, review, scopes  # noqa: F401  (each adds its queries)
+from curalis.plans import bindings, files, nested, observers, rawrecords, registries, review, scopes  # noqa: F401  (each adds its queries)
 
 
 def queries() -> dict:
