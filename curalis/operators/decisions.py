@@ -127,9 +127,9 @@ def attention_priority(recommendation: Column, counter: Column, limitations: Col
 
 def attention(p: DataFrame, k: int = 25) -> DataFrame:
     """The k most urgent recommendations of a plan, and how many are omitted; what is kept or protected needs none."""
-    some = p.filter((F.col("recommendation") != "KEEP") & ~F.coalesce(F.col("state") == "PROTECTED", F.lit(False)))
-    some = some.select("subject", "recommendation", attention_priority(F.col("recommendation"), F.col("counter"), F.col("limitations")).alias("priority"))
-    return top_k(some, [F.col("priority"), F.col("subject")], k)
+    told = kept(p.select("subject", "recommendation", "state", attention_priority(F.col("recommendation"), F.col("counter"), F.col("limitations")).alias("priority")))
+    some = told.filter((F.col("recommendation") != "KEEP") & ~F.coalesce(F.col("state") == "PROTECTED", F.lit(False))).drop("state")
+    return _first(some, [F.col("priority"), F.col("subject")], k)
 
 
 def next_action(questions: Column, items: Column) -> Column:
@@ -145,8 +145,11 @@ def mainline_status(claims: DataFrame, path: str = "path", status: str = "status
 
 def top_k(df: DataFrame, keys: list[Column], k: int) -> DataFrame:
     """The first k rows and, on each, how many the report omits. df is computed once, for the count and for the rows."""
-    d = kept(df)
-    return d.orderBy(*keys).limit(k).withColumn("omitted", F.lit(max(d.count() - k, 0)))
+    return _first(kept(df), keys, k)
+
+
+def _first(df: DataFrame, keys: list[Column], k: int) -> DataFrame:
+    return df.orderBy(*keys).limit(k).withColumn("omitted", F.lit(max(df.count() - k, 0)))
 
 
 def top_k_per(df: DataFrame, part: list[str], keys: list[Column], k: int) -> DataFrame:

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from curalis.functions.columns import size_bucket, suffix, tokens
 
 
+FREQUENT = 100_000  # tokens of more than one in so many places are broadcast with their counts
+
+
 def kept(df: DataFrame) -> DataFrame:
     """df computed once: a checkpoint in the shared folder where the session names one, else kept by the executors."""
     return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.persist()
@@ -41,14 +44,21 @@ def near_classes(artifacts: DataFrame, tenths: int = 7) -> tuple[DataFrame, Data
     d = kept(d).withColumn("n", F.size("toks")).filter("n >= 3")  # texts are read and split once for the four uses below
     keep = F.col("n") - F.floor((tenths * F.col("n") + 9) / 10) + 1
     each = d.select("id", "suffix", "bucket", "n", F.explode("toks").alias("tok"))
-    rare = each.join(each.groupBy("tok").agg(F.count("*").alias("df")), "tok").groupBy("id", "suffix", "bucket", "n").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("r"))
-    pre = kept(rare.select("id", "suffix", "bucket", "n", F.posexplode(F.slice("r", 1, keep.cast("int"))).alias("at", "t")).select("id", "suffix", "bucket", "n", "at", "t.tok"))
-    a, b = pre.alias("a"), pre.alias("b")
+    # any order of tokens that is the same for all documents will do; the rare ones need not be told apart, and of those that make up more than one in FREQUENT of all there are fewer than that
+    total = d.agg(F.sum("n")).first()[0] or 0
+    often = each.groupBy("tok").agg(F.count("*").alias("df")).filter(F.col("df") * FREQUENT > total)
+    ranked = each.join(F.broadcast(often), "tok", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    rare = ranked.groupBy("id", "suffix", "bucket", "n").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("r"))
+    # sizes that differ by less than the threshold are in one class or in two that are next to each other
+    size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(10.0 / tenths)) + 1e-9).cast("int")
+    pre = kept(rare.select("id", "suffix", "bucket", "n", size.alias("size"), F.posexplode(F.slice("r", 1, keep.cast("int"))).alias("at", "t")).select("id", "suffix", "bucket", "n", "size", "at", "t.tok"))
+    a, b = pre.withColumn("size", F.explode(F.array("size", F.col("size") + 1))).alias("a"), pre.alias("b")
     # common tokens of a pair that shares its first one here: at most one more than the fewer that are left in either list
     most = 1 + F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) - 1
     enough = 10 * most >= tenths * (F.col("a.n") + F.col("b.n") - most)
-    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("suffix", "bucket", "tok")]
-    c = a.join(b, [*on, F.col("a.id") < F.col("b.id"), tenths * F.greatest("a.n", "b.n") <= 10 * F.least("a.n", "b.n"), enough]).select(F.col("a.id").alias("ia"), F.col("b.id").alias("ib")).distinct()
+    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("suffix", "bucket", "tok", "size")]
+    smaller = (F.col("a.n") < F.col("b.n")) | (F.col("a.n") == F.col("b.n")) & (F.col("a.id") < F.col("b.id"))
+    c = a.join(b, [*on, smaller, tenths * F.col("b.n") <= 10 * F.col("a.n"), enough]).select(F.least("a.id", "b.id").alias("ia"), F.greatest("a.id", "b.id").alias("ib")).distinct()
     side = lambda x: d.select(F.col("id").alias(f"i{x}"), F.col("toks").alias(f"t{x}"), F.col("content_id").alias(f"c{x}"), *(["suffix", "bucket"] if x == "a" else []))
     i = F.size(F.array_intersect("ta", "tb"))
     hit = c.join(side("a"), "ia").join(side("b"), "ib").withColumn("i", i).withColumn("u", F.size("ta") + F.size("tb") - F.col("i")).filter(f"10 * i >= {tenths} * u")
