@@ -88,8 +88,8 @@ def actions(e: DataFrame, found: DataFrame) -> DataFrame:
     return a.select("graph", *cols)
 
 
-def action_summary(e: DataFrame, found: DataFrame) -> DataFrame:
-    """(graph, status, actions, omitted, limitations) of every graph."""
+def action_summary(e: DataFrame, found: DataFrame, faults: DataFrame | None = None) -> DataFrame:
+    """(graph, status, actions, omitted, limitations) of every graph. faults(graph, fault), as graph_items() gives them, are limitations too: a bound on entities, malformed ones, ids that repeat."""
     a = actions(e, found)
     is_action = F.exists(types(F.col("entity")), lambda x: F.regexp_replace(x, VOCABULARY, "") == ACTION)
     total = e.groupBy("graph").agg(F.count_if(is_action).alias("n"))
@@ -100,7 +100,11 @@ def action_summary(e: DataFrame, found: DataFrame) -> DataFrame:
     j = found.join(total, "graph", "left").join(g, "graph", "left")
     root, n, shown = F.col("root_id").isNotNull(), F.coalesce("n", F.lit(0)), F.coalesce("shown", F.lit(0))
     over = F.when(root & (n > MOST_ACTIONS), "WORKFLOW_RUN_ACTION_LIMIT")
-    limits = sorted_set(F.array_compact(F.concat(F.coalesce("l", F.array().cast("array<string>")), F.array(F.col("limitation"), over))))
+    more = F.array().cast("array<string>")
+    if faults is not None:
+        j = j.join(faults.filter("fault is not null").groupBy("graph").agg(F.collect_set("fault").alias("faults")), "graph", "left")
+        more = F.coalesce("faults", more)
+    limits = sorted_set(F.array_compact(F.concat(F.coalesce("l", F.array().cast("array<string>")), F.array(F.col("limitation"), over), more)))
     return j.select("graph", F.when(~root, "UNAVAILABLE").when(F.size(limits) > 0, "OBSERVED_WITH_LIMITATIONS").otherwise("OBSERVED").alias("status"), F.when(root, n).otherwise(0).cast("long").alias("actions"), F.when(root, n - shown).otherwise(0).cast("long").alias("omitted"), limits.alias("limitations"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curalis.functions.columns import sorted_set
+from curalis.operators.duplicates import dense_ids
 
 
 def groups(df: DataFrame, key: str, member: str, least: int = 2, most: int | None = None) -> DataFrame:
@@ -41,6 +42,20 @@ def episode_coverage(declared: Column, cochange: Column, history: Column, oversi
     return status, F.array_sort(F.array_compact(limits))
 
 
+def family_coverage(families: Column, syntax: Column) -> tuple[Column, Column]:
+    """(status, limitations) of capability families from their count and whether there is syntax that was observed."""
+    status = F.when(families > 0, "AVAILABLE_DECLARED_ONLY").when(syntax, "PARTIAL_SYNTAX_ONLY").otherwise("UNAVAILABLE")
+    only = F.array(F.lit("CAPABILITY_FAMILY_SYNTAX_ONLY_NO_EQUIVALENCE"), F.lit("PYTHON_SYNTAX_NOT_RUNTIME_BEHAVIOR"))
+    return status, F.when(families > 0, F.array(F.lit("CAPABILITY_FAMILY_DECLARED_ONLY"))).when(syntax, only).otherwise(F.array(F.lit("CAPABILITY_FAMILY_EVIDENCE_UNAVAILABLE")))
+
+
+def role_coverage(declared: Column, resolved: Column, syntax: Column) -> tuple[Column, Column]:
+    """(status, limitations) of implementation roles: whether there is a manifest that declares, how many roles are resolved, and whether there is syntax that was observed."""
+    told = declared & (resolved > 0)
+    status = F.when(told, "PARTIAL_DECLARED_ONLY").when(syntax, "PARTIAL_SYNTAX_ONLY").otherwise("UNAVAILABLE")
+    return status, F.when(told, F.array(F.lit("IMPLEMENTATION_ROLE_DECLARED_ONLY"))).when(syntax, F.array(F.lit("PYTHON_SYNTAX_NOT_RUNTIME_BEHAVIOR"))).otherwise(F.array(F.lit("IMPLEMENTATION_ROLE_EVIDENCE_UNAVAILABLE")))
+
+
 # fixed values: roles of documents that are never merged
 RECORD_ROLES = ["DECISION_RECORD", "AUDIT_RECORD"]
 
@@ -86,9 +101,11 @@ def incomplete_guard(members: DataFrame, completeness: DataFrame, bundle: str, a
     return members.join(completeness.select(bundle, "completeness"), bundle).groupBy(artifact).agg(F.bool_or(F.col("completeness") != "COMPLETE").alias("guarded"))
 
 
-def declared_edges(members: DataFrame, bundle: str, role: str, path: str, artifact: str) -> DataFrame:
-    """DECLARED_<ROLE> edges bundle -> artifact; members without an artifact have none."""
-    return members.filter(F.col(artifact).isNotNull()).select(F.col(bundle).alias("source"), F.col(artifact).alias("target"), F.concat(F.lit("DECLARED_"), F.upper(role)).alias("type"), F.col(path).alias("path"))
+def declared_edges(members: DataFrame, bundle: str, role: str, path: str, artifact: str, prefix: str = "relationship_run_declared_") -> DataFrame:
+    """DECLARED_<ROLE> edges bundle -> artifact, numbered by bundle, role and path; members without an artifact have none and no number."""
+    e = members.filter(F.col(artifact).isNotNull()).select(F.col(bundle).alias("source"), F.col(artifact).alias("target"), F.upper(role).alias("_r"), F.col(path).alias("path"))
+    n = dense_ids(e, ["source", "_r", "path"], "relationship_id", prefix, first=1)
+    return n.select("relationship_id", "source", "target", F.concat(F.lit("DECLARED_"), "_r").alias("type"), "path")
 
 
 def resolve_references(refs: DataFrame, entities: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from curalis.functions.columns import json_string
+
 
 def changes(prior: DataFrame, current: DataFrame, path: str = "path", content: str = "content_id") -> DataFrame:
     """(path, change): ADDED, REMOVED or CHANGED; null contents are equal to each other. One full outer join."""
@@ -55,6 +57,19 @@ def unchanged_state(baseline: DataFrame, moved: DataFrame, key: str = "path") ->
     return baseline.join(moved.select(key).distinct(), key, "left_anti")
 
 
+def expected_state(baseline: DataFrame, moved: DataFrame, heads: DataFrame, part: str) -> DataFrame:
+    """(part, state): the identity that a part is expected to have after the moves completed so far: the hash of canonical JSON of its records that are left and of its head, in the order of paths.
+
+    baseline(part, path, kind, size, mode, digest); moved(part, path); heads(part, head), one for each part. A part's lines meet in one row, as its identity is a hash of them all."""
+    left = baseline.join(moved.select(part, "path").distinct(), [part, "path"], "left_anti")
+    text, number = lambda c: json_string(F.col(c)), lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    row = lambda *x: F.concat(F.lit("["), F.concat_ws(",", *x), F.lit("]"))
+    lines = left.select(part, "path", row(text("path"), text("kind"), number("size"), number("mode"), text("digest")).alias("j"))
+    lines = lines.unionByName(heads.select(part, F.lit(".git/HEAD").alias("path"), row(F.lit('".git/HEAD"'), F.lit('"GIT_HEAD"'), text("head")).alias("j")))
+    g = lines.groupBy(part).agg(F.array_sort(F.collect_list(F.struct("path", "j"))).alias("x"))
+    return g.select(part, F.concat(F.lit("sha256:"), F.sha2(F.concat(F.lit("["), F.array_join(F.transform("x", lambda x: x.j), ","), F.lit("]")), 256)).alias("state"))
+
+
 def purge_descendants(paths: DataFrame, dirs: DataFrame, path: str = "path") -> DataFrame:
     """Rows that lie under none of dirs(path): each row's ancestors are looked up, not each directory compared."""
     parts = F.split(F.col(path), "/")

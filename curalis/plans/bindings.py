@@ -245,9 +245,12 @@ def _(t):
     return relationships.incomplete_guard(m, relationships.bundle_completeness(m, "bundle"), "bundle", "artifact_id").filter("artifact_id is not null")
 
 
-@query("s136_declared_edges", _BUNDLE + "SELECT bundle AS source, artifact_id AS target, 'DECLARED_OUTPUT' AS type FROM m WHERE artifact_id IS NOT NULL")
+@query("s136_declared_edges", _BUNDLE + """, k AS (SELECT bundle AS source, artifact_id AS target, line, artifact_id AS a, 'DECLARED_' || CASE WHEN line < 3 THEN 'INPUT' ELSE 'OUTPUT' END AS type FROM m WHERE artifact_id IS NOT NULL)
+SELECT 'relationship_run_declared_' || lpad(CAST(row_number() OVER (ORDER BY source, type, line, a) AS VARCHAR), 8, '0') AS relationship_id, source, target, type FROM k""")
 def _(t):
-    return relationships.declared_edges(bundle_members(t).withColumn("role", F.lit("output")), "bundle", "role", "path", "artifact_id").drop("path")
+    m = bundle_members(t)
+    line = F.concat(F.lpad(F.col("line").cast("string"), 3, "0"), F.lpad(F.coalesce(F.col("artifact_id"), F.lit(0)).cast("string"), 12, "0"))
+    return relationships.declared_edges(m.withColumn("role", F.when(F.col("line") < 3, "input").otherwise("output")).withColumn("path", line), "bundle", "role", "path", "artifact_id").drop("path")
 
 
 @query("s126_first_attempts", "WITH r AS (SELECT o_custkey AS attempt, o_orderkey AS ordinal, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k, count(*) OVER (PARTITION BY o_custkey) - 1 AS gaps FROM orders) SELECT attempt, ordinal, gaps FROM r WHERE k = 1")

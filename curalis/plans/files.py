@@ -72,6 +72,19 @@ def _(t):
     return s.select("path", "object_type", F.when(F.col("object_type") == "REGULAR_FILE", F.col("size_bytes")).alias("size_bytes"), "symlink_target_text", F.array_join("warnings", ",").alias("warnings"), "limitation", "content_id")
 
 
+_PART = "unhex(printf('%016x', strlen({0}))) || encode({0})"
+
+
+@query("s021_inventory_records", _TREE + f"""SELECT 'art_r_' || lpad(CAST(row_number() OVER (ORDER BY path) AS VARCHAR), 8, '0') AS artifact_id, path AS repository_relative_path, object_type, size_bytes, target AS symlink_target_text, CASE WHEN path = '.' THEN '/tree' ELSE '/tree/' || path END AS realpath,
+ CASE WHEN size_bytes <= 3000 THEN 'sha256-file-v1' END AS fingerprint_scheme, CASE WHEN size_bytes <= 3000 THEN sha256(coalesce(text, '')) END AS fingerprint, CASE WHEN size_bytes <= 3000 THEN 'sha256-file-v1:' || sha256(coalesce(text, '')) END AS content_id, CASE WHEN size_bytes <= 3000 THEN 'ELIGIBLE' ELSE 'NOT_APPLICABLE' END AS profile_eligibility,
+ CASE WHEN wide THEN 'DIRECTORY_ENTRY_LIMIT' WHEN object_type = 'SPECIAL_FILE' THEN 'SPECIAL_FILE_NOT_READ' WHEN size_bytes > 3000 THEN 'CONTENT_HASH_SKIPPED_SIZE_LIMIT' ELSE '' END AS warnings, sha256({_PART.format("'/tree'")} || {_PART.format('object_type')} || {_PART.format('path')}) AS location_id,
+ object_type IN ('DIRECTORY', 'SYMLINK') AS executable, false AS ignored_included, 'UNRESOLVED' AS lineage_status FROM l""")
+def _(t):
+    spark, root = _tree(t)
+    r = trees.inventory_records(trees.scan(spark, root, max_file=3000, max_total=1 << 50, max_entries=10, slices=8), "/tree", "r", "now", "v1")
+    return r.withColumn("warnings", F.array_join("warnings", ",")).select("artifact_id", "repository_relative_path", "object_type", "size_bytes", "symlink_target_text", "realpath", "fingerprint_scheme", "fingerprint", "content_id", "profile_eligibility", "warnings", "location_id", "executable", "git_state.ignored_included", "lineage_status")
+
+
 @query("s004_scanned_links", _TREE + """, x AS (SELECT path, target, parent FROM l WHERE object_type = 'SYMLINK')
 SELECT path, 'sha256-symlink-target-v1:' || sha256(target) AS fingerprint, CASE WHEN target = '../../../up' THEN 'SYMLINK_TARGET_OUTSIDE_ROOT' WHEN target LIKE 'gone%' THEN 'SYMLINK_TARGET_MISSING' WHEN NOT EXISTS (SELECT 1 FROM l WHERE l.path = split_part(x.path, '/', 1) || '/s0') THEN 'SYMLINK_TARGET_MISSING' END AS warning FROM x""")
 def _(t):

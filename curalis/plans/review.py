@@ -157,6 +157,15 @@ def _(t):
     return snapshots.unchanged_state(i.select("path"), i.filter("doc_id % 9 = 4"))
 
 
+@query("s093_expected_state_hash", W + """, l AS (SELECT source, path, '["' || path || '","FILE",' || size_bytes || ',420,"' || sha256(text) || '"]' AS j FROM inv WHERE doc_id % 9 <> 4 UNION ALL SELECT DISTINCT source, '.git/HEAD', '[".git/HEAD","GIT_HEAD","h-' || source || '"]' FROM inv)
+SELECT source, 'sha256:' || sha256('[' || string_agg(j, ',' ORDER BY path) || ']') AS state FROM l GROUP BY 1""")
+def _(t):
+    i = inventory(t)
+    base = i.select("source", "path", F.lit("FILE").alias("kind"), F.col("size_bytes").alias("size"), F.lit(0o644).alias("mode"), F.sha2("text", 256).alias("digest"))
+    heads = i.select("source").distinct().withColumn("head", F.concat(F.lit("h-"), "source"))
+    return snapshots.expected_state(base, i.filter("doc_id % 9 = 4").select("source", "path"), heads, "source")
+
+
 @query("s034_set_mismatch", "SELECT coalesce(c, o) AS custkey, CASE WHEN c IS NULL THEN 'RIGHT_ONLY' ELSE 'LEFT_ONLY' END AS side FROM (SELECT DISTINCT c_custkey AS c FROM customer WHERE c_custkey % 10 <> 0) FULL JOIN (SELECT DISTINCT o_custkey AS o FROM orders WHERE o_orderkey % 3 = 0) ON c = o WHERE c IS NULL OR o IS NULL")
 def _(t):
     return snapshots.set_mismatch(t("customer").filter("c_custkey % 10 <> 0").select(F.col("c_custkey").alias("custkey")), t("orders").filter("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("custkey")), "custkey")
@@ -237,6 +246,16 @@ def _(t):
     return g.select("p_brand", status.alias("status"), F.array_join(limits, ",").alias("limitations"))
 
 
+@query("s049_family_and_role_coverage", """WITH g AS (SELECT p_brand, count(*) FILTER (p_size > 47) AS f, count(*) FILTER (p_size = 40) AS r, bool_or(p_size = 3) AS x, bool_or(p_size = 4) AS d FROM part GROUP BY 1)
+SELECT p_brand, CASE WHEN f > 0 THEN 'AVAILABLE_DECLARED_ONLY' WHEN x THEN 'PARTIAL_SYNTAX_ONLY' ELSE 'UNAVAILABLE' END AS family_status, CASE WHEN f > 0 THEN 'CAPABILITY_FAMILY_DECLARED_ONLY' WHEN x THEN 'CAPABILITY_FAMILY_SYNTAX_ONLY_NO_EQUIVALENCE,PYTHON_SYNTAX_NOT_RUNTIME_BEHAVIOR' ELSE 'CAPABILITY_FAMILY_EVIDENCE_UNAVAILABLE' END AS family_limitations,
+ CASE WHEN d AND r > 0 THEN 'PARTIAL_DECLARED_ONLY' WHEN x THEN 'PARTIAL_SYNTAX_ONLY' ELSE 'UNAVAILABLE' END AS role_status, CASE WHEN d AND r > 0 THEN 'IMPLEMENTATION_ROLE_DECLARED_ONLY' WHEN x THEN 'PYTHON_SYNTAX_NOT_RUNTIME_BEHAVIOR' ELSE 'IMPLEMENTATION_ROLE_EVIDENCE_UNAVAILABLE' END AS role_limitations FROM g""")
+def _(t):
+    z = F.col("p_size")
+    g = t("part").groupBy("p_brand").agg(F.count_if(z > 47).alias("f"), F.count_if(z == 40).alias("r"), F.bool_or(z == 3).alias("x"), F.bool_or(z == 4).alias("d"))
+    (fs, fl), (rs, rl) = relationships.family_coverage(F.col("f"), F.col("x")), relationships.role_coverage(F.col("d"), F.col("r"), F.col("x"))
+    return g.select("p_brand", fs.alias("family_status"), F.array_join(fl, ",").alias("family_limitations"), rs.alias("role_status"), F.array_join(rl, ",").alias("role_limitations"))
+
+
 @query("s030_git_overlay", W + """, s AS (SELECT path, CASE WHEN doc_id % 6 = 0 THEN '??' WHEN doc_id % 6 = 1 THEN ' M' WHEN doc_id % 6 = 2 THEN '  ' END AS code, lang = 'en' AS t, path LIKE 'src3/%' OR path LIKE 'src4/de/%' AS ign, CASE doc_id % 10 WHEN 9 THEN 'DIRECTORY' WHEN 8 THEN 'SPECIAL_FILE' WHEN 7 THEN 'SYMLINK' ELSE 'REGULAR_FILE' END AS o FROM inv),
 c AS (SELECT path, o, t, coalesce(code, CASE WHEN ign THEN '!!' END) AS code FROM s),
 x AS (SELECT path, o, t AS tracked, t AND coalesce(code <> '  ', false) AS modified, NOT t AND coalesce(code = '??', false) AS untracked, NOT t AND coalesce(code = '!!', false) AS ignored_included, CASE WHEN t OR code IN ('??', '!!') THEN code END AS index_status FROM c)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from curalis.operators import approvals as A, crates as G, scans as S
+from curalis.operators.graphs import graph_items
 from curalis.plans.bindings import W, inventory, query
 
 
@@ -46,12 +47,13 @@ def _(t):
     return a.select("graph", "action_id", "status", "malformed_input_count", *[F.array_join(c, ",").alias(c) for c in ids])
 
 
-@query("s145_action_summary", _GR + """SELECT k::VARCHAR AS graph, CASE WHEN limitation IS NOT NULL THEN 'UNAVAILABLE' WHEN k % 4 >= 2 OR k % 2 = 0 THEN 'OBSERVED_WITH_LIMITATIONS' ELSE 'OBSERVED' END AS status, CASE WHEN limitation IS NULL THEN 1 ELSE 0 END AS actions, 0 AS omitted,
- CASE WHEN limitation IS NOT NULL THEN limitation ELSE concat_ws(',', CASE WHEN k % 2 = 0 THEN 'WORKFLOW_RUN_ACTION_INPUT_MALFORMED' END, CASE WHEN k % 4 >= 2 THEN 'WORKFLOW_RUN_ACTION_STATUS_UNRESOLVED' END) END AS limitations FROM r""")
+@query("s145_action_summary", _GR + """, dd AS (SELECT l_orderkey AS k, count(*) > count(DISTINCT l_linenumber) AS dup FROM lineitem GROUP BY 1)
+SELECT k::VARCHAR AS graph, CASE WHEN limitation IS NOT NULL THEN 'UNAVAILABLE' ELSE 'OBSERVED_WITH_LIMITATIONS' END AS status, CASE WHEN limitation IS NULL THEN 1 ELSE 0 END AS actions, 0 AS omitted,
+ array_to_string(list_sort(list_filter([limitation, 'RO_CRATE_ENTITY_MALFORMED', CASE WHEN dup THEN 'RO_CRATE_DUPLICATE_ENTITY_ID' END, CASE WHEN limitation IS NULL AND k % 2 = 0 THEN 'WORKFLOW_RUN_ACTION_INPUT_MALFORMED' END, CASE WHEN limitation IS NULL AND k % 4 >= 2 THEN 'WORKFLOW_RUN_ACTION_STATUS_UNRESOLVED' END], lambda x: x IS NOT NULL)), ',') AS limitations FROM r JOIN dd USING (k)""")
 def _(t):
     g = _graphs(t)
     e = G.entities(g)
-    return G.action_summary(e, G.roots(g, e)).withColumn("limitations", F.array_join("limitations", ","))
+    return G.action_summary(e, G.roots(g, e), graph_items(g.withColumn("json", F.concat(F.lit('{"@context":1,'), F.substring("json", F.lit(2), F.length("json")))))).withColumn("limitations", F.array_join("limitations", ","))
 
 
 @query("s119_archive_members", """WITH m AS (SELECT l_orderkey AS archive, l_linenumber AS ordinal, CASE WHEN l_partkey % 31 = 0 THEN '../x' || l_linenumber WHEN l_partkey % 29 = 0 THEN 'D/F1' ELSE 'd/f' || l_linenumber END AS name, CASE WHEN l_suppkey % 10 = 3 AND l_linenumber = 2 THEN 9 ELSE 8 END AS flag, CASE WHEN l_partkey % 37 = 0 THEN 1 ELSE 100 END AS c, 101 AS s, l_partkey AS crc FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY 1, 2)),

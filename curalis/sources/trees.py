@@ -215,3 +215,19 @@ def scan(spark: SparkSession, root: str, max_file: int = 1 << 25, max_total: int
     files = content_budgets(t.filter("object_type = 'REGULAR_FILE'"), "root", "path_bytes", "size_bytes", F.lit(None).cast("string"), max_file, max_total).drop("content_id", "root")
     rest = t.filter("object_type <> 'REGULAR_FILE'").drop("root").withColumn("limitation", F.lit(None).cast("string")).withColumn("content_id", F.lit(None).cast("string"))
     return hashed(files, root).unionByName(rest)
+
+
+def inventory_records(found: DataFrame, root: str, run_id: str, created_at: str, schema_version: str) -> DataFrame:
+    """The 22 columns of an inventory record for each entry of scan(), numbered in the order of path bytes. root is the tree's name in identities; states of version control and pointers to large files are overlaid later."""
+    from curalis.functions.columns import length_prefixed_hash
+    from curalis.operators.duplicates import dense_ids
+
+    n = dense_ids(found, ["path_bytes"], "artifact_id", f"art_{run_id}_", first=1)
+    regular, none = F.col("object_type") == "REGULAR_FILE", F.lit(None)
+    git = F.struct(F.lit(False).alias("ignored_included"), none.cast("string").alias("index_status"), *[none.cast("boolean").alias(c) for c in ("modified", "tracked", "untracked")])
+    warnings = F.array_sort(F.array_distinct(F.array_compact(F.concat("warnings", F.array("limitation")))))
+    return n.select(
+        "artifact_id", "content_id", F.lit(created_at).alias("created_at"), F.coalesce(F.col("mode").bitwiseAND(0o111) != 0, F.lit(False)).alias("executable"), F.substring_index("content_id", ":", -1).alias("fingerprint"), F.substring_index("content_id", ":", 1).alias("fingerprint_scheme"),
+        git.alias("git_state"), none.cast("string").alias("lineage_id"), F.lit("UNRESOLVED").alias("lineage_status"), none.cast("struct<oid:string,size_bytes:bigint>").alias("lfs_pointer"), length_prefixed_hash([F.lit(root), F.col("object_type"), F.col("path")]).alias("location_id"),
+        F.col("mode").bitwiseAND(0o7777).alias("mode"), F.when(regular, F.col("mtime_ns")).alias("mtime_ns"), "object_type", F.when(F.col("content_id").isNotNull(), "ELIGIBLE").otherwise("NOT_APPLICABLE").alias("profile_eligibility"),
+        F.when(F.col("path") == ".", F.lit(root)).otherwise(F.concat(F.lit(root + "/"), "path")).alias("realpath"), F.col("path").alias("repository_relative_path"), F.lit(run_id).alias("run_id"), F.lit(schema_version).alias("schema_version"), F.when(regular, F.col("size_bytes")).alias("size_bytes"), "symlink_target_text", warnings.alias("warnings"))
