@@ -48,19 +48,19 @@ def _tree(t):
 
     def entry(row):
         k = row.doc_id
-        path = f"r{k % 5}/s{k % (3 + 4 * (k % 5))}/doc{k}"
+        path = f"x{k % 20}/{'wide' if k % 20 == 7 else f'y{k}' if k % 20 == 9 else f'y{k // 20 % 20}'}/doc{k}"
         if k % 13 == 0:
-            return path, ("link", ("../s0" if k % 2 else "../../../up") if k % 3 else f"gone{k}")
+            return path, ("link", ("../y0" if k % 2 else "../../../up") if k % 3 else f"gone{k}")
         return path, "fifo" if k % 29 == 0 else (row.text or "").encode()
 
     _write(d, root, entry)
     return d.sparkSession, root
 
 
-_TREE = """WITH f AS (SELECT *, 'r' || doc_id % 5 AS a, 's' || doc_id % (3 + 4 * (doc_id % 5)) AS b, 'doc' || doc_id AS c, CASE WHEN doc_id % 13 = 0 THEN 'SYMLINK' WHEN doc_id % 29 = 0 THEN 'SPECIAL_FILE' ELSE 'REGULAR_FILE' END AS o FROM documents),
-e AS (SELECT a || '/' || b || '/' || c AS path, a || '/' || b AS parent, o AS object_type, CASE WHEN o = 'REGULAR_FILE' THEN strlen(coalesce(text, '')) END AS size_bytes, CASE WHEN o = 'SYMLINK' THEN CASE WHEN doc_id % 3 = 0 THEN 'gone' || doc_id WHEN doc_id % 2 = 1 THEN '../s0' ELSE '../../../up' END END AS target, CASE WHEN o = 'REGULAR_FILE' THEN text END AS text FROM f
+_TREE = """WITH f AS (SELECT *, 'x' || doc_id % 20 AS a, CASE doc_id % 20 WHEN 7 THEN 'wide' WHEN 9 THEN 'y' || doc_id ELSE 'y' || (doc_id // 20) % 20 END AS b, 'doc' || doc_id AS c, CASE WHEN doc_id % 13 = 0 THEN 'SYMLINK' WHEN doc_id % 29 = 0 THEN 'SPECIAL_FILE' ELSE 'REGULAR_FILE' END AS o FROM documents),
+e AS (SELECT a || '/' || b || '/' || c AS path, a || '/' || b AS parent, o AS object_type, CASE WHEN o = 'REGULAR_FILE' THEN strlen(coalesce(text, '')) END AS size_bytes, CASE WHEN o = 'SYMLINK' THEN CASE WHEN doc_id % 3 = 0 THEN 'gone' || doc_id WHEN doc_id % 2 = 1 THEN '../y0' ELSE '../../../up' END END AS target, CASE WHEN o = 'REGULAR_FILE' THEN text END AS text FROM f
   UNION SELECT a || '/' || b, a, 'DIRECTORY', NULL, NULL, NULL FROM f UNION SELECT a, '.', 'DIRECTORY', NULL, NULL, NULL FROM f UNION SELECT '.', NULL, 'DIRECTORY', NULL, NULL, NULL),
-w AS (SELECT parent AS wide FROM e WHERE parent IS NOT NULL GROUP BY 1 HAVING count(*) > 10),
+w AS (SELECT parent AS wide FROM e WHERE parent IS NOT NULL GROUP BY 1 HAVING count(*) > 21),
 l AS (SELECT *, path IN (SELECT wide FROM w) AS wide FROM e WHERE NOT EXISTS (SELECT 1 FROM w WHERE wide = '.' AND path <> '.' OR starts_with(path, wide || '/'))) """
 
 
@@ -68,7 +68,7 @@ l AS (SELECT *, path IN (SELECT wide FROM w) AS wide FROM e WHERE NOT EXISTS (SE
  CASE WHEN size_bytes > 3000 THEN 'CONTENT_HASH_SKIPPED_SIZE_LIMIT' END AS limitation, CASE WHEN size_bytes <= 3000 THEN 'sha256-file-v1:' || sha256(coalesce(text, '')) END AS content_id FROM l""")
 def _(t):
     spark, root = _tree(t)
-    s = trees.scan(spark, root, max_file=3000, max_total=1 << 50, max_entries=10, slices=8)
+    s = trees.scan(spark, root, max_file=3000, max_total=1 << 50, max_entries=21, slices=8)
     return s.select("path", "object_type", F.when(F.col("object_type") == "REGULAR_FILE", F.col("size_bytes")).alias("size_bytes"), "symlink_target_text", F.array_join("warnings", ",").alias("warnings"), "limitation", "content_id")
 
 
@@ -81,15 +81,15 @@ _PART = "unhex(printf('%016x', strlen({0}))) || encode({0})"
  object_type IN ('DIRECTORY', 'SYMLINK') AS executable, false AS ignored_included, 'UNRESOLVED' AS lineage_status FROM l""")
 def _(t):
     spark, root = _tree(t)
-    r = trees.inventory_records(trees.scan(spark, root, max_file=3000, max_total=1 << 50, max_entries=10, slices=8), "/tree", "r", "now", "v1")
+    r = trees.inventory_records(trees.scan(spark, root, max_file=3000, max_total=1 << 50, max_entries=21, slices=8), "/tree", "r", "now", "v1")
     return r.withColumn("warnings", F.array_join("warnings", ",")).select("artifact_id", "repository_relative_path", "object_type", "size_bytes", "symlink_target_text", "realpath", "fingerprint_scheme", "fingerprint", "content_id", "profile_eligibility", "warnings", "location_id", "executable", "git_state.ignored_included", "lineage_status")
 
 
 @query("s004_scanned_links", _TREE + """, x AS (SELECT path, target, parent FROM l WHERE object_type = 'SYMLINK')
-SELECT path, 'sha256-symlink-target-v1:' || sha256(target) AS fingerprint, CASE WHEN target = '../../../up' THEN 'SYMLINK_TARGET_OUTSIDE_ROOT' WHEN target LIKE 'gone%' THEN 'SYMLINK_TARGET_MISSING' WHEN NOT EXISTS (SELECT 1 FROM l WHERE l.path = split_part(x.path, '/', 1) || '/s0') THEN 'SYMLINK_TARGET_MISSING' END AS warning FROM x""")
+SELECT path, 'sha256-symlink-target-v1:' || sha256(target) AS fingerprint, CASE WHEN target = '../../../up' THEN 'SYMLINK_TARGET_OUTSIDE_ROOT' WHEN target LIKE 'gone%' THEN 'SYMLINK_TARGET_MISSING' WHEN NOT EXISTS (SELECT 1 FROM l WHERE l.path = split_part(x.path, '/', 1) || '/y0') THEN 'SYMLINK_TARGET_MISSING' END AS warning FROM x""")
 def _(t):
     spark, root = _tree(t)
-    found = trees.read_tree(spark, root, max_entries=10, slices=8)
+    found = trees.read_tree(spark, root, max_entries=21, slices=8)
     links = found.filter("object_type = 'SYMLINK'").select("path", F.col("symlink_target_text").alias("target"))
     return scans.link_warnings(links, found.select("path", "object_type"))
 
