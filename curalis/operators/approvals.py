@@ -86,7 +86,7 @@ def binding(json: Column, markdown: Column) -> Column:
 
 def selected_cases(eligible: DataFrame, duplicates: DataFrame, part: str, each: int, more: int, first: int, without: int, folder: str) -> DataFrame:
     """(case_id, part, claim_type, prediction, expected): the first eligible(part, path, artifact_id, content_id) of each part (the first `first` parts, in order, take `more`
-    as well), as many made-up paths and pairs of different content as `without`, and every group of duplicates(part, relationship_id)."""
+    as well), as many made-up paths and pairs of different content as `without`, and every group of duplicates(part, relationship_id). A part with too few of either fails the job that reads it."""
     three = lambda n: F.lpad(n.cast("string"), 3, "0")
     parts = eligible.select(part).distinct()
     extra = parts.orderBy(part).limit(first).withColumn("more", F.lit(more))
@@ -99,7 +99,12 @@ def selected_cases(eligible: DataFrame, duplicates: DataFrame, part: str, each:
         head = "wave3-inventory-" if kind == "inventory_artifact" else "wave3-duplicate-"
         return df.select(F.concat(F.lit(head), part, F.lit("-"), tail).alias("case_id"), part, F.lit(kind).alias("claim_type"), subject.alias("subject"), F.lit("ASSERTED" if yes else "ABSTAINED").alias("prediction"), F.lit("SUPPORTED" if yes else "UNSUPPORTED").alias("expected"))
 
+    count = lambda df, n: df.groupBy(part).agg(F.count("*").alias(n))
+    few = parts.join(extra, part, "left").join(count(eligible, "n"), part, "left").join(count(pairs, "p"), part, "left")
+    why = F.when(F.coalesce("n", F.lit(0)) < each + F.coalesce("more", F.lit(0)), F.concat(F.lit("insufficient eligible inventory for "), part)).when(F.coalesce("p", F.lit(0)) < without, F.concat(F.lit("insufficient nonmatch controls for "), part))
+    few = few.select(part, why.alias("why")).filter("why is not null").select(part, F.raise_error(F.col("why")).cast("string").alias("why"))  # no rows, or a failure
+    failed = case(few.withColumn("rank", F.lit(0)), "inventory_artifact", F.col("why"), F.col("why"), True)
     no = lambda n: F.concat(F.lit("control-"), three(n))
-    return (
+    return failed.unionByName(
         case(some, "inventory_artifact", three(F.col("rank")), F.col("path"), True).unionByName(case(made, "inventory_artifact", no(F.col("rank")), F.concat(F.lit(folder + "/case-"), three(F.col("rank"))), False))
         .unionByName(case(duplicates, "exact_byte_duplicate", F.element_at(F.split("relationship_id", "_"), -1), F.col("relationship_id"), True)).unionByName(case(pairs, "exact_byte_duplicate", no(F.col("rank")), F.col("subject"), False)))

@@ -243,6 +243,15 @@ def _(t):
     return O.unresolved_references(r, t("part").filter("p_size < 40").select(F.col("p_partkey").cast("string").alias("id"))).withColumn("unresolved", F.array_join("unresolved", ","))
 
 
+@query("s041_control_pairs", W.replace("WITH ", "WITH RECURSIVE ", 1) + """, r AS (SELECT source, artifact_id AS a, content_id AS c, row_number() OVER (PARTITION BY source ORDER BY artifact_id) AS k FROM inv),
+f(source, k, waiting, c, pairs) AS (SELECT DISTINCT source, 0::BIGINT, []::VARCHAR[], '', []::VARCHAR[] FROM r
+ UNION ALL SELECT r.source, r.k, CASE WHEN len(pairs) = 4 THEN waiting WHEN len(waiting) > 0 AND r.c <> f.c THEN waiting[2:] ELSE list_append(waiting, r.a) END, CASE WHEN len(pairs) = 4 OR len(waiting) > 0 AND r.c <> f.c THEN f.c ELSE r.c END,
+  CASE WHEN len(pairs) < 4 AND len(waiting) > 0 AND r.c <> f.c THEN list_append(pairs, waiting[1] || ',' || r.a) ELSE pairs END FROM f JOIN r ON r.source = f.source AND r.k = f.k + 1),
+l AS (SELECT source, arg_max(pairs, k) AS pairs FROM f GROUP BY 1) SELECT source, unnest(pairs) AS pair FROM l""")
+def _(t):
+    return O.controls(inventory(t), "source", 4).select("source", F.concat_ws(",", "left", "right").alias("pair"))
+
+
 @query("s041_nonmatch_controls", W + "SELECT source, count(*) AS eligible FROM inv GROUP BY 1")
 def _(t):
     i = inventory(t)

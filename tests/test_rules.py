@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from curalis.functions import columns as C
 from curalis.operators import graphs as G
-from curalis.operators import ledgers, observers, relationships
+from curalis.operators import approvals, ledgers, observers, relationships
 from curalis.plans.bindings import query
 
 
@@ -71,3 +71,14 @@ def test_crates_are_found_wanting(spark):
 def test_a_name_is_registered_once():
     with pytest.raises(ValueError, match="two queries"):
         query("s044_exact_duplicate_groups")(lambda t: t)
+
+
+def test_too_few_cases_fail(spark):
+    e = spark.createDataFrame([("r", f"p{i}", f"a{i}", f"c{i % 3}") for i in range(6)], "source string, path string, artifact_id string, content_id string")
+    d = spark.createDataFrame([("r", "x_1")], "source string, relationship_id string")
+    some = lambda each, without: approvals.selected_cases(e, d, "source", each, 1, 1, without, "none")
+    assert some(5, 2).count() == 6 + 2 + 1 + 2
+    with pytest.raises(Exception, match="insufficient eligible inventory for r"):
+        some(6, 2).collect()
+    with pytest.raises(Exception, match="insufficient nonmatch controls for r"):
+        some(5, 4).collect()
