@@ -11,6 +11,7 @@ import zlib
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from curalis.functions.nested import canonical_json
 from curalis.operators import scans
 from curalis.plans.bindings import query
 from curalis.plans.nested import _esc
@@ -191,3 +192,17 @@ def _(t):
 
     _write(p, root, entry)
     return strict.read_manifests(p.sparkSession, root, limit=4000).select("path", "json", "limitation")
+
+
+@query("s014_linked_graph", """WITH e AS (SELECT '#part/' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS id, '{"@id":"#part/' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') || '","@type":["CreativeWork"],"name":"' || p_name || '","size":' || p_size || '}' AS j FROM part),
+d AS (SELECT '{"@context":["c",{"x":"y"}],"@graph":[{"@id":"ro-crate-metadata.json","about":{"@id":"./"}},{"@id":"./","@type":["Dataset"],"hasPart":[' || string_agg('{"@id":"' || id || '"}', ',' ORDER BY id) || '],"name":"all","z":false},' || string_agg(j, ',' ORDER BY id) || ']}' AS d FROM e)
+SELECT CAST(strlen(d) AS BIGINT) AS bytes, sha256(d) AS sha256 FROM d""")
+def _(t):
+    p = t("part")
+    key = F.concat(F.lit("#part/"), F.lpad(F.col("p_partkey").cast("string"), 9, "0"))
+    body = F.to_json(F.struct(key.alias("@id"), F.array(F.lit("CreativeWork")).alias("@type"), F.col("p_name").alias("name"), F.col("p_size").alias("size")))
+    e = canonical_json(p.select(key.alias("id"), body.alias("b")), "b", "json").select("id", "json")
+    root = scratch.folder(p.sparkSession, "graph")
+    canonical.write_graph(e, os.path.join(root, "parts"), ["c", {"x": "y"}], {"@id": "ro-crate-metadata.json", "about": {"@id": "./"}}, {"@id": "./", "@type": ["Dataset"], "name": "all", "z": False}, part_rows=500)
+    canonical.join_parts(os.path.join(root, "parts"), os.path.join(root, "graph.json"))
+    return p.sparkSession.read.format("binaryFile").load(os.path.join(root, "graph.json")).select(F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
+from curalis.functions.columns import json_string
 from curalis.functions.nested import canonical_json
 from curalis.operators.duplicates import dense_ids
 from curalis.sources.records import verified
@@ -40,8 +41,8 @@ class Parts(WriterCommitMessage):
 class LinesWriter(DataSourceArrowWriter):
     """Rows (part, line) that come with each part whole and in order."""
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, end: str):
+        self.path, self.end = path, end.encode()
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Parts:
         done, now, f, digest, size, rows = [], None, None, None, 0, 0
@@ -60,7 +61,7 @@ class LinesWriter(DataSourceArrowWriter):
                             close()
                         now, name, digest, size, rows = part, f"{part:06d}-{uuid.uuid4().hex}", hashlib.sha256(), 0, 0
                         f = open(os.path.join(self.path, STAGE, name), "xb")
-                    data = line.encode() + b"\n"
+                    data = line.encode() + self.end
                     f.write(data)
                     digest.update(data)
                     size, rows = size + len(data), rows + 1
@@ -97,7 +98,7 @@ class LinesSink(DataSource):
         return "canonical_lines"
 
     def writer(self, schema, overwrite: bool) -> LinesWriter:
-        return LinesWriter(self.options["path"])
+        return LinesWriter(self.options["path"], self.options.get("end", "\n"))
 
 
 def write_canonical(df: DataFrame, path: str, keys: list[str], part_rows: int = PART_ROWS) -> dict:
@@ -106,7 +107,13 @@ def write_canonical(df: DataFrame, path: str, keys: list[str], part_rows: int =
     path = path.removeprefix("file://").removeprefix("file:")
     lines = df.select(*[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)], F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("_j"))
     lines = canonical_json(lines, "_j", "line").drop("_j")
-    numbered = dense_ids(lines, [*[f"_k{i}" for i in range(len(keys))], "line"], "n", width=18)
+    return _publish(lines, path, [f"_k{i}" for i in range(len(keys))], part_rows, "\n")
+
+
+def _publish(lines: DataFrame, path: str, keys: list[str], part_rows: int, end: str) -> dict:
+    """lines(keys, line) as parts of so many rows each, every line with `end` behind it; the manifest."""
+    spark = lines.sparkSession
+    numbered = dense_ids(lines, [*keys, "line"], "n", width=18)
     part = F.floor(F.col("n").cast("long") / part_rows).cast("int")
     out = numbered.select(part.alias("part"), "n", "line").repartition("part").sortWithinPartitions("part", "n").select("part", "line")
     os.mkdir(path)
@@ -114,7 +121,7 @@ def write_canonical(df: DataFrame, path: str, keys: list[str], part_rows: int =
         os.mkdir(os.path.join(path, STAGE))
         cloudpickle.register_pickle_by_value(sys.modules[__name__])
         spark.dataSource.register(LinesSink)
-        out.write.format("canonical_lines").mode("append").save(path)
+        out.write.format("canonical_lines").option("end", end).mode("append").save(path)
     except BaseException:
         shutil.rmtree(path, ignore_errors=True)
         raise
@@ -122,6 +129,35 @@ def write_canonical(df: DataFrame, path: str, keys: list[str], part_rows: int =
         return json.load(f)
 
 
+def write_graph(entities: DataFrame, path: str, context, descriptor: dict, root: dict, part_rows: int = PART_ROWS) -> dict:
+    """One linked-graph document as canonical JSON, in parts whose bytes one after the other are the document; the manifest.
+
+    entities(id, json): ids are distinct, json is canonical. They follow the descriptor and the root in the order of their ids, and the root's hasPart names them all: it is made of rows
+    like they are, so that no row and no process but the files holds the document."""
+    path = path.removeprefix("file://").removeprefix("file:")
+    dumps = lambda x: json.dumps(x, sort_keys=True, separators=(",", ":"))
+    before, after = ({k: v for k, v in root.items() if (k < "hasPart") == low} for low in (True, False))
+    head = f'{{"@context":{dumps(context)},"@graph":[{dumps(descriptor)},{dumps(before)[:-1]}{"," if before else ""}"hasPart":['
+    tail = "]" + ("," + dumps(after)[1:] if after else "}")
+    first = entities.agg(F.min("id")).first()[0]
+    fixed = entities.sparkSession.createDataFrame([(0, "", head), (2, "", tail), (4, "", "]}")], "s int, k string, line string")
+    comma = F.when(F.col("id") == F.lit(first), "").otherwise(",")
+    names = entities.select(F.lit(1).alias("s"), F.col("id").alias("k"), F.concat(comma, F.lit('{"@id":'), json_string(F.col("id")), F.lit("}")).alias("line"))
+    bodies = entities.select(F.lit(3).alias("s"), F.col("id").alias("k"), F.concat(F.lit(","), "json").alias("line"))
+    return _publish(fixed.unionByName(names).unionByName(bodies), path, ["s", "k"], part_rows, "")
+
+
+def join_parts(path: str, target: str) -> None:
+    """The parts of a folder one after the other as one file, which must not exist; copied by the operating system, piece by piece."""
+    path = path.removeprefix("file://").removeprefix("file:")
+    with open(os.path.join(path, MANIFEST)) as f:
+        names = [x["name"] for x in json.load(f)["files"]]
+    with open(target, "xb") as out:
+        for n in names:
+            with open(os.path.join(path, n), "rb") as part:
+                shutil.copyfileobj(part, out)
+
+
 def read_canonical(spark: SparkSession, path: str, schema) -> DataFrame:
     """The records of a folder that write_canonical() wrote, after each part's digest has been found to be the manifest's."""
     path = path.removeprefix("file://").removeprefix("file:")

@@ -88,3 +88,16 @@ def test_a_failed_write_leaves_nothing(spark, tmp_path):
         canonical.write_canonical(d, str(tmp_path / "x"), ["id"])
     assert not os.path.exists(tmp_path / "x")
     assert canonical.write_canonical(d.limit(0), str(tmp_path / "x"), ["id"]) == {"files": [], "records": 0}
+
+
+def test_a_graph_in_parts(spark, tmp_path):
+    rows = [(f"#e/{i:03d}é", json.dumps({"@id": f"#e/{i:03d}é", "n": i}, sort_keys=True, separators=(",", ":"))) for i in range(57)]
+    root = {"@id": "./", "name": "n", "about": 1}
+    for name, some, parts in (("a", rows, 10), ("b", rows, 1000), ("none", [], 10)):
+        d = spark.createDataFrame(some, "id string, json string").repartition(3)
+        canonical.write_graph(d, str(tmp_path / name), "c", {"@id": "d"}, root, part_rows=parts)
+        canonical.join_parts(str(tmp_path / name), str(tmp_path / f"{name}.json"))
+        want = {"@context": "c", "@graph": [{"@id": "d"}, {**root, "hasPart": [{"@id": i} for i, _ in some]}, *[json.loads(j) for _, j in some]]}
+        assert (tmp_path / f"{name}.json").read_text() == json.dumps(want, sort_keys=True, separators=(",", ":"))
+    with pytest.raises(FileExistsError):
+        canonical.join_parts(str(tmp_path / "a"), str(tmp_path / "a.json"))
