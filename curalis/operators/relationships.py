@@ -58,13 +58,21 @@ def role_coverage(declared: Column, resolved: Column, syntax: Column) -> tuple[C
 
 # fixed values: roles of documents that are never merged
 RECORD_ROLES = ["DECISION_RECORD", "AUDIT_RECORD"]
+PART = 512  # left documents of a topic that one task pairs with all of the topic
 
 
 def document_pairs(docs: DataFrame, topic: str = "topic", path: str = "path") -> DataFrame:
-    """Every pair of documents of a topic with how to treat it: conflicting claim, value or status, other audience or a record's role, other lifecycle, review."""
-    l = docs.select([F.col(c).alias(f"l_{c}") for c in docs.columns])
-    r = docs.select([F.col(c).alias(f"r_{c}") for c in docs.columns])
-    j = l.join(r, (F.col(f"l_{topic}") == F.col(f"r_{topic}")) & (F.col(f"l_{path}") < F.col(f"r_{path}")))
+    """Every pair of documents of a topic with how to treat it: conflicting claim, value or status, other audience or a record's role, other lifecycle, review.
+
+    The left documents of a topic are dealt in parts of about PART, each of which meets all right ones, so that no task makes the pairs of a whole topic. Rows are few and pairs many: the
+    number of partitions is given, lest Spark join small ones by their bytes."""
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = docs.groupBy(topic).agg(F.ceil(F.count("*") / PART).cast("int").alias("_parts"))
+    d = docs.join(n, topic)
+    l = d.withColumn("_part", F.pmod(F.xxhash64(path), F.col("_parts")).cast("int")).repartition(tasks, topic, "_part").select([F.col(c).alias(f"l_{c}") for c in (*docs.columns, "_part")])
+    r = d.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).repartition(tasks, topic, "_part").select([F.col(c).alias(f"r_{c}") for c in (*docs.columns, "_part")])
+    on = (F.col(f"l_{topic}") == F.col(f"r_{topic}")) & (F.col("l__part") == F.col("r__part"))
+    j = l.join(r.hint("shuffle_hash"), on & (F.col(f"l_{path}") < F.col(f"r_{path}")))
     fields = F.array_compact(F.array(*[F.when(F.col(f"l_{c}") != F.col(f"r_{c}"), c) for c in ("claim", "value", "status")]))
     other = ~F.col("l_audience").eqNullSafe(F.col("r_audience")) | F.coalesce(F.col("l_role").isin(RECORD_ROLES), F.lit(False)) | F.coalesce(F.col("r_role").isin(RECORD_ROLES), F.lit(False))
     kind = F.when(F.size("conflicting") > 0, "DO_NOT_MERGE").when(other, "CANONICALIZE_WITHOUT_MERGE").when(~F.col("l_lifecycle").eqNullSafe(F.col("r_lifecycle")), "PARTIAL_MERGE_CANDIDATE").otherwise("MANUAL_REVIEW")
