@@ -1,13 +1,17 @@
 """Counts between marker lines of declaration files, read as lines and not as their formats.
 
-Lines are rows; which section and which entry a line belongs to is the last marker at or before it, carried on by a window over its file. Files are bounded by their readers.
+A file is one row, its lines an array in it; which section and which entry a line belongs to is told by the places of the markers. Nothing is shuffled or sorted. Files are bounded by their readers.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from curalis.functions.nested import let
+
 # fixed values: where lines end, the shapes of a stage, a field, a locked stage and a manifest's path, and how short a digest may be
 ENDS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 SPACE, OTHER = r"[\s\x1c-\x1f\x85\p{Z}]", r"[^\s\x1c-\x1f\x85\p{Z}]"
@@ -18,42 +22,45 @@ SAFE_PATH = r"^[^/][^\r\n]*$"
 LEAST_DIGEST = 16
 
 
-def lines(files: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, at, line) of the lines of each file; nothing stands behind a last line end."""
-    parts = F.split(text, ENDS)
-    whole = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    return files.select(key, F.posexplode(whole).alias("at", "line"))
+def lines(text: Column) -> Column:
+    """The lines of a text; nothing stands behind a last line end."""
+    return let(F.split(text, ENDS), lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.size(p) - 1)).otherwise(p))
 
 
-def _section(df: DataFrame, key: str, head: Column) -> DataFrame:
-    """The lines after each file's first heading up to the next line that is not indented (other headings aside)."""
-    w = Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    outside = (F.col("line") != "") & ~F.col("line").rlike("^" + SPACE)
-    d = df.withColumn("_h", head).withColumn("_in", F.max("_h").over(w))
-    d = d.withColumn("_out", F.max(F.col("_in") & ~F.col("_h") & outside).over(w))
-    return d.filter("_in and not _h and not _out").drop("_h", "_in", "_out")
+def _after(ls: Column, head: Callable[[Column], Column], again: bool) -> Column:
+    """The lines behind the first heading up to the next line that is not indented; where headings may come again they do not end the section, nor are they of it."""
+    inside = lambda x: (x == "") | x.rlike("^" + SPACE) | (head(x) if again else F.lit(False))
+    first = lambda flags, rest: let(F.array_position(flags, True), rest)
+    rest = first(F.transform(ls, head), lambda at: F.when(at > 0, F.slice(ls, at.cast("int") + 1, F.size(ls))))
+    some = let(rest, lambda r: first(F.transform(r, lambda x: ~inside(x)), lambda at: F.when(at > 0, F.slice(r, 1, at.cast("int") - 1)).otherwise(r)))
+    return F.filter(some, lambda x: ~head(x)) if again else some
 
 
 def stages(files: DataFrame, key: str) -> DataFrame:
     """(key, ordinal, stage, fields) of the stages of pipeline files, fields in the order of their first lines."""
-    title = F.regexp_replace("line", f"^{SPACE}+|{SPACE}+$", "") == "stages:"
-    s = _section(lines(files, key), key, title)
-    name, field = F.nullif(F.regexp_extract("line", STAGE, 1), F.lit("")), F.nullif(F.regexp_extract("line", FIELD, 1), F.lit(""))
-    w = Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    s = s.withColumn("name", name).withColumn("ordinal", F.count("name").over(w)).withColumn("stage", F.last("name", ignorenulls=True).over(w)).filter("ordinal > 0")
-    f = s.withColumn("field", F.when(F.col("name").isNull(), field)).groupBy(key, "ordinal", "stage", "field").agg(F.min("at").alias("at"))
-    g = f.groupBy(key, "ordinal", "stage").agg(F.array_sort(F.collect_list(F.when(F.col("field").isNotNull(), F.struct("at", "field")))).alias("x"))
-    return g.select(key, "ordinal", "stage", F.transform("x", lambda x: x.field).alias("fields"))
+    title = lambda x: F.regexp_replace(x, f"^{SPACE}+|{SPACE}+$", "") == "stages:"
+
+    def told(section: Column) -> Column:
+        """The stages of a section's lines: each from its name to the line before the next."""
+
+        def parts(names: Column) -> Column:
+            at = F.filter(F.sequence(F.lit(1), F.size(names)), lambda i: F.get(names, i - 1) != "")
+            ends = lambda a: F.concat(F.slice(a, 2, F.size(a)), F.array(F.size(names) + 1))
+            fields = lambda z: F.array_distinct(F.filter(F.transform(F.slice(section, z.a + 1, z.e - z.a - 1), lambda x: F.regexp_extract(x, FIELD, 1)), lambda f: f != ""))
+            return let(at, lambda a: F.transform(F.slice(F.arrays_zip(a.alias("a"), ends(a).alias("e")), 1, F.size(a)), lambda z: F.struct(F.get(names, z.a - 1).alias("stage"), fields(z).alias("fields"))))
+
+        return F.when(F.size(section) > 0, let(F.transform(section, lambda x: F.regexp_extract(x, STAGE, 1)), parts))
+
+    found = let(lines(F.col("text")), lambda ls: let(_after(ls, title, True), told))
+    s = files.select(key, F.posexplode(found).alias("ordinal", "x"))
+    return s.select(key, (F.col("ordinal") + 1).cast("long").alias("ordinal"), "x.stage", "x.fields")
 
 
 def locked_stages(files: DataFrame, key: str) -> DataFrame:
     """(key, stages): how many stages a lock file names; the heading must be the whole line."""
-    d = lines(files, key)
-    first = F.col("line") == "stages:"
-    w = Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("_before", F.coalesce(F.max(first).over(w), F.lit(False)))
-    s = _section(d, key, first & ~F.col("_before")).groupBy(key).agg(F.count_if(F.col("line").rlike(LOCKED)).alias("stages"))
-    return files.select(key).join(s, key, "left").select(key, F.coalesce("stages", F.lit(0)).alias("stages"))
+    section = let(lines(F.col("text")), lambda ls: _after(ls, lambda x: x == "stages:", False))
+    n = let(section, lambda x: F.when(x.isNotNull(), F.size(F.filter(x, lambda y: y.rlike(LOCKED)))).otherwise(0))
+    return files.select(key, n.cast("long").alias("stages"))
 
 
 def config_keys(text: Column) -> Column:
@@ -63,9 +70,10 @@ def config_keys(text: Column) -> Column:
 
 def manifest_entries(files: DataFrame, key: str) -> DataFrame:
     """(key, entries): lines of a digest, two blanks somewhere, and a path without empty, '.' and '..' parts."""
-    d = lines(files, key).filter(F.col("line").contains("  "))
-    digest, path = F.regexp_extract("line", f"(?s)^{SPACE}*({OTHER}+){SPACE}+(.*)$", 1), F.regexp_extract("line", f"(?s)^{SPACE}*{OTHER}+{SPACE}+(.*)$", 1)
-    path = F.regexp_replace(path, f"{SPACE}+$", "")
-    ok = (F.length(digest) >= LEAST_DIGEST) & path.rlike(SAFE_PATH) & F.forall(F.split(path, "/"), lambda p: ~p.isin("", ".", ".."))
-    g = d.groupBy(key).agg(F.count_if(ok).alias("entries"))
-    return files.select(key).join(g, key, "left").select(key, F.coalesce("entries", F.lit(0)).alias("entries"))
+
+    def entry(line: Column) -> Column:
+        digest, path = F.regexp_extract(line, f"(?s)^{SPACE}*({OTHER}+){SPACE}+(.*)$", 1), F.regexp_replace(F.regexp_extract(line, f"(?s)^{SPACE}*{OTHER}+{SPACE}+(.*)$", 1), f"{SPACE}+$", "")
+        return line.contains("  ") & (F.length(digest) >= LEAST_DIGEST) & let(path, lambda p: p.rlike(SAFE_PATH) & F.forall(F.split(p, "/"), lambda q: ~q.isin("", ".", "..")))
+
+    found = F.filter(lines(F.col("text")), entry)
+    return files.select(key, F.when(F.col("text").isNotNull(), F.size(found)).otherwise(0).cast("long").alias("entries"))
