@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curalis.functions.columns import size_bucket, suffix, tokens
 
 
 FREQUENT = 100_000  # tokens of more than one in so many places are broadcast with their counts
+SKETCH = 16  # 64-bit words of a token set's parity sketch
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -28,20 +29,27 @@ def replacements(artifacts: DataFrame, content: str = "content_id", member: str
     return artifacts.join(keep, content).filter(F.col(member) != F.col("replacement")).select(member, "replacement")
 
 
+def parity(hashes: str) -> Column:
+    """A parity sketch of a set of 64-bit hashes, array<long>: bit i is the parity of how many fall on it. Sets that differ in n values have sketches that differ in n bits at most."""
+    one = "aggregate(filter({h}, x -> (shiftright(x, 6) & {m}) = {i}), 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 as int)))"
+    return F.array(*[F.expr(one.format(h=hashes, m=SKETCH - 1, i=i)) for i in range(SKETCH)])
+
+
 def near_classes(artifacts: DataFrame, tenths: int = 7) -> tuple[DataFrame, DataFrame]:
     """(pairs of classes, members): pairs(suffix, bucket, ca, cb, similarity) of unlike contents in one (suffix, size bucket) block whose token sets have a
     Jaccard similarity of tenths/10 or more, and members(artifact_id, suffix, bucket, content_id).
 
     artifacts(artifact_id, path, size_bytes, content_id, text). Exact up to collisions of 64-bit token hashes. Equal contents are one class. Tokens are
     ordered by rarity: only the first n - ceil(n*tenths/10) + 1 of them can hold a pair's first common one, whose places in
-    the two lists bound how many can be common at all; a pair's sizes must lie within the threshold. Tests are in integers.
+    the two lists bound how many can be common at all; a pair's sizes must lie within the threshold. Tests are in integers. Pairs that are left meet by sketches first, which
+    are short and pass every pair that is similar enough: token sets travel only with the pairs that pass.
     """
     blocks = artifacts.select("artifact_id", suffix(F.col("path")).alias("suffix"), size_bucket(F.col("size_bytes")).alias("bucket"), "content_id", "text")
     members = blocks.select("artifact_id", "suffix", "bucket", "content_id")
     hashes = F.array_sort(F.array_distinct(F.transform(tokens(F.col("text")), lambda x: F.xxhash64(x))))
     one = blocks.groupBy("suffix", "bucket", "content_id").agg(F.min("artifact_id").alias("artifact_id"))
     d = blocks.join(one, ["suffix", "bucket", "content_id", "artifact_id"], "left_semi").select(F.xxhash64("suffix", "bucket", "content_id").alias("id"), "suffix", "bucket", "content_id", hashes.alias("toks"))
-    d = kept(d).withColumn("n", F.size("toks")).filter("n >= 3")  # texts are read and split once for the four uses below
+    d = kept(d.filter("size(toks) >= 3").withColumn("sketch", parity("toks"))).withColumn("n", F.size("toks"))  # texts are read and split once for the four uses below
     keep = F.col("n") - F.floor((tenths * F.col("n") + 9) / 10) + 1
     each = d.select("id", "suffix", "bucket", "n", F.explode("toks").alias("tok"))
     # any order of tokens that is the same for all documents will do; the rare ones need not be told apart, and of those that make up more than one in FREQUENT of all there are fewer than that
@@ -59,6 +67,10 @@ def near_classes(artifacts: DataFrame, tenths: int = 7) -> tuple[DataFrame, Data
     on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("suffix", "bucket", "tok", "size")]
     smaller = (F.col("a.n") < F.col("b.n")) | (F.col("a.n") == F.col("b.n")) & (F.col("a.id") < F.col("b.id"))
     c = a.join(b, [*on, smaller, tenths * F.col("b.n") <= 10 * F.col("a.n"), enough]).select(F.least("a.id", "b.id").alias("ia"), F.greatest("a.id", "b.id").alias("ib")).distinct()
+    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    drawn = lambda x: d.select(F.col("id").alias(f"i{x}"), F.col("sketch").alias(f"s{x}"), F.col("n").alias(f"n{x}"))
+    # of i common tokens n - 2 i are not, and (10 + tenths) i is at least tenths n, n being the tokens of both
+    c = c.join(drawn("a"), "ia").join(drawn("b"), "ib").filter((10 + tenths) * apart <= (10 - tenths) * (F.col("na") + F.col("nb"))).select("ia", "ib")
     side = lambda x: d.select(F.col("id").alias(f"i{x}"), F.col("toks").alias(f"t{x}"), F.col("content_id").alias(f"c{x}"), *(["suffix", "bucket"] if x == "a" else []))
     i = F.size(F.array_intersect("ta", "tb"))
     hit = c.join(side("a"), "ia").join(side("b"), "ib").withColumn("i", i).withColumn("u", F.size("ta") + F.size("tb") - F.col("i")).filter(f"10 * i >= {tenths} * u")
