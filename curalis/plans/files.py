@@ -184,14 +184,14 @@ def _(t):
  CASE WHEN p_partkey % 5 < 3 THEN '{"id":' || p_partkey || ',"name":"' || p_name || '"}' END AS json, CASE p_partkey % 3 WHEN 0 THEN 'EXPERIMENT' WHEN 1 THEN 'RELATIONSHIP' ELSE 'DOCUMENT' END || CASE p_partkey % 5 WHEN 3 THEN '_MANIFEST_MALFORMED' WHEN 4 THEN '_MANIFEST_SIZE_LIMIT' END AS limitation FROM part""")
 def _(t):
     p = t("part").select("p_partkey", "p_name")
-    root = scratch.folder(p.sparkSession, "manifests")
+    root, names = scratch.folder(p.sparkSession, "manifests"), list(strict.MANIFESTS)
 
     def entry(row):
         k = int(row.p_partkey)
         body = f'{{"id":{k},"name":"{row.p_name}"}}'.encode()
-        return f"p{k}/{list(strict.MANIFESTS)[k % 3]}", (b"[" + body + b"]" if k % 2 else b"\xff" + body) if k % 5 == 3 else body + b" " * 5000 if k % 5 == 4 else body
+        return f"p{k}/{names[k % 3]}", (b"[" + body + b"]" if k % 2 else b"\xff" + body) if k % 5 == 3 else body + b" " * 5000 if k % 5 == 4 else body
 
-    _write(p, root, entry)
+    _write(p.repartition(p.sparkSession.sparkContext.defaultParallelism), root, entry)  # a small table is read by one task
     return strict.read_manifests(p.sparkSession, root, limit=4000).select("path", "json", "limitation")
 
 

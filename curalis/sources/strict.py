@@ -7,6 +7,11 @@ manifests give a row with a limitation for each file that is unusable.
 
 from __future__ import annotations
 
+import os
+import sys
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,19 +108,77 @@ def read_registry(spark: SparkSession, path: str, limit: int = MAX_CASE_BYTES) -
     return rows.select("reviewer_id", F.coalesce(fault.cast("string"), F.col("h")).alias("provenance_hash"))
 
 
+def _named_files(spark: SparkSession, root: str, names: list[str], limit: int) -> DataFrame:
+    """(path below root, length, content where that is at most limit) of the files of these names. Below a folder of this machine or one mounted alike on all, tasks list the folders of the first two
+    levels and then walk what is below these, so that the driver holds no names; elsewhere Spark's reader lists them. Hidden names are left out as Spark leaves them out."""
+    base = root.removeprefix("file://").removeprefix("file:")
+    if ":" in base.split("/", 1)[0]:
+        whole = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "{" + ",".join(names) + "}").load(root)
+        rel = F.element_at(F.split("path", (root.rstrip("/") + "/").replace("\\", "\\\\"), 2), -1).alias("path")
+        none = F.lit(None).cast("binary").alias("content")
+        return whole.filter(F.col("length") <= limit).select(rel, "length", "content").unionByName(whole.filter(F.col("length") > limit).select(rel, "length", none))
+
+    def listed(folder: bytes):
+        with os.scandir(os.path.join(os.fsencode(base), folder)) as entries:
+            for e in entries:
+                hidden = e.name.startswith(b".") or e.name.startswith(b"_") and b"=" not in e.name or e.name.endswith(b"._COPYING_")
+                path = folder + b"/" + e.name if folder else e.name
+                if not hidden and e.is_dir():
+                    yield path, True
+                elif not hidden and os.fsdecode(e.name) in names and e.is_file():
+                    yield path, False
+
+    def level(batches):
+        for b in batches:
+            some = []
+            for path, folder in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for x in listed(path) if folder else [(path, False)]:
+                    some.append(x)
+                    if len(some) == 1000:
+                        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in some], pa.binary()), pa.array([x[1] for x in some], pa.bool_())], names=["path", "folder"])
+                        some = []
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in some], pa.binary()), pa.array([x[1] for x in some], pa.bool_())], names=["path", "folder"])
+
+    def files(path: bytes, folder: bool):
+        stack = [(path, folder)]
+        while stack:
+            path, folder = stack.pop()
+            if folder:
+                stack += listed(path)
+            else:
+                yield path
+
+    def read(batches):
+        for b in batches:
+            rows, size = [], 0
+            for path, folder in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for p in files(path, folder):
+                    with open(os.path.join(os.fsencode(base), p), "rb") as f:
+                        n = os.fstat(f.fileno()).st_size
+                        rows.append((p.decode("utf-8", "replace"), n, f.read() if n <= limit else None))
+                    size += min(n, limit)
+                    if len(rows) == 1000 or size > 8 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.binary()))], names=["path", "length", "content"])
+                        rows, size = [], 0
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.binary()))], names=["path", "length", "content"])
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not find this package
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    d = spark.createDataFrame([(b"", True)], "path binary, folder boolean")
+    for _ in range(2):
+        d = d.mapInArrow(level, "path binary, folder boolean").repartition(tasks)
+    return d.mapInArrow(read, "path string, length long, content binary")
+
+
 def read_manifests(spark: SparkSession, root: str, names: dict[str, str] = MANIFESTS, limit: int = MAX_MANIFEST_BYTES, tree: DataFrame | None = None) -> DataFrame:
     """(path, name, json, limitation) of every manifest below root: its text, or why there is none.
 
     Files above the limit are not read. tree: rows (path, object_type) of the same root; a manifest's name on anything but a regular file is unavailable."""
-    glob = "{" + ",".join(names) + "}"
-    base = root.rstrip("/") + "/"
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
-    rel = F.element_at(F.split("file", base.removeprefix("file://").replace("\\", "\\\\"), 2), -1)
-    small = f.filter(F.col("length") <= limit).select(F.col("path").alias("file"), F.when(F.is_valid_utf8("content"), F.decode("content", "UTF-8")).alias("t"))
-    small = small.select("file", F.when(F.col("t").rlike(rf"^{_SPACE}\{{"), F.when(F.from_json(F.concat(F.lit('{"a":'), "t", F.lit(',"b":0}')), "map<string,string>", {"allowSingleQuotes": "false"})["b"] == "0", F.col("t"))).alias("json"))
-    small = small.withColumn("why", F.when(F.col("json").isNull(), "MALFORMED"))
-    large = f.filter(F.col("length") > limit).select(F.col("path").alias("file"), F.lit(None).cast("string").alias("json"), F.lit("SIZE_LIMIT").alias("why"))
-    found = small.unionByName(large).select(rel.alias("path"), "json", "why")
+    f = _named_files(spark, root, list(names), limit)
+    text = F.when(F.is_valid_utf8("content"), F.decode("content", "UTF-8"))
+    f = f.select("path", (F.col("length") > limit).alias("large"), text.alias("t"))
+    kept = F.when(F.col("t").rlike(rf"^{_SPACE}\{{"), F.when(F.from_json(F.concat(F.lit('{"a":'), "t", F.lit(',"b":0}')), "map<string,string>", {"allowSingleQuotes": "false"})["b"] == "0", F.col("t")))
+    found = f.select("path", "large", kept.alias("json")).select("path", "json", F.when(F.col("large"), "SIZE_LIMIT").when(F.col("json").isNull(), "MALFORMED").alias("why"))
     if tree is not None:
         found = found.unionByName(tree.filter(F.element_at(F.split("path", "/"), -1).isin(list(names)) & (F.col("object_type") != "REGULAR_FILE")).select("path", F.lit(None).cast("string").alias("json"), F.lit("UNAVAILABLE").alias("why")))
     name = F.element_at(F.split("path", "/"), -1)
