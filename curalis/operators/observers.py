@@ -96,13 +96,19 @@ def parse_count_objects(text: Column) -> Column:
 
 def parse_history(text: Column) -> Column:
     """array of struct(commit_id, parent_ids, committed_at) from records of three fields, all ended by NUL; null where any is malformed."""
-    parts = F.split(F.regexp_replace(text, r"\x00+$", ""), r"\x00")
-    n = F.floor(F.size(parts) / 3).cast("int")
-    rows = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get(parts, 3 * i).alias("commit_id"), F.filter(F.split(F.get(parts, 3 * i + 1), r"\s+"), lambda x: x != "").alias("parent_ids"), F.get(parts, 3 * i + 2).alias("at")))
     ids = r"^[0-9a-f]{40,64}$"
-    good = (F.size(parts) % 3 == 0) & F.forall(rows, lambda r: r["commit_id"].rlike(ids) & r["at"].rlike("^[0-9]+$") & F.forall(r["parent_ids"], lambda p: p.rlike(ids)))
-    parsed = F.transform(rows, lambda r: F.struct(r["commit_id"].alias("commit_id"), r["parent_ids"].alias("parent_ids"), r["at"].cast("long").alias("committed_at")))
-    return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<struct<commit_id:string,parent_ids:array<string>,committed_at:bigint>>")).when(good, parsed)
+
+    def records(parts: Column) -> Column:
+        n = F.floor(F.size(parts) / 3).cast("int")
+        rows = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get(parts, 3 * i).alias("commit_id"), F.filter(F.split(F.get(parts, 3 * i + 1), r"\s+"), lambda x: x != "").alias("parent_ids"), F.get(parts, 3 * i + 2).alias("at")))
+        return _let(rows, lambda r: parsed(parts, r))
+
+    def parsed(parts: Column, rows: Column) -> Column:
+        good = (F.size(parts) % 3 == 0) & F.forall(rows, lambda r: r["commit_id"].rlike(ids) & r["at"].rlike("^[0-9]+$") & F.forall(r["parent_ids"], lambda p: p.rlike(ids)))
+        return F.when(good, F.transform(rows, lambda r: F.struct(r["commit_id"].alias("commit_id"), r["parent_ids"].alias("parent_ids"), r["at"].cast("long").alias("committed_at"))))
+
+    found = _let(F.split(F.regexp_replace(text, r"\x00+$", ""), r"\x00"), records)
+    return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<struct<commit_id:string,parent_ids:array<string>,committed_at:bigint>>")).otherwise(found)
 
 
 def source_type(path: Column) -> Column:

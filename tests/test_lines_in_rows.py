@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from curalis.operators import lexical as X
+from curalis.operators import observers as O
 from curalis.operators import rawrecords as R
 
 
@@ -24,3 +25,11 @@ def test_status_records_are_split_once(spark):
     assert _plan(d).count("split(") <= 2 and "regexp_extract(" not in _plan(d)
     r = d.first().r
     assert (r.added, [tuple(x) for x in r.findings], r["count"]) == (["c"], [("a b", "100644", "CONTENT_ID_EQUAL")], 1)
+
+
+def test_a_history_is_split_once(spark):
+    h, g = "a" * 40, "b" * 40
+    d = spark.createDataFrame([("ok", f"{h}\x00{g}  {h}\x005\x00{g}\x00\x006\x00"), ("bad", f"{h}\x00\x00soon\x00"), ("short", h), ("none", ""), ("null", None)], "k string, p string").select("k", O.parse_history(F.col("p")).alias("r"))
+    assert _plan(d).count("split(") == 2  # the log, and each record's parents
+    got = {r.k: r.r for r in d.collect()}
+    assert [tuple(x) for x in got["ok"]] == [(h, [g, h], 5), (g, [], 6)] and got["none"] == got["null"] == [] and got["bad"] is got["short"] is None
