@@ -200,6 +200,7 @@ d AS (SELECT '{"@context":["c",{"x":"y"}],"@graph":[{"@id":"ro-crate-metadata.js
 SELECT CAST(strlen(d) AS BIGINT) AS bytes, sha256(d) AS sha256 FROM d""")
 def _(t):
     p = t("part")
+    p = p.repartition(p.sparkSession.sparkContext.defaultParallelism)  # a small table is read by one task
     key = F.concat(F.lit("#part/"), F.lpad(F.col("p_partkey").cast("string"), 9, "0"))
     body = F.to_json(F.struct(key.alias("@id"), F.array(F.lit("CreativeWork")).alias("@type"), F.col("p_name").alias("name"), F.col("p_size").alias("size")))
     e = canonical_json(p.select(key.alias("id"), body.alias("b")), "b", "json").select("id", "json")

@@ -25,7 +25,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 
 from curalis.functions.columns import json_string
 from curalis.functions.nested import canonical_json
-from curalis.operators.duplicates import dense_ids
+from curalis.operators.duplicates import dense_ids, kept
 from curalis.sources.records import verified
 
 PART_ROWS = 200_000
@@ -139,6 +139,7 @@ def write_graph(entities: DataFrame, path: str, context, descriptor: dict, root:
     before, after = ({k: v for k, v in root.items() if (k < "hasPart") == low} for low in (True, False))
     head = f'{{"@context":{dumps(context)},"@graph":[{dumps(descriptor)},{dumps(before)[:-1]}{"," if before else ""}"hasPart":['
     tail = "]" + ("," + dumps(after)[1:] if after else "}")
+    entities = kept(entities)  # used for the first id, twice for the lines, and to find the ranges that these are sorted by
     first = entities.agg(F.min("id")).first()[0]
     fixed = entities.sparkSession.createDataFrame([(0, "", head), (2, "", tail), (4, "", "]}")], "s int, k string, line string")
     comma = F.when(F.col("id") == F.lit(first), "").otherwise(",")
