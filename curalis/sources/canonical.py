@@ -19,11 +19,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
-from curalis.functions.columns import json_string
+from curalis.functions.columns import json_object, json_string
 from curalis.functions.nested import canonical_json
 from curalis.operators.duplicates import dense_ids, kept
 from curalis.sources.records import verified
@@ -101,12 +101,23 @@ class LinesSink(DataSource):
         return LinesWriter(self.options["path"], self.options.get("end", "\n"))
 
 
+def _plain(value: Column, kind: str) -> Column | None:
+    """Canonical JSON of a string, a whole number or a truth value; none for other types, whose text takes parsing."""
+    return json_string(value) if kind == "string" else value.cast("string") if kind in ("tinyint", "smallint", "int", "bigint", "boolean") else None
+
+
 def write_canonical(df: DataFrame, path: str, keys: list[str], part_rows: int = PART_ROWS) -> dict:
     """df as canonical JSON lines in the folder `path`, in the order of keys; the manifest. Fails with FileExistsError where there is anything already."""
-    spark = df.sparkSession
     path = path.removeprefix("file://").removeprefix("file:")
-    lines = df.select(*[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)], F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("_j"))
-    lines = canonical_json(lines, "_j", "line").drop("_j")
+    df = df.withColumn("_row", F.monotonically_increasing_id()).repartition("_row").drop("_row")  # a file of one block is read by one task
+    order = [F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)]
+    values = {c: _plain(F.col(f"`{c}`"), kind) for c, kind in df.dtypes}
+    if all(v is not None for v in values.values()):
+        lines = df.select(*order, json_object([(json.dumps(c)[1:-1], v) for c, v in sorted(values.items())]).alias("line"))
+    else:
+        lines = df.select(*order, F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("_j"))
+        lines = canonical_json(lines, "_j", "line").drop("_j")
+    lines = kept(lines)  # the sort by ranges reads them twice
     return _publish(lines, path, [f"_k{i}" for i in range(len(keys))], part_rows, "\n")
 
 

@@ -101,3 +101,15 @@ def test_a_graph_in_parts(spark, tmp_path):
         assert (tmp_path / f"{name}.json").read_text() == json.dumps(want, sort_keys=True, separators=(",", ":"))
     with pytest.raises(FileExistsError):
         canonical.join_parts(str(tmp_path / "a"), str(tmp_path / "a.json"))
+
+
+def test_plain_rows_are_written_without_parsing_and_dealt_first(spark, tmp_path, monkeypatch):
+    rows = [(i, None if i % 5 == 0 else f"é\U0001f600\x7f  \\u001B \x1b\x0b\"{i}\t/", i % 2 == 0, None if i % 3 else -i) for i in range(60)]
+    d = spark.createDataFrame(rows, "k long, t string, b boolean, n int").coalesce(1)
+    monkeypatch.setattr(canonical, "canonical_json", None)  # documents of other types only
+    seen, keep = [], canonical.kept
+    monkeypatch.setattr(canonical, "kept", lambda lines: (seen.append(lines), keep(lines))[1])
+    whole = canonical.write_canonical(d, str(tmp_path / "x"), ["k"], part_rows=25)
+    got = b"".join((tmp_path / "x" / f["name"]).read_bytes() for f in whole["files"])
+    assert got == b"".join(json.dumps(dict(zip("ktbn", r)), sort_keys=True, separators=(",", ":")).encode() + b"\n" for r in rows)
+    assert "RepartitionByExpression" in seen[0]._jdf.queryExecution().optimizedPlan().toString()  # a file of one block is read by one task
