@@ -58,13 +58,26 @@ def _leaders(b: DataFrame, payload: DataFrame, distance: Callable, r: int) -> Da
     return lead.select("bid", F.col("l.id").alias("a"), F.col("l.c").alias("ca"))
 
 
+def _sides(b: DataFrame, payload: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All members with their bucket's part, and those that each part meets, named x_: the members outside the bucket's largest component.
+
+    Two members of different components are never both in the largest, so each such pair of a bucket lies in one of its parts.
+    few: the member is on both sides."""
+    most = b.groupBy("bid", "c").agg(F.count("*").alias("k")).groupBy("bid").agg(F.max_by("c", F.struct("k", "c")).alias("most"))
+    y = b.join(most, "bid").withColumn("few", F.col("c") != F.col("most")).withColumn("parts", F.ceil(F.col("n") / PART).cast("int"))
+    y = y.select("bid", "id", "c", "few", "parts").join(payload, "id")
+    x = y.filter("few").select(F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("x_part"), *[F.col(c).alias(f"x_{c}") for c in y.columns if c not in ("few", "parts")])
+    return y.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")), x
+
+
 def bucket_links(buckets: DataFrame, confirm: Callable[[DataFrame], DataFrame], payload: DataFrame, close: Callable, distance: Callable, rounds: int = 2) -> DataFrame:
     """Confirmed links (a, b) whose components are those of all confirmed pairs inside any bucket.
 
     buckets: (bid, id), distinct. A bucket of n members costs n - 1 pairs per star round, not n*(n-1)/2: every
     member is tested against one leader, members already in the leader's component are skipped, and
     another leader is taken in the next round. Buckets that still hold several components after the
-    star rounds are finished exactly: each remaining pair of different components is tested.
+    star rounds are finished exactly: each remaining pair of different components is tested, where members of a bucket's
+    largest component meet only the members outside it.
     confirm takes distinct pairs (a, b) and returns those that are links. payload has columns for each id;
     close(column of a, column of b) says in their terms, by name, whether a pair can be a link at all, which the
     last step asks inside its join, and distance(...) how far apart two members are, by which leaders are chosen.
@@ -81,11 +94,9 @@ def bucket_links(buckets: DataFrame, confirm: Callable[[DataFrame], DataFrame],
                 lead = materialize(lead, "leaders")
             pairs = b.join(lead, "bid").filter("c <> ca").select("a", F.col("id").alias("b"))
         else:
-            # a large bucket's members are dealt to one task for each PART of them, and each part meets all
-            y = b.join(payload, "id").withColumn("parts", F.ceil(F.col("n") / PART).cast("int"))
-            x = y.select(F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("x_part"), *[F.col(c).alias(f"x_{c}") for c in y.columns])
-            y = y.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-            pairs = y.join(x, (F.col("bid") == F.col("x_bid")) & (F.col("part") == F.col("x_part")) & (F.col("x_c") < F.col("c")) & close(lambda c: F.col(f"x_{c}"), F.col)).select(F.col("x_id").alias("a"), F.col("id").alias("b"))
+            y, x = _sides(b, payload)
+            once = ~F.col("few") | (F.col("x_c") < F.col("c"))
+            pairs = y.join(x, (F.col("bid") == F.col("x_bid")) & (F.col("part") == F.col("x_part")) & (F.col("x_c") != F.col("c")) & once & close(lambda c: F.col(f"x_{c}"), F.col)).select(F.col("x_id").alias("a"), F.col("id").alias("b"))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         links = materialize(confirm(pairs), "links")
         found = links if found is None else found.union(links)

@@ -172,7 +172,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, words: str = "plain", perce
         return [F.conv(F.hex(F.substring(c, 8 * i + 1, 8)), 16, -10).cast("long").alias(f"{to}{i}") for i in words_]
 
     light = heads.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"), "flips", *split("sketch", "s"), *split("whole", "w"))
-    names = [c for c in light.columns if c != "id"]
+    names, light = [c for c in light.columns if c != "id"], materialize(light, "light")
     limits = F.expr(f"array({', '.join(str(most_bits(percent / 100, n)) for n in range(2 * SKETCH_SAMPLES + 1))})")
     whole_limits = F.expr(f"array({', '.join(str(most_whole_bits(d)) for d in range(WHOLE_UP_TO + 1))})")
 
