@@ -143,7 +143,7 @@ def _(t):
 @query("s010_canonical_sink", f"""WITH n AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 300 AS part, '{{"doc_id":' || doc_id || ',"lang":' || {_esc('lang')} || ',"n_chars":' || n_chars || ',"source":' || {_esc('source')} || ',"text":' || {_esc('text')} || '}}' || chr(10) AS line FROM documents)
 SELECT printf('part-%06d.jsonl', part) AS name, CAST(sum(strlen(line)) AS BIGINT) AS bytes, count(*) AS records, sha256(string_agg(line, '' ORDER BY doc_id)) AS sha256 FROM n GROUP BY part""")
 def _(t):
-    d = t("documents")
+    d = t("documents").select("doc_id", "lang", "n_chars", "source", "text")  # the columns of the SQL, whatever else the table has
     path = os.path.join(scratch.folder(d.sparkSession, "canonical"), "run")
     canonical.write_canonical(d, path, ["doc_id"], part_rows=300)
     files = d.sparkSession.read.json(os.path.join(path, canonical.MANIFEST), schema="files array<struct<bytes:long,name:string,records:long,sha256:string>>")
